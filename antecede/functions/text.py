@@ -50,21 +50,30 @@ def token_starts(text: Column) -> Column:
     return F.filter(starts, lambda i: i.isNotNull())
 
 
-def char_to_token(text: Column, off: Column) -> Column:
-    """Index of the token at an offset, from a count of tokens in the prefix.
-
-    The search this stands for never tests the last token, so a mention on the last token
-    gets the index before it, and a one-token text gives -1.
-    """
-    started = F.regexp_count(before(text, off + 1), F.lit(TOKEN))
+def more_tokens(text: Column, off: Column) -> Column:
+    """Whether a token starts behind the one at an offset."""
     rest = F.substr(text, off + 2)
     in_word = F.rlike(between(text, off, off + 1), F.lit(r"[A-Za-z0-9]"))
-    more = F.when(in_word, F.rlike(rest, F.lit(_MORE_AFTER_WORD))).otherwise(
+    return F.when(in_word, F.rlike(rest, F.lit(_MORE_AFTER_WORD))).otherwise(
         F.rlike(rest, F.lit(r"\S"))
     )
+
+
+def clamped_index(started: Column, more: Column) -> Column:
+    """Token index from the number of tokens that started and whether more follow.
+
+    The search this stands for never tests the last token, so a mention on the last token
+    gets the index before it, and a one-token text gives -1.
+    """
     return F.greatest(F.when(more, started).otherwise(started - 1), F.lit(0)) - 1
 
 
+def char_to_token(text: Column, off: Column) -> Column:
+    """Index of the token at an offset, from a count of tokens in the prefix."""
+    started = F.regexp_count(before(text, off + 1), F.lit(TOKEN))
+    return clamped_index(started, more_tokens(text, off))
+
+
 def sentences(text: Column) -> Column:
     """Sentence strings with at least one token, outer whitespace removed."""
     pieces = F.regexp_extract_all(text, F.lit(_SENTENCE), F.lit(0))

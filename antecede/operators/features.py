@@ -77,80 +77,100 @@ def distance_features(df: DataFrame, url_mode: str = "char") -> DataFrame:
     )
 
 
-def sentence_position(df: DataFrame, off: str, prefix: str) -> DataFrame:
-    """Sentence, position in it, positions left and their ratio for one offset column.
+def sentence_position(df: DataFrame, **offsets: str) -> DataFrame:
+    """Sentence, position in it, positions left and their ratio for offset columns.
 
-    Positions count from 1 in the first sentence and from 0 in later ones.
+    ``sentence_position(df, p="p_off")`` adds ``p_tok``, ``p_sent``, ``p_len``, ``p_pos``,
+    ``p_inv`` and ``p_ratio``. Positions count from 1 in the first sentence and from 0 in
+    later ones.
     """
-    text = F.col("text")
-    first = {
-        "_tok": tx.char_to_token(text, F.col(off)),
-        "_preceding": tx.tokens_before(text, F.col(off)),
-        "_sentences": tx.sentences(text),
-    }
-    second = {
-        f"{prefix}_sent": tx.count_sentences(F.col("_preceding")),
-        "_done": tx.completed_tokens(F.col("_preceding")),
-    }
-    sent = F.col(f"{prefix}_sent")
-    size = F.regexp_count(F.get("_sentences", sent), F.lit(tx.TOKEN))
-    third = {
-        f"{prefix}_len": F.coalesce(size, F.lit(0)),
-        f"{prefix}_pos": F.when(sent == 0, F.col("_tok") + 1).otherwise(F.col("_tok") - F.col("_done")),
-    }
-    pos, length = F.col(f"{prefix}_pos"), F.col(f"{prefix}_len")
-    return (
-        df.withColumns(first)
-        .withColumns(second)
-        .withColumns(third)
-        .withColumns(
-            {
-                f"{prefix}_inv": length - pos,
-                f"{prefix}_ratio": pos / F.nullif(length, F.lit(0)),
-            }
-        )
-        .withColumnRenamed("_tok", f"{prefix}_tok")
-        .drop("_preceding", "_sentences", "_done")
-    )
+    return _positions(df, offsets).drop("_sentences")
 
 
-def positional_features(
-    df: DataFrame, off1: str, off2: str, name: str = "features"
-) -> DataFrame:
-    """45 floats for a pair of offsets: one-hot distance, positions, inverse positions."""
-    both = sentence_position(sentence_position(df, off1, "_m1"), off2, "_m2")
-    parts = [
-        bucket_onehot(F.col("_m2_tok") - F.col("_m1_tok"), EDGES9),
-        bucket_onehot(F.col("_m1_pos"), POSITION_EDGES),
-        bucket_onehot(F.col("_m2_pos"), POSITION_EDGES),
-        bucket_onehot(F.col("_m1_inv"), POSITION_EDGES),
-        bucket_onehot(F.col("_m2_inv"), POSITION_EDGES),
-    ]
-    return both.select(*df.columns, F.concat(*parts).cast("array<float>").alias(name))
+def _positions(df: DataFrame, offsets: dict[str, str]) -> DataFrame:
+    text = F.col("text")
+    out = df.withColumns(
+        {
+            "_sentences": tx.sentences(text),
+            **{f"_prefix_{m}": tx.tokens(tx.before(text, F.col(off) + 1)) for m, off in offsets.items()},
+        }
+    )
+    out = out.withColumns(
+        {
+            f"{m}_tok": tx.clamped_index(F.size(f"_prefix_{m}"), tx.more_tokens(text, F.col(off)))
+            for m, off in offsets.items()
+        }
+    )
+    out = out.withColumns(
+        {
+            f"_prefix_{m}": F.slice(f"_prefix_{m}", F.lit(1), F.greatest(F.col(f"{m}_tok"), F.lit(0)))
+            for m in offsets
+        }
+    )
+    out = out.withColumns(
+        {
+            name: value
+            for m in offsets
+            for name, value in (
+                (f"{m}_sent", tx.count_sentences(F.col(f"_prefix_{m}"))),
+                (f"_done_{m}", tx.completed_tokens(F.col(f"_prefix_{m}"))),
+            )
+        }
+    )
+    placed = {}
+    for m in offsets:
+        sent, tok = F.col(f"{m}_sent"), F.col(f"{m}_tok")
+        size = F.regexp_count(F.get("_sentences", sent), F.lit(tx.TOKEN))
+        placed[f"{m}_len"] = F.coalesce(size, F.lit(0))
+        placed[f"{m}_pos"] = F.when(sent == 0, tok + 1).otherwise(tok - F.col(f"_done_{m}"))
+    out = out.withColumns(placed)
+    left = {}
+    for m in offsets:
+        pos, length = F.col(f"{m}_pos"), F.col(f"{m}_len")
+        left[f"{m}_inv"] = length - pos
+        left[f"{m}_ratio"] = pos / F.nullif(length, F.lit(0))
+    return out.withColumns(left).drop(*[f"{c}_{m}" for m in offsets for c in ("_prefix", "_done")])
+
+
+def positional_features(df: DataFrame, off1: str, *off2: str) -> DataFrame:
+    """45 floats per pair of the first offset and each other one, in ``features_<name>``.
+
+    They are one-hot distance, both positions and both inverse positions.
+    """
+    names = [off.removesuffix("_off") for off in off2]
+    both = _positions(df, {"_m1": off1, **{f"_m2{n}": off for n, off in zip(names, off2)}})
+    features = {}
+    for n in names:
+        parts = [
+            bucket_onehot(F.col(f"_m2{n}_tok") - F.col("_m1_tok"), EDGES9),
+            bucket_onehot(F.col("_m1_pos"), POSITION_EDGES),
+            bucket_onehot(F.col(f"_m2{n}_pos"), POSITION_EDGES),
+            bucket_onehot(F.col("_m1_inv"), POSITION_EDGES),
+            bucket_onehot(F.col(f"_m2{n}_inv"), POSITION_EDGES),
+        ]
+        features[f"features_{n}"] = F.concat(*parts).cast("array<float>")
+    return both.withColumns(features).select(*df.columns, *features)
 
 
 def mention_sentence_window(df: DataFrame, max_len: int = 50) -> DataFrame:
     """The sentence of each mention, cut around the mention where it is too long."""
-    out = df
-    for mention in MENTION_KEYS:
-        out = sentence_position(out, f"{mention}_off", mention)
-        sentence = F.get(tx.sentences(F.col("text")), F.col(f"{mention}_sent"))
-        out = out.withColumn("_toks", F.coalesce(tx.tokens(sentence), F.array().cast("array<string>")))
-        pos, toks = F.col(f"{mention}_pos"), F.col("_toks")
-        whole, front = F.size(toks) <= max_len, pos < max_len - 1
-        cut = F.when(whole | front, F.slice(toks, 1, max_len)).otherwise(
+    out = _positions(df, {m: f"{m}_off" for m in MENTION_KEYS})
+    out = out.withColumns(
+        {
+            f"_toks_{m}": tx.tokens(F.coalesce(F.get("_sentences", F.col(f"{m}_sent")), F.lit("")))
+            for m in MENTION_KEYS
+        }
+    )
+    columns = [F.col("id")]
+    for m in MENTION_KEYS:
+        pos, toks = F.col(f"{m}_pos"), F.col(f"_toks_{m}")
+        front = (F.size(toks) <= max_len) | (pos < max_len - 1)
+        cut = F.when(front, F.slice(toks, 1, max_len)).otherwise(
             F.slice(toks, F.greatest(pos - max_len + 3, F.lit(1)), max_len)
         )
-        out = out.withColumns(
-            {
-                f"{mention}_window": F.array_join(cut, " "),
-                f"{mention}_window_pos": F.when(whole | front, pos).otherwise(max_len - 2),
-            }
-        ).drop("_toks")
-    return out.select(
-        "id",
-        *[c for m in MENTION_KEYS for c in (f"{m}_window", f"{m}_window_pos")],
-    )
+        columns.append(F.array_join(cut, " ").alias(f"{m}_window"))
+        columns.append(F.when(front, pos).otherwise(max_len - 2).alias(f"{m}_window_pos"))
+    return out.select(*columns)
 
 
 def nonspace_counts(df: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ PRONOUN_GENDER = {"his": 1, "him": 1, "he": 1, "her": 0, "she": 0, "hers": 0}
 def salted_join(
     left: DataFrame,
     right: DataFrame,
-    key: str,
+    on: str | list[str],
     how: str = "left",
     salts: int = 32,
     min_rows: int = 100_000,
@@ -23,30 +23,35 @@ def salted_join(
     ``salts`` tasks and their one row of ``right`` is repeated as often. A key that is not
     among them is only joined without a salt: the result is the same.
     """
+    keys = [on] if isinstance(on, str) else list(on)
     hot = (
-        left.groupBy(F.col(key).alias("_hot"))
+        left.dropna(subset=keys)
+        .groupBy(*[F.col(k).alias(f"_hot_{k}") for k in keys])
         .agg(F.count(F.lit(1)).alias("_rows"))
-        .filter((F.col("_rows") >= min_rows) & F.col("_hot").isNotNull())
-        .orderBy(F.desc("_rows"), "_hot")
+        .filter(F.col("_rows") >= min_rows)
+        .orderBy(F.desc("_rows"))
         .limit(max_hot)
-        .select("_hot")
+        .withColumn("_is_hot", F.lit(True))
+        .drop("_rows")
     )
+    same = [F.col(k) == F.col(f"_hot_{k}") for k in keys]
+    hot_columns = ["_is_hot", *[f"_hot_{k}" for k in keys]]
     others = [F.col(c).cast("string") for c in left.columns if not _nested(left, c)]
     spread = F.pmod(F.xxhash64(*others), F.lit(salts)).cast("int")
     salted_left = (
-        left.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
-        .withColumn("_salt", F.when(F.col("_hot").isNull(), 0).otherwise(spread))
-        .drop("_hot")
+        left.join(F.broadcast(hot), same, "left")
+        .withColumn("_salt", F.when(F.col("_is_hot"), spread).otherwise(0))
+        .drop(*hot_columns)
     )
-    copies = F.when(F.col("_hot").isNull(), F.array(F.lit(0))).otherwise(
-        F.sequence(F.lit(0), F.lit(salts - 1))
+    copies = F.when(F.col("_is_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
+        F.array(F.lit(0))
     )
     salted_right = (
-        right.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
+        right.join(F.broadcast(hot), same, "left")
         .withColumn("_salt", F.explode(copies))
-        .drop("_hot")
+        .drop(*hot_columns)
     )
-    return salted_left.join(salted_right, [key, "_salt"], how).drop("_salt")
+    return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")
 
 
 def small_enough(df: DataFrame, max_rows: int) -> bool:
@@ -101,8 +106,9 @@ def union_splits(*dfs: DataFrame) -> DataFrame:
 
 
 def sequence_key(ids: Column) -> Column:
-    """Key of an encoded token sequence."""
-    return F.sha2(F.array_join(ids.cast("array<string>"), ","), 256)
+    """Key of a token sequence, the same however far it is padded with zeros."""
+    unpadded = F.filter(ids, lambda t: t > 0)
+    return F.sha2(F.array_join(unpadded.cast("array<string>"), ","), 256)
 
 
 def encode_missing(df: DataFrame, store: DataFrame, encoder) -> tuple[DataFrame, DataFrame]:

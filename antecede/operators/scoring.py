@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from antecede.functions.numeric import EDGES13, softmax_clamp
 from antecede.operators.folds import SEED, keep_folds
+from antecede.operators.joins import salted_join
 from antecede.operators.metrics import log_loss
 
 CLASSES = ("pr_a", "pr_b", "pr_neither")
@@ -100,7 +101,7 @@ def topk_snapshot_ensemble(snapshots: DataFrame, pred: DataFrame, k: int = 8) ->
         .select("run", "step")
     )
     means = (
-        pred.join(best, ["run", "step"])
+        salted_join(pred, best, ["run", "step"], "inner")
         .groupBy("run", "id")
         .agg(F.count(F.lit(1)).alias("_used"), *[F.avg(c).alias(c) for c in CLASSES])
     )

@@ -12,47 +12,49 @@ from antecede.operators.joins import salted_join, small_enough
 
 
 def lookup_encoder(vectors: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    """Encoder that takes each token's vector from a table (token_id, vector).
-
-    The table has a row per vocabulary entry, whose number ``build_vocab`` bounds.
-    """
+    """Encoder that takes each token's vector from a table (token_id, vector)."""
 
     def encode(df: DataFrame) -> DataFrame:
         keys = [c for c in df.columns if c != "ids"]
         exploded = df.select(*keys, F.posexplode("ids").alias("pos", "token_id"))
-        known = exploded.filter(F.col("token_id") > 0)
-        return known.join(F.broadcast(vectors), "token_id").select(*keys, "pos", "token_id", "vector")
+        unpadded = exploded.filter(F.col("token_id") > 0)
+        return gather_vectors(unpadded, vectors, "token_id").select(*keys, "pos", "token_id", "vector")
 
     return encode
 
 
 def model_encoder(
-    load: Callable[[], Callable[[np.ndarray, np.ndarray], np.ndarray]], key: str, key_type: str = "string"
+    load: Callable[[], Callable[[np.ndarray, np.ndarray], np.ndarray]],
+    key: str,
+    key_type: str = "string",
+    batch_size: int = 32,
 ) -> Callable[[DataFrame], DataFrame]:
     """Encoder that runs a model over Arrow batches, loaded once per task.
 
     ``load()`` returns a function of padded ids and attention mask, both (rows, width), to
-    vectors (rows, width, dims). The mask is ids > 0; masked places give no row.
+    vectors (rows, width, dims). The mask is ids > 0; masked places give no row. At most
+    ``batch_size`` texts are held as vectors at a time.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load()
         for batch in batches:
-            width = max((len(ids) for ids in batch["ids"]), default=0)
-            ids = np.zeros((len(batch), width), dtype=np.int64)
-            for row, values in enumerate(batch["ids"]):
-                ids[row, : len(values)] = values
-            mask = ids > 0
-            rows, places = np.nonzero(mask)
-            vectors = np.asarray(model(ids, mask.astype(np.int64)), dtype=np.float64)
-            yield pd.DataFrame(
-                {
-                    key: batch[key].to_numpy()[rows],
-                    "pos": places.astype(np.int32),
-                    "token_id": ids[rows, places].astype(np.int32),
-                    "vector": list(vectors[rows, places]),
-                }
-            )
+            for first in range(0, len(batch), batch_size):
+                part = batch.iloc[first : first + batch_size]
+                ids = np.zeros((len(part), max(map(len, part["ids"]))), dtype=np.int64)
+                for row, values in enumerate(part["ids"]):
+                    ids[row, : len(values)] = values
+                mask = ids > 0
+                rows, places = np.nonzero(mask)
+                vectors = np.asarray(model(ids, mask.astype(np.int64)), dtype=np.float64)
+                yield pd.DataFrame(
+                    {
+                        key: part[key].to_numpy()[rows],
+                        "pos": places.astype(np.int32),
+                        "token_id": ids[rows, places].astype(np.int32),
+                        "vector": list(vectors[rows, places]),
+                    }
+                )
 
     schema = f"{key} {key_type}, pos int, token_id int, vector array<double>"
     return lambda df: df.select(key, "ids").mapInPandas(run, schema)

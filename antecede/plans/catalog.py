@@ -21,7 +21,7 @@ from antecede.operators import (
     vectors,
 )
 from antecede.plans import fixtures as fx
-from antecede.session import scratch_path, scratch_root
+from antecede.session import scratch_path, written
 from antecede.sources import scans, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -272,9 +272,7 @@ def bucket_onehot(spark, sf_dir):
 
 @query
 def sentence_position(spark, sf_dir):
-    out = fx.mentions(spark, sf_dir)
-    for s in features.MENTION_KEYS:
-        out = features.sentence_position(out, f"{s}_off", s)
+    out = features.sentence_position(fx.mentions(spark, sf_dir), p="p_off", a="a_off", b="b_off")
     return out.select(
         "id",
         *[F.col(f"{s}_{c}") for s in features.MENTION_KEYS for c in ("sent", "len", "pos", "inv")],
@@ -284,9 +282,7 @@ def sentence_position(spark, sf_dir):
 
 @query
 def positional_features(spark, sf_dir):
-    m = fx.mentions(spark, sf_dir)
-    m = features.positional_features(m, "p_off", "a_off", "features_a")
-    m = features.positional_features(m, "p_off", "b_off", "features_b")
+    m = features.positional_features(fx.mentions(spark, sf_dir), "p_off", "a_off", "b_off")
     flat = [
         F.array_join(F.col(c).cast("array<int>").cast("array<string>"), "").alias(c)
         for c in ("features_a", "features_b")
@@ -354,10 +350,11 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.build_vocab(words)
 
 
-def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+def encoded(spark: SparkSession, sf_dir: str, vocab: DataFrame | None = None) -> DataFrame:
     """(id, spans, ids) of all mention rows."""
     cut = tokens.mention_segments(fx.mentions(spark, sf_dir), markers=True)
-    return sequences.encode_tokens(cut.select("id", "spans", "tokens"), vocabulary(spark, sf_dir))
+    known = vocabulary(spark, sf_dir) if vocab is None else vocab
+    return sequences.encode_tokens(cut.select("id", "spans", "tokens"), known)
 
 
 @query
@@ -372,27 +369,38 @@ def encode_tokens(spark, sf_dir):
 
 @query
 def batch_assign(spark, sf_dir):
-    m = fx.mentions(spark, sf_dir).select("id")
+    m = written(fx.mentions(spark, sf_dir).select("id"), "ids")
     shuffled = folds.batch_assign(m).withColumn("mode", F.lit("train"))
     ordered = folds.batch_assign(m, shuffle=False, drop_last=False)
     return shuffled.unionByName(ordered.withColumn("mode", F.lit("valid")))
 
 
+def padded(spark: SparkSession, sf_dir: str, vocab: DataFrame | None = None) -> DataFrame:
+    """Encoded rows in ordered batches, cut and padded."""
+    rows = written(encoded(spark, sf_dir, vocab), "encoded")
+    return sequences.pad_truncate(folds.batch_assign(rows, shuffle=False, drop_last=False))
+
+
 @query
 def pad_truncate(spark, sf_dir):
-    batched = folds.batch_assign(encoded(spark, sf_dir), shuffle=False, drop_last=False)
-    padded = ids_text(sequences.pad_truncate(batched))
-    return padded.select("id", "batch_id", "width", "ids", "truncated_span", "spans.*")
+    out = ids_text(padded(spark, sf_dir))
+    return out.select("id", "batch_id", "width", "ids", "truncated_span", "spans.*")
 
 
-def folded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return folds.stratified_folds(labels.extract_target(fx.mentions(spark, sf_dir)), K)
+def labelled(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Mention rows with their target, written as folds look at them more than once."""
+    rows = labels.extract_target(fx.mentions(spark, sf_dir))
+    return written(rows.select("id", "target", *columns) if columns else rows, "labelled")
+
+
+def folded(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return folds.stratified_folds(labelled(spark, sf_dir, *columns), K)
 
 
 def fold_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Padded batches of every fold: shuffled and full for training, ordered for validation."""
-    rows = encoded(spark, sf_dir).join(folded(spark, sf_dir).select("id", "target", "fold"), "id")
-    runs = joins.fold_expand(rows, K)
+    rows = encoded(spark, sf_dir).join(folded(spark, sf_dir, "p_off"), "id")
+    runs = joins.fold_expand(written(rows.drop("p_off"), "encoded"), K)
     by = ["run_fold", "split"]
     train = folds.batch_assign(runs.filter(F.col("split") == "train"), by=by)
     valid = folds.batch_assign(
@@ -407,7 +415,7 @@ def fold_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def join_sentence_columns(spark, sf_dir):
-    m = fx.mentions(spark, sf_dir)
+    m = written(fx.mentions(spark, sf_dir), "mentions")
     joined = joins.join_sentence_columns(m, features.mention_sentence_window(m))
     return joined.select("id", "pronoun", "a", "b", "p_window", "p_window_pos", "a_window_pos", "b_window_pos")
 
@@ -419,29 +427,31 @@ def pronoun_gender(spark, sf_dir):
 
 @query
 def name_gender_lookup(spark, sf_dir):
-    m = fx.mentions(spark, sf_dir)
-    return joins.name_gender_lookup(m, lexicon.name_gender_lexicon(m))
+    m = written(fx.mentions(spark, sf_dir).drop("text", "url"), "mentions")
+    return joins.name_gender_lookup(m, written(lexicon.name_gender_lexicon(m), "lexicon"))
 
 
 @query
 def attach_ids(spark, sf_dir):
-    m = fx.mentions(spark, sf_dir).withColumn("row_key", F.md5(F.col("id").cast("string")))
+    m = written(fx.mentions(spark, sf_dir).drop("text", "url"), "mentions")
+    m = m.withColumn("row_key", F.md5(F.col("id").cast("string")))
     pred = labels.positional_prior(m).select("row_key", *scoring.CLASSES)
     return joins.attach_ids(pred, m).select("id", *scoring.CLASSES)
 
 
 @query
 def fold_expand(spark, sf_dir):
-    return joins.fold_expand(folded(spark, sf_dir).select("id", "fold"), K)
+    return joins.fold_expand(folded(spark, sf_dir, "p_off").select("id", "fold"), K)
 
 
 @query
 def encode_missing(spark, sf_dir):
     """The store holds the first source file; the rest is encoded, equal sequences once."""
-    rows = encoded(spark, sf_dir).select("id", "ids")
-    encoder = vectors.lookup_encoder(token_id_vectors(spark, sf_dir))
+    vocab = written(vocabulary(spark, sf_dir), "vocabulary")
+    rows = written(padded(spark, sf_dir, vocab).select("id", "ids"), "padded")
+    encoder = vectors.lookup_encoder(written(token_id_vectors(spark, sf_dir, vocab), "vectors"))
     first = fx.splits(rows)[0].select(joins.sequence_key(F.col("ids")).alias("key"), "ids")
-    store = encoder(first.groupBy("key").agg(F.first("ids").alias("ids")))
+    store = written(encoder(first.groupBy("key").agg(F.first("ids").alias("ids"))), "store")
     hits, added = joins.encode_missing(rows, store, encoder)
     sizes = store.unionByName(added).groupBy("key").agg(F.count("pos").alias("n_vectors"))
     return joins.salted_join(hits, sizes, "key").select("id", "key", "hit", "n_vectors")
@@ -454,12 +464,12 @@ def name_gender_lexicon(spark, sf_dir):
 
 @query
 def stratified_folds(spark, sf_dir):
-    return folded(spark, sf_dir).select("id", "target", "fold")
+    return folded(spark, sf_dir, "p_off").select("id", "target", "fold")
 
 
 @query
 def stratified_folds_ordered(spark, sf_dir):
-    m = labels.extract_target(fx.mentions(spark, sf_dir)).select("id", "target")
+    m = labelled(spark, sf_dir, "p_off").select("id", "target")
     return folds.stratified_folds_ordered(m, K)
 
 
@@ -476,8 +486,9 @@ def mask_span_augment(spark, sf_dir):
 
 @query
 def name_swap_augment(spark, sf_dir):
-    m = fx.mentions(spark, sf_dir)
-    swapped = lexicon.name_swap_augment(m, lexicon.name_gender_lexicon(m))
+    m = written(fx.mentions(spark, sf_dir), "mentions")
+    names = written(lexicon.name_gender_lexicon(m), "lexicon")
+    swapped = lexicon.name_swap_augment(m, names)
     return swapped.select("id", "text", "p_off", "a", "a_off", "b", "b_off")
 
 
@@ -490,7 +501,7 @@ def target_counts(spark, sf_dir):
 
 
 def fold_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = folded(spark, sf_dir)
+    m = folded(spark, sf_dir, "p_off", "a_off", "b_off")
     return fx.fold_predictions(m, K).select("id", "fold", "target", "model_fold", *scoring.CLASSES)
 
 
@@ -513,14 +524,14 @@ def fold_mean_ensemble(spark, sf_dir):
 
 @query
 def topk_snapshot_ensemble(spark, sf_dir):
-    """Each mention is predicted by every snapshot of one run; losses shift the prior."""
-    log = fx.loss_log(spark, sf_dir)
+    """Each mention is predicted by the 12 best snapshots of one run, of which 8 are used."""
+    kept = training_log.top_snapshots(fx.loss_log(spark, sf_dir), 12)
     last_run = fx.table(spark, sf_dir, "events").agg(F.max("user_id")).scalar()
     prior = labels.positional_prior(fx.mentions(spark, sf_dir))
     prior = prior.select("id", (F.col("id") % (last_run + 1)).alias("run"), *scoring.CLASSES)
-    pred = prior.join(log, "run").withColumn("pr_a", F.col("pr_a") + F.col("loss").cast("double") / 997)
-    best = training_log.top_snapshots(log)
-    out = scoring.topk_snapshot_ensemble(best, pred.select("run", "step", "id", *scoring.CLASSES))
+    kept = written(kept, "snapshots")
+    pred = prior.join(kept, "run").withColumn("pr_a", F.col("pr_a") + F.col("loss").cast("double") / 997)
+    out = scoring.topk_snapshot_ensemble(kept, written(pred.select("run", "step", "id", *scoring.CLASSES), "predictions"))
     return out.select("run", "id", *pr6(out))
 
 
@@ -553,12 +564,11 @@ def early_stop_point(spark, sf_dir):
 # ---- vectors -----------------------------------------------------------------------------
 
 
-def token_id_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(token_id, vector) of the whole vocabulary."""
-    keyed = vocabulary(spark, sf_dir).withColumn(
-        "vec_id", fx.vector_ids(F.col("token"), fx.n_vectors(spark, sf_dir))
-    )
-    return keyed.join(fx.vocab_vectors(spark, sf_dir), "vec_id").select("token_id", "vector")
+def token_id_vectors(spark: SparkSession, sf_dir: str, vocab: DataFrame) -> DataFrame:
+    """(token_id, vector) of a whole vocabulary, in single precision."""
+    keyed = vocab.withColumn("vec_id", fx.vector_ids(F.col("token"), fx.n_vectors(spark, sf_dir)))
+    table = fx.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    return keyed.join(table, "vec_id").select("token_id", "vector")
 
 
 def with_vectors(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -588,15 +598,13 @@ def span_mean_pool(spark, sf_dir):
 
 @query
 def encode_batches(spark, sf_dir):
-    batched = folds.batch_assign(
-        encoded(spark, sf_dir).select("id", "ids", "spans"), shuffle=False, drop_last=False
-    )
-    encoder = vectors.lookup_encoder(token_id_vectors(spark, sf_dir))
-    out = vectors.encode_batches(sequences.pad_truncate(batched), encoder)
+    vocab = written(vocabulary(spark, sf_dir), "vocabulary")
+    encoder = vectors.lookup_encoder(written(token_id_vectors(spark, sf_dir, vocab), "vectors"))
+    out = vectors.encode_batches(padded(spark, sf_dir, vocab), encoder)
     return out.select(
         "id", "pos", "token_id",
-        F.element_at("vector", 1).alias("v_first"),
-        F.element_at("vector", -1).alias("v_last"),
+        F.element_at("vector", 1).cast("double").alias("v_first"),
+        F.element_at("vector", -1).cast("double").alias("v_last"),
     )
 
 
@@ -663,14 +671,14 @@ def softmax_clamp(spark, sf_dir):
 
 
 def scorer_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, target, fold, features), checkpointed because every fit reads it again."""
-    scratch_root(spark)
-    m = folds.stratified_folds(fx.rule_target(fx.mentions(spark, sf_dir)), K)
+    """(id, target, fold, features), written because every fit reads it again."""
+    m = written(fx.rule_target(fx.mentions(spark, sf_dir)), "mentions")
     rows = features.distance_features(m)
-    spans = span_vectors(spark, sf_dir, rows)
+    spans = span_vectors(spark, sf_dir, m)
     pairs = vectors.pair_features(vectors.span_columns(vectors.pool_spans(spans)))
-    table = rows.drop("text").join(pairs, "id")
-    return scoring.scorer_features(table).select("id", "target", "fold", "features").checkpoint()
+    table = scoring.scorer_features(rows.drop("text").join(pairs, "id"))
+    plain = written(table.select("id", "target", "features"), "features")
+    return written(folds.stratified_folds(plain, K), "folds")
 
 
 def train_and_test(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

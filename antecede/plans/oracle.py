@@ -185,7 +185,8 @@ _VIEWS = {
     "enc": f"""SELECT id, pos, coalesce(token_id, {RESERVED['[UNK]']}) AS token_id
         FROM enc_long LEFT JOIN vocab USING (token)""",
     "ids": "SELECT id, list(token_id ORDER BY pos) AS ids FROM enc GROUP BY id",
-    "keyed": "SELECT id, sha256(array_to_string(ids, ',')) AS key, len(ids) AS n FROM ids",
+    "keyed": f"""SELECT id, sha256(array_to_string(ids[1:{MAX_TOKENS}], ',')) AS key,
+        least(len(ids), {MAX_TOKENS}) AS n FROM ids""",
     "folded": f"""SELECT id, target, CAST(ntile({K}) OVER (PARTITION BY target
         ORDER BY md5('{SEED}|' || id), id) - 1 AS INTEGER) AS fold FROM mentions_v""",
     "shuffled": _ranked("mentions_v", f"md5('{SEED}|0|' || id), id"),
