@@ -86,7 +86,7 @@ def pad_truncate(
     padded = F.slice(F.concat("ids", F.array_repeat(F.lit(0), F.col("width"))), F.lit(1), F.col("width"))
     fields = df.schema["spans"].dataType.fieldNames()
     moved = F.struct(*[(F.col("spans")[f] + 1).alias(f) for f in fields])
-    ends = F.greatest(*[F.col("spans")[f] for f in fields if f.endswith("_end")])
+    ends = F.array_max(F.array(*[F.col("spans")[f] for f in fields if f.endswith("_end")]))
     return (
         df.withColumn("width", width)
         .withColumn("ids", padded)
