@@ -28,15 +28,14 @@ def check_single_token_pronoun(df: DataFrame, spans: str = "spans") -> DataFrame
 
 
 def check_template(df: DataFrame, template: DataFrame) -> DataFrame:
-    """Ids that only one of the two tables has."""
-    ids, wanted = df.select("id"), template.select("id")
-    return (
-        wanted.join(ids, "id", "left_anti")
-        .withColumn("missing_from", F.lit("table"))
-        .unionByName(
-            ids.join(wanted, "id", "left_anti").withColumn("missing_from", F.lit("template"))
-        )
+    """Ids that only one of the two tables has, from one join over both."""
+    ids = df.select("id", F.lit(True).alias("_in_table"))
+    wanted = template.select("id", F.lit(True).alias("_in_template"))
+    missing = F.when(F.col("_in_table").isNull(), "table").when(
+        F.col("_in_template").isNull(), "template"
     )
+    both = ids.join(wanted, "id", "full").select("id", missing.alias("missing_from"))
+    return both.filter(F.col("missing_from").isNotNull())
 
 
 def marker_filter(df: DataFrame, col: str | Column, marker: str = "#") -> DataFrame:

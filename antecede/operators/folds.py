@@ -53,7 +53,7 @@ def batch_assign(
         bucket = F.substr("_order", F.lit(1), F.lit(3))
         ranked = rank_within(keyed, by, ["_order", "id"], bucket, "_rank").drop("_order")
     else:
-        sliced = range_buckets(df.withColumn("_all", F.lit(0)), "_all", order).drop("_all")
+        sliced = range_buckets(df, None, order)
         ranked = rank_within(sliced, by, [order], F.col("_range"), "_rank").drop("_range")
     place = F.col("_rank") - 1
     batched = ranked.withColumns(

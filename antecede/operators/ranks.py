@@ -90,24 +90,25 @@ def apply_cuts(df: DataFrame, cuts: DataFrame, group: str, order: list[str], nam
     )
 
 
-def range_buckets(df: DataFrame, group: str, order: str, n: int = 32) -> DataFrame:
+def range_buckets(df: DataFrame, group: str | None, order: str, n: int = 32) -> DataFrame:
     """Adds ``_range``, which of about ``n * n`` equal slices of its group a numeric key is in.
 
     The slice is found in two steps of ``n`` comparisons. Quantiles are approximate, which
     only shifts slice sizes: ranks built on the slices stay exact.
     """
     steps = F.array(*[F.lit(i / n**2) for i in range(1, n**2)])
-    edges = df.groupBy(F.col(group).alias("_group")).agg(
-        F.percentile_approx(order, steps, 10 * n**2).alias("_edges")
-    )
-    # Every n-th edge, then the edges between two of those.
-    edges = edges.withColumn("_wide", F.filter("_edges", lambda e, i: (i + 1) % n == 0))
-    wide = F.size(F.filter("_wide", lambda e: e <= F.col(order)))
-    within = F.size(
-        F.filter(F.slice("_edges", F.col("_slot") * n + 1, n - 1), lambda e: e <= F.col(order))
-    )
-    return (
-        df.join(F.broadcast(edges), F.col(group).eqNullSafe(F.col("_group")), "left")
-        .withColumn("_slot", wide)
-        .select(*df.columns, (F.col("_slot") * n + within).alias("_range"))
+    quantiles = F.percentile_approx(order, steps, 10 * n**2).alias("_edges")
+    if group is None:
+        edged = df.withColumn("_edges", df.agg(quantiles).scalar())
+    else:
+        edges = df.groupBy(F.col(group).alias("_group")).agg(quantiles)
+        edged = df.join(F.broadcast(edges), F.col(group).eqNullSafe(F.col("_group")), "left")
+
+    def at_or_below(edges: Column) -> Column:
+        return F.size(F.filter(edges, lambda e: e <= F.col(order)))
+
+    every_nth = F.filter("_edges", lambda e, i: (i + 1) % n == 0)
+    following = F.slice("_edges", F.col("_wide") * n + 1, n - 1)
+    return edged.withColumn("_wide", at_or_below(every_nth)).select(
+        *df.columns, (F.col("_wide") * n + at_or_below(following)).alias("_range")
     )

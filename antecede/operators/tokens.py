@@ -1,8 +1,11 @@
 """Token and sentence tables, and the token sequence of a mention row."""
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from antecede.functions import text as tx
+from antecede.functions.stopwords import STOPWORDS
 from antecede.functions.text import between
 
 
@@ -25,24 +28,22 @@ def sentence_split(df: DataFrame) -> DataFrame:
     return rows.withColumn("n_tokens", F.regexp_count("sentence", F.lit(tx.TOKEN)))
 
 
-def token_table(df: DataFrame, stopwords: DataFrame) -> DataFrame:
+def token_table(df: DataFrame, stopwords: Sequence[str] = STOPWORDS) -> DataFrame:
     """Tokens with shape, alphabetic and stop-word flags.
 
-    ``stopwords`` has one column ``token`` in lower case. Shapes keep at most four equal
-    classes in a row.
+    Shapes keep at most four equal classes in a row. Stop words are in lower case.
     """
     shape = F.col("token")
     for pattern, letter in ((r"[a-z]", "x"), (r"[A-Z]", "X"), (r"[0-9]", "d")):
         shape = F.regexp_replace(shape, pattern, letter)
     for letter in "xXd":
         shape = F.regexp_replace(shape, f"{letter}{{5,}}", letter * 4)
-    stop = stopwords.select(F.col("token").alias("_stop")).distinct()
-    return (
-        word_tokens(df)
-        .withColumns({"shape": shape, "is_alpha": F.rlike("token", F.lit("^[A-Za-z]+$"))})
-        .join(stop, F.lower("token") == F.col("_stop"), "left")
-        .withColumn("is_stop", F.col("_stop").isNotNull())
-        .drop("_stop")
+    return word_tokens(df).withColumns(
+        {
+            "shape": shape,
+            "is_alpha": F.rlike("token", F.lit("^[A-Za-z]+$")),
+            "is_stop": F.lower("token").isin(list(stopwords)),
+        }
     )
 
 

@@ -5,7 +5,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from antecede.functions import numeric as nm, text as tx
-from antecede.functions.stopwords import STOPWORDS
 from antecede.operators import (
     checks,
     features,
@@ -186,8 +185,7 @@ def positional_prior(spark, sf_dir):
 
 @query
 def token_table(spark, sf_dir):
-    words = spark.createDataFrame([(w,) for w in STOPWORDS], "token string")
-    out = tokens.token_table(fx.english(spark, sf_dir), words)
+    out = tokens.token_table(fx.english(spark, sf_dir))
     return out.select("id", "pos", "token", "shape", "is_alpha", "is_stop")
 
 
@@ -531,7 +529,8 @@ def topk_snapshot_ensemble(spark, sf_dir):
     prior = prior.select("id", (F.col("id") % (last_run + 1)).alias("run"), *scoring.CLASSES)
     kept = written(kept, "snapshots")
     pred = prior.join(kept, "run").withColumn("pr_a", F.col("pr_a") + F.col("loss").cast("double") / 997)
-    out = scoring.topk_snapshot_ensemble(kept, written(pred.select("run", "step", "id", *scoring.CLASSES), "predictions"))
+    pred = written(pred.select("run", "step", "id", *scoring.CLASSES), "predictions")
+    out = scoring.topk_snapshot_ensemble(kept, pred)
     return out.select("run", "id", *pr6(out))
 
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from antecede.functions.numeric import EDGES9, hash_key
+from antecede.functions.numeric import EDGES9
 from antecede.functions.text import char_to_token
 from antecede.operators.labels import positional_prior
 from antecede.operators.ranks import rank_within

@@ -3,7 +3,6 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from antecede.functions import text as tx
 from antecede.operators import scoring, sequences, vectors
 
 
