@@ -63,7 +63,8 @@ def _pieces(text: Column, markers: bool, tail: bool = False) -> Column:
     marked = F.regexp_replace(clean, r"([.!?])", "$1 [SEP] ")
     if tail:
         # The last sentence of the tail is closed even without a terminator.
-        unended = F.rlike(clean, F.lit(r"[^.!?\s]\s*$"))
+        last = F.right(F.rtrim(clean, F.lit(tx.WHITE_SPACE)), F.lit(1))
+        unended = (last != "") & ~tx.is_terminator(last)
         marked = F.when(unended, F.concat(marked, F.lit(" [SEP]"))).otherwise(marked)
     return tx.marked_tokens(marked)
 

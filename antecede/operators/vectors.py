@@ -100,7 +100,7 @@ def align_spans(
     """
 
     def solid(text: Column) -> Column:
-        return F.length(F.regexp_replace(text, r"[\s#]", ""))
+        return F.length(F.replace(F.regexp_replace(text, r"\s+", ""), F.lit("#"), F.lit("")))
 
     text = F.col("text")
     pieces = F.filter(

@@ -12,6 +12,7 @@ from antecede.operators.ranks import rank_within
 _OPEN, _CLOSE = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 _PRONOUN = rf"(?=[HhSs]){_OPEN}(?:[Hh]e|[Ss]he|[Hh]im|[Hh]is|[Hh]er|[Hh]ers){_CLOSE}"
 _NAME = rf"(?=[A-Z]){_OPEN}[A-Z][a-z]{{2,}}{_CLOSE}"
+_NAME_REVERSED = rf"{_OPEN}[a-z]{{2,}}+[A-Z]{_CLOSE}"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,12 +43,11 @@ def _with_first(df: DataFrame, name: str, off: str, text: Column, pattern: str,
     )
 
 
-def _with_last(df: DataFrame, name: str, off: str, text: Column, pattern: str) -> DataFrame:
-    found = F.struct(
-        F.regexp_extract(text, rf"^[\s\S]*({pattern})", 1).alias(name),
-        F.length(F.regexp_extract(text, rf"^([\s\S]*){pattern}", 1)).alias(off),
-    )
-    return _keep_found(df, found, lambda m: m[name] != "")
+def _with_last(df: DataFrame, name: str, off: str, text: Column, reversed_pattern: str) -> DataFrame:
+    """Last match and its offset: the first one of the reversed text, so the search is short."""
+    mirrored = _with_first(df, "_mirrored", "_behind", F.reverse(text), reversed_pattern)
+    start = F.length(text) - F.col("_behind") - F.length("_mirrored")
+    return mirrored.withColumns({name: F.reverse("_mirrored"), off: start}).drop("_mirrored", "_behind")
 
 
 def english(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +58,7 @@ def english(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     text, after_pronoun = F.col("text"), F.col("p_off") + F.length("pronoun")
     found = _with_first(english(spark, sf_dir), "pronoun", "p_off", text, _PRONOUN)
-    found = _with_last(found, "a", "a_off", F.substr(text, F.lit(1), F.col("p_off")), _NAME)
+    found = _with_last(found, "a", "a_off", F.substr(text, F.lit(1), F.col("p_off")), _NAME_REVERSED)
     shift = F.when(F.col("id") % 2 == 0, after_pronoun).otherwise(0)
     found = _with_first(found, "b", "b_off", F.substr(text, shift + 1), _NAME, shift)
     found = found.filter(F.col("a_off") != F.col("b_off"))
