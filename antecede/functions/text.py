@@ -9,7 +9,7 @@ from pyspark.sql import Column, functions as F
 # Where the first branch fails, \S is any other non-space character. Spelled out as a negated
 # class it costs several times as much.
 TOKEN = r"[A-Za-z0-9]++|\S"
-MARKED_TOKEN = r"\[SEP\]|" + TOKEN
+MARKED_TOKEN = r"[A-Za-z0-9]++|\[SEP\]|\S"
 TERMINATORS = (".", "!", "?")
 _SENTENCE = r"[^.!?]*+[.!?]|[^.!?]++"
 _TOKEN_START = r"[A-Za-z0-9]([A-Za-z0-9]*+)|\S"
@@ -118,4 +118,4 @@ def nonspace_length(text: Column) -> Column:
 
 def piece_length(token: Column) -> Column:
     """Length of a token without piece markers and spaces."""
-    return F.length(F.translate(token, "# ", ""))
+    return F.length(F.replace(F.replace(token, F.lit("#"), F.lit("")), F.lit(" "), F.lit("")))

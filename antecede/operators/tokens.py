@@ -1,5 +1,6 @@
 """Token and sentence tables, and the token sequence of a mention row."""
 
+import string
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -33,11 +34,9 @@ def token_table(df: DataFrame, stopwords: Sequence[str] = STOPWORDS) -> DataFram
 
     Shapes keep at most four equal classes in a row. Stop words are in lower case.
     """
-    shape = F.col("token")
-    for pattern, letter in ((r"[a-z]", "x"), (r"[A-Z]", "X"), (r"[0-9]", "d")):
-        shape = F.regexp_replace(shape, pattern, letter)
-    for letter in "xXd":
-        shape = F.regexp_replace(shape, f"{letter}{{5,}}", letter * 4)
+    lower, upper, digits = string.ascii_lowercase, string.ascii_uppercase, string.digits
+    classes = F.translate("token", lower + upper + digits, "x" * 26 + "X" * 26 + "d" * 10)
+    shape = F.regexp_replace(classes, r"([xXd])\1{4,}", "$1$1$1$1")
     return word_tokens(df).withColumns(
         {
             "shape": shape,
@@ -60,11 +59,13 @@ def _pieces(text: Column, markers: bool, tail: bool = False) -> Column:
     clean = tx.normalise_text(text)
     if not markers:
         return tx.tokens(clean)
-    marked = F.regexp_replace(clean, r"([.!?])", "$1 [SEP] ")
+    marked = clean
+    for end in tx.TERMINATORS:
+        marked = F.replace(marked, F.lit(end), F.lit(f"{end} [SEP] "))
     if tail:
         # The last sentence of the tail is closed even without a terminator.
-        last = F.right(F.rtrim(clean, F.lit(tx.WHITE_SPACE)), F.lit(1))
-        unended = (last != "") & ~tx.is_terminator(last)
+        last = F.substr(F.rtrim(clean, F.lit(tx.WHITE_SPACE)), F.lit(-1))
+        unended = ~last.isin("", *tx.TERMINATORS)
         marked = F.when(unended, F.concat(marked, F.lit(" [SEP]"))).otherwise(marked)
     return tx.marked_tokens(marked)
 

@@ -103,13 +103,11 @@ def align_spans(
         return F.length(F.replace(F.regexp_replace(text, r"\s+", ""), F.lit("#"), F.lit("")))
 
     text = F.col("text")
-    pieces = F.filter(
-        F.transform(tokens, lambda t, i: F.struct(i.alias("pos"), tx.piece_length(t).alias("len"))),
-        lambda t: t["len"] > 0,
-    )
-    # One S per token start in a string as long as the characters of all tokens.
-    marks = F.array_join(F.transform("_pieces", lambda t: F.rpad(F.lit("S"), t["len"], F.lit("."))), "")
-    prepared = df.withColumn("_pieces", pieces).withColumn("_marks", marks)
+    prepared = df.withColumn("_lengths", F.transform(tokens, tx.piece_length))
+    # Tokens that have characters, and one S per start in a string as long as all of these.
+    places = F.filter(F.transform("_lengths", lambda n, i: F.when(n > 0, i)), lambda i: i.isNotNull())
+    drawn = F.transform("_lengths", lambda n: F.rpad(F.when(n > 0, "S").otherwise(""), n, F.lit(".")))
+    prepared = prepared.withColumns({"_places": places, "_marks": F.array_join(drawn, "")})
 
     def found(slot: str, off: str, name: Column, exact: bool) -> Column:
         start = solid(tx.before(text, F.col(off)))
@@ -119,8 +117,8 @@ def align_spans(
             F.replace(F.substr("_marks", start + 1, length), F.lit("."), F.lit(""))
         )
         return F.transform(
-            F.slice("_pieces", ahead + 1, within),
-            lambda t: F.struct(F.lit(slot).alias("span"), t["pos"].alias("pos")),
+            F.slice("_places", ahead + 1, within),
+            lambda pos: F.struct(F.lit(slot).alias("span"), pos.alias("pos")),
         )
 
     spans = F.concat(
@@ -160,11 +158,10 @@ def span_mean_pool(df: DataFrame, token_vectors: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("_list")
     )
     texts = listed.withColumn("tokens", F.col("_list")["token"]).withColumn(
-        "_places", F.col("_list")["pos"]
+        "_listed", F.col("_list")["pos"]
     )
-    nth = F.get("_places", F.col("pos"))
-    places = align_spans(df.join(texts, "id"), keep=("_places",))
-    places = places.select("id", "span", nth.alias("pos"))
+    found = align_spans(df.join(texts, "id"), keep=("_listed",))
+    places = found.select("id", "span", F.get("_listed", F.col("pos")).alias("pos"))
     return pool_spans(places.join(token_vectors.select("id", "pos", "vector"), ["id", "pos"]))
 
 
