@@ -20,7 +20,7 @@ def target_counts(df: DataFrame) -> DataFrame:
 
 
 def log_loss(df: DataFrame, by: str | None = "fold") -> DataFrame:
-    """Mean cross-entropy per group and, in the row without a group, over all rows.
+    """Mean cross-entropy per group and, in the row without a group, over all labelled rows.
 
     Probabilities are normalised first. Addends are decimals, so that the sum does not
     depend on how rows are partitioned.
@@ -28,7 +28,8 @@ def log_loss(df: DataFrame, by: str | None = "fold") -> DataFrame:
     classes = F.array("pr_a", "pr_b", "pr_neither")
     total = F.col("pr_a") + F.col("pr_b") + F.col("pr_neither")
     share = F.greatest(F.get(classes, F.col("target")) / total, F.lit(EPSILON))
-    scored = df.withColumn("_loss", (-F.log(share)).cast("decimal(28,12)"))
+    loss = F.when(F.col("target").isNotNull(), -F.log(share))
+    scored = df.withColumn("_loss", loss.cast("decimal(28,12)"))
     measures = [
         F.count("_loss").alias("n"),
         (F.sum("_loss").cast("double") / F.nullif(F.count("_loss"), F.lit(0))).alias("loss"),

@@ -16,10 +16,17 @@ _NAME_REVERSED = rf"{_OPEN}[a-z]{{2,}}+[A-Z]{_CLOSE}"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table. A file of fewer splits than cores is spread over all of them."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame, per_split: int = 8) -> DataFrame:
+    """Rows of a table with fewer splits than there are cores, moved to more of the cores.
+
+    Searching texts costs far more than reading them, and a small file is one split. A table
+    with splits for all cores stays where it is.
+    """
+    splits, cores = df.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(min(cores, splits * per_split)) if splits < cores else df
 
 
 def _keep_found(df: DataFrame, found: Column, test) -> DataFrame:
@@ -52,7 +59,7 @@ def _with_last(df: DataFrame, name: str, off: str, text: Column, reversed_patter
 
 def english(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").filter(F.col("lang") == "en")
-    return docs.select(F.col("doc_id").alias("id"), "text")
+    return spread(docs.select(F.col("doc_id").alias("id"), "text"))
 
 
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,11 +58,11 @@ def test_scorer_beats_the_prior(spark):
 
 
 def test_log_loss(spark):
-    rows = [(0, 0, 0.5, 0.25, 0.25), (0, 1, 1.0, 2.0, 1.0), (1, 2, 0.0, 1.0, 0.0)]
+    rows = [(0, 0, 0.5, 0.25, 0.25), (0, 1, 1.0, 2.0, 1.0), (1, 2, 0.0, 1.0, 0.0), (1, None, 1.0, 0.0, 0.0)]
     df = spark.createDataFrame(rows, "fold int, target int, pr_a double, pr_b double, pr_neither double")
     got = {r.fold: (r.n, r.loss) for r in metrics.log_loss(df).collect()}
     assert abs(got[0][1] - 0.693147180560) < 1e-9
-    assert got[1][1] > 30 and got[None][0] == 3
+    assert got[1][0] == 1 and got[1][1] > 30 and got[None][0] == 3
 
 
 def test_narrow_types(spark):
