@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from antecede.llm import bpe, decontaminate, sharding, sql
+from antecede.llm import bpe, decontaminate, kneser_ney, line_dedup, near_dup, quality_rules, sharding, sql
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 SHARD_NAMES = [f"shard-{n:05d}" for n in range(sharding.SHARDS)]
@@ -27,6 +27,29 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(docs, "doc_id", SHARD_NAMES)
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity, thresholds and verdict of every document."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return kneser_ney.classify(docs, labels)
+
+
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of near duplicates of every document."""
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, calibrated probability and verdict of every document."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality_rules.quality(docs, quality_rules.fit(docs, labels))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text without passages of three lines and more that stood elsewhere before."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.drop_repeated(docs)
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark items that every document holds."""
     return decontaminate.contained_items(
@@ -35,11 +58,21 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_byte_bpe, op3_sharding, op10_decontamination)}
+    found = (
+        op2_byte_bpe,
+        op3_sharding,
+        op6_quality_classifier,
+        op7_near_duplicates,
+        op8_quality_rules,
+        op9_line_dedup,
+        op10_decontamination,
+    )
+    return {f.__name__: f for f in found}
 
 
 def all_sql() -> dict[str, str]:
     return {
         "op3_sharding": sql.sharding(SHARD_NAMES),
+        "op9_line_dedup": sql.line_dedup(),
         "op10_decontamination": sql.decontamination(),
     }

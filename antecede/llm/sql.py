@@ -46,3 +46,29 @@ shared AS (
 )
 SELECT doc_id, item_id, n_shared, n_item
 FROM shared JOIN item_size USING (item_id) WHERE 5 * n_shared >= 4 * n_item"""
+
+
+def line_dedup() -> str:
+    return r"""
+WITH line AS (
+  SELECT doc_id, text, i, ls[i] AS x
+  FROM (SELECT doc_id, text, ls, unnest(generate_series(1, len(ls))) AS i
+        FROM (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents))
+), three AS (
+  SELECT doc_id, i AS first, lead(i, 2) OVER d AS last,
+         x AS x1, lead(x) OVER d AS x2, lead(x, 2) OVER d AS x3
+  FROM line WHERE regexp_matches(x, '[^\x20\x09-\x0D]')
+  WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+), later AS (
+  SELECT doc_id, first, last FROM (
+    SELECT *, row_number() OVER (PARTITION BY x1, x2, x3 ORDER BY doc_id, first) AS k
+    FROM three WHERE last IS NOT NULL)
+  WHERE k > 1
+), gone AS (SELECT DISTINCT doc_id, unnest(generate_series(first, last)) AS i FROM later),
+kept AS (
+  SELECT line.doc_id, count(gone.i) AS n_removed,
+         coalesce(string_agg(x, chr(10) ORDER BY line.i) FILTER (WHERE gone.i IS NULL), '') AS text
+  FROM line LEFT JOIN gone ON line.doc_id = gone.doc_id AND line.i = gone.i GROUP BY line.doc_id
+)
+SELECT documents.doc_id, kept.text, coalesce(n_removed, 0) AS n_removed
+FROM documents LEFT JOIN kept USING (doc_id)"""

@@ -15,8 +15,8 @@ SHINGLE = 5
 #: Texts of a batch are worked on in runs of about so many bytes, to bound the arrays.
 RUN_BYTES = 4 << 20
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _KEEP = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
@@ -76,7 +76,7 @@ class Words:
         data, self.at = raw_texts(column)
         self.data = _LOWER[data] if lower else data
         size = len(data)
-        word = ~_SPACE[data]
+        word = ~SPACE[data]
         full = self.at[1:] > self.at[:-1]
         opens, closes = word.copy(), word.copy()
         if size:
