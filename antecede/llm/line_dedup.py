@@ -8,6 +8,11 @@ SPAN = 3
 _WORD = r"[^\x20\x09-\x0D]"
 
 
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, though functions of elements refer to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _numbered(lines: Column) -> Column:
     """Number and hash of the lines that have a word."""
     every = F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.rlike(_WORD).alias("full"), F.xxhash64(x).alias("h")))
@@ -20,11 +25,8 @@ def windows(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int
     ``first`` and ``last`` are numbers of lines in the text, from 0; ``a`` and ``b`` are a
     128-bit hash; ``again`` tells that the document has the same run further up.
     """
-    lines = docs.select(F.col(f"`{key}`").alias("key"), _numbered(F.split(F.col(f"`{text}`"), "\n")).alias("n"))
-    lines = lines.filter(F.size("n") >= span)
-
-    def window(at: Column) -> Column:
-        parts = [F.col("n")[(at + k).cast("int")] for k in range(span)]
+    def window(lines: Column, at: Column) -> Column:
+        parts = [F.get(lines, (at + k).cast("int")) for k in range(span)]
         hashes = [p["h"] for p in parts]
         return F.struct(
             parts[0]["i"].alias("first"),
@@ -33,8 +35,12 @@ def windows(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int
             F.xxhash64(F.lit(span), *reversed(hashes)).alias("b"),
         )
 
-    starts = F.sequence(F.lit(0), F.size("n") - span)
-    rows = lines.select("key", F.transform(starts, window).alias("w"))
+    def all_windows(lines: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(lines) - span, F.lit(0)))
+        return F.when(F.size(lines) >= span, F.transform(starts, lambda at: window(lines, at)))
+
+    lines = _numbered(F.split(F.col(f"`{text}`"), "\n"))
+    rows = docs.select(F.col(f"`{key}`").alias("key"), _bound(lines, all_windows).alias("w")).filter("w is not null")
     # The first place of each hash in the document, from a map of distinct hashes.
     marks = F.transform("w", lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b")))
     rows = rows.withColumn("repeats", F.size(F.array_distinct(marks)) < F.size("w"))
@@ -79,8 +85,12 @@ def drop_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", span
     kept = docs.select([F.col(f"`{c}`") for c in docs.columns if c.lower() != "n_removed"])
     joined = kept.join(gone.withColumnRenamed("gone", "_gone"), F.col(f"`{key}`") == F.col("_key"), "left")
     lines = F.split(F.col(f"`{text}`"), "\n")
-    numbers = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
-    left = F.array_join(F.transform(numbers, lambda i: F.get(lines, i)), "\n")
+
+    def without(lines: Column) -> Column:
+        numbers = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
+        return F.array_join(F.transform(numbers, lambda i: F.get(lines, i)), "\n")
+
+    left = _bound(lines, without)
     joined = joined.withColumn(text, F.when(F.col("_gone").isNotNull(), left).otherwise(F.col(f"`{text}`")))
     removed = F.coalesce(F.size("_gone"), F.lit(0)).cast("long")
     removed = F.when(F.col("_gone").isNull(), F.lit(0).cast("long")).otherwise(removed)
