@@ -3,9 +3,21 @@
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
-
-from antecede.llm import bpe, decontaminate, kneser_ney, line_dedup, near_dup, quality_rules, sharding, sql
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from antecede.llm import (
+    bpe,
+    decontaminate,
+    kneser_ney,
+    licenses,
+    line_dedup,
+    near_dup,
+    ngram_filter,
+    quality_rules,
+    sharding,
+    sql,
+    token_counts,
+)
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 SHARD_NAMES = [f"shard-{n:05d}" for n in range(sharding.SHARDS)]
@@ -15,6 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence notices that every document holds."""
+    return licenses.find_notices(table(spark, sf_dir, "documents"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count and hashes of ids and decoded bytes of every document."""
     ranks = bpe.read_ranks(RANKS)
@@ -27,6 +44,19 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(docs, "doc_id", SHARD_NAMES)
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every document, encoded as a whole."""
+    docs = table(spark, sf_dir, "documents")
+    return token_counts.token_counts(docs, bpe.read_ranks(RANKS), public_tokenizers.PATTERN)
+
+
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model score of every document, learnt from nine tenths of them."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
+    return ngram_filter.score_documents(docs, held_out)
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Perplexity, thresholds and verdict of every document."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -59,8 +89,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
+        op1_license_scan,
         op2_byte_bpe,
         op3_sharding,
+        op4_token_counts,
+        op5_lm_scoring,
         op6_quality_classifier,
         op7_near_duplicates,
         op8_quality_rules,
@@ -72,6 +105,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def all_sql() -> dict[str, str]:
     return {
+        "op1_license_scan": sql.license_scan(),
         "op3_sharding": sql.sharding(SHARD_NAMES),
         "op9_line_dedup": sql.line_dedup(),
         "op10_decontamination": sql.decontamination(),

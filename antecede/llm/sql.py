@@ -1,6 +1,6 @@
 """The queries that SQL can state, for DuckDB."""
 
-from antecede.llm import sharding as shards
+from antecede.llm import licenses, sharding as shards
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -33,6 +33,28 @@ WITH placed AS (
 SELECT doc_id, slot, shards[slot + 1] AS shard, names[shards[slot + 1] + 1] AS shard_name FROM placed, filled"""
 
 
+def license_scan(notices: dict[str, str] = licenses.NOTICES) -> str:
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    listed = ", ".join(f"({quote(name)}, {quote(text)})" for name, text in notices.items())
+    plain = f"translate(coalesce(text, ''), {quote(licenses.FROM)}, {quote(licenses.TO)})"
+    words_ = f"regexp_extract_all({plain}, '[^\\x20\\x09-\\x0D]+')"
+    runs = "unnest(CASE WHEN len(w) >= 5 THEN list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' ')) ELSE [] END)"
+    return f"""
+WITH notice AS (
+  SELECT DISTINCT license, {runs} AS s
+  FROM (SELECT license, {words_} AS w FROM (VALUES {listed}) t(license, text))
+), whole AS (SELECT license, count(*) AS n_notice FROM notice GROUP BY license),
+run AS (
+  SELECT doc_id, {runs} AS s, {runs.replace("array_to_string(w[i:i + 4], ' ')", "i - 1")} AS word
+  FROM (SELECT doc_id, {words_} AS w FROM documents)
+), found AS (
+  SELECT doc_id, license, count(DISTINCT run.s) AS n_shared, min(word) AS first_word
+  FROM run JOIN notice ON run.s = notice.s GROUP BY doc_id, license
+)
+SELECT doc_id, license, n_shared, n_notice, first_word
+FROM found JOIN whole USING (license) WHERE 5 * n_shared >= 4 * n_notice"""
+
+
 def decontamination() -> str:
     return f"""
 WITH item AS (SELECT item_id, {words()} AS w FROM benchmark WHERE item_id IS NOT NULL),
