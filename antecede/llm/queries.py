@@ -2,6 +2,7 @@
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -100,13 +101,14 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_line_dedup,
         op10_decontamination,
     )
-    return {f.__name__: f for f in found}
+    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def all_sql() -> dict[str, str]:
-    return {
+    found = {
         "op1_license_scan": sql.license_scan(),
         "op3_sharding": sql.sharding(SHARD_NAMES),
         "op9_line_dedup": sql.line_dedup(),
         "op10_decontamination": sql.decontamination(),
     }
+    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
