@@ -255,13 +255,13 @@ class Model:
         c1, ch = counts[word], context_counts[context]
         c2 = np.minimum(self.pair_means[self.pairs.levels(pairs, shards)], np.minimum(c1, ch))
 
-        total = lambda x: np.bincount(text, x, texts)
+        total = lambda x: np.bincount(text, x, texts).astype(np.float64)
         out: dict = {"n_tokens": np.bincount(text, minlength=texts)}
         known = exact[word]
         floor = self.n + 0.1 * (self.v + 1)
         out["n_known"] = np.bincount(text[known], minlength=texts)
         logs = np.log10((counts + 0.1) / floor) if floor > 0 else np.zeros(len(counts))
-        out["base"] = np.bincount(text[known], logs[word[known]], texts)
+        out["base"] = np.bincount(text[known], logs[word[known]], texts).astype(np.float64)
         # The words whose exact count must be looked up.
         tail = np.flatnonzero(~known)
         tail = tail[np.argsort(text[tail], kind="stable")]
