@@ -1,14 +1,14 @@
 """Near duplicates: MinHash signatures joined by a multi-index over their chunks.
 
-A signature has 40 values of 16 bits, each the lowest bits of the hash of the shingle that is
+A signature has 80 values of 16 bits, each the lowest bits of the hash of the shingle that is
 first under one ordering of all shingles. Two sets of Jaccard similarity s differ in each value
 with probability 1 - s. The distance of signatures is the number of values that differ.
 
-Pigeonhole: 40 values in 8 chunks of 5. Signatures at a distance of at most 15 have a chunk
+Pigeonhole: 80 values in 10 chunks of 8. Signatures at a distance of at most 19 have a chunk
 with at most one differing value, so with every chunk and every choice of one value to leave
-out (8 * 5 keys, each of the 4 values that are left) they share a key for sure. At s = 0.85 the
-distance is over 15 with probability 0.0002, and even then they mostly share a key: all 8 chunks
-have two or more differing values with probability 0.165^8 = 5e-7.
+out (10 * 8 keys, each of the 7 values that are left) they share a key for sure. Beyond that
+distance they mostly do: at s = 0.85 all 10 chunks have two or more differing values with
+probability 0.343^10 = 2e-5.
 """
 
 from collections.abc import Iterator
@@ -21,7 +21,9 @@ from antecede.llm import words as W
 from antecede.llm.components import components
 from antecede.session import written
 
-VALUES, CHUNK = 40, 5
+VALUES, CHUNK = 80, 8
+#: Buckets of more members than this are compared in blocks of about ``BLOCK`` nodes, not by pairs.
+HOT, BLOCK = 128, 256
 #: Documents are linked from this similarity on, in per cent.
 SIMILARITY = 85
 _SEED = 7
@@ -67,21 +69,17 @@ def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, shingles): the sorted distinct shingle hashes of every row of (doc_id, text)."""
+    """(doc_id, packed): the sorted distinct shingle hashes of every row of (doc_id, text), as bytes."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def work(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         parsed = W.Words(part.column(1))
         flat, bounds = W.shingles(parsed, parsed.hashes())
-        own = [np.unique(flat[a:z]) for a, z in zip(bounds[:-1], bounds[1:])]
-        ends = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
-        values = np.concatenate(own) if own else np.zeros(0, np.uint64)
-        sets = pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64)))
-        yield pa.RecordBatch.from_arrays([part.column(0), sets], names=["doc_id", "shingles"])
-
-    return docs.select("doc_id", "text").mapInArrow(
-        W.map_runs(work), f"doc_id {kind}, shingles array<long>"
-    )
+        own = [np.unique(flat[a:z]).tobytes() for a, z in zip(bounds[:-1], bounds[1:])]
+        columns = [part.column(0), pa.array(own, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "packed"])
+
+    return docs.select("doc_id", "text").mapInArrow(W.map_runs(work), f"doc_id {kind}, packed binary")
 
 
 def chunk_keys(representatives: DataFrame) -> DataFrame:
@@ -96,42 +94,130 @@ def chunk_keys(representatives: DataFrame) -> DataFrame:
 
 def confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """The pairs (u, v) whose full shingle sets are similar enough."""
-    first = sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("_a"))
-    second = sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("_b"))
-    shared = F.size(F.array_intersect("_a", "_b"))
-    union = F.size("_a") + F.size("_b") - F.col("_shared")
-    return (
-        pairs.join(second, "v")
-        .join(first, "u")
-        .select("u", "v", shared.alias("_shared"), "_a", "_b")
-        .filter(100 * F.col("_shared") >= similarity * union)
-        .select("u", "v")
-    )
-
-
-def _labelled(shared: DataFrame, links: DataFrame) -> DataFrame:
-    """Bucket members (key, node, label) of the buckets that hold more than one component."""
-    labels = components(links).select(F.col("node"), F.col("component").alias("_component"))
+    first = sets.select(F.col("doc_id").alias("u"), F.col("packed").alias("a"))
+    second = sets.select(F.col("doc_id").alias("v"), F.col("packed").alias("b"))
+    kind = pairs.schema["u"].dataType.simpleString()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = []
+            for i, (a, b) in enumerate(zip(batch.column(2), batch.column(3))):
+                a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+                shared = np.intersect1d(a, b, assume_unique=True).size
+                if 100 * shared >= similarity * (a.size + b.size - shared):
+                    near.append(i)
+            yield batch.select([0, 1]).take(pa.array(near, pa.int64()))
+
+    rows = pairs.join(second, "v").join(first, "u").select("u", "v", "a", "b")
+    return rows.mapInArrow(work, f"u {kind}, v {kind}")
+
+
+def _mixed(shared: DataFrame, links: DataFrame) -> DataFrame:
+    """Bucket members (key, node, label, size) of the buckets that hold more than one component."""
+    labels = components(links).select("node", F.col("component").alias("_component"))
     members = shared.join(labels, "node", "left").select(
         "key", "node", F.coalesce("_component", "node").alias("label")
     )
-    mixed = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    return written(members.join(mixed.filter("low < high"), "key"), "mixed")
+    spread = members.groupBy("key").agg(
+        F.min("label").alias("_low"), F.max("label").alias("_high"), F.count(F.lit(1)).alias("size")
+    )
+    spread = spread.filter("_low < _high").select("key", "size")
+    return written(members.join(spread, "key"), "mixed")
+
+
+def _links_in_block(rows: pa.Table, similarity: int) -> pa.Table:
+    """Links between the nodes of a block pair that have different labels, enough to connect them."""
+    nodes, labels = rows.column("node"), rows.column("label").to_numpy()
+    sets = [x.as_buffer() for chunk in rows.column("packed").chunks for x in chunk]
+    sets = [np.frombuffer(x, np.uint64) for x in sets]
+    sizes = np.array([len(x) for x in sets], np.float64)
+    of = np.repeat(np.arange(len(sets)), sizes.astype(np.int64))
+    _, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.cumsum(often > 1) - 1  # shingles of a single node are shared with none
+    of, column = of[often[column] > 1], place[column[often[column] > 1]]
+    order = np.argsort(column, kind="stable")
+    of, column = of[order], column[order]
+    shared = np.zeros((len(sets), len(sets)), np.float32)
+    for begin in range(0, int(place[-1]) + 1 if len(place) else 0, 4096):
+        a, z = np.searchsorted(column, [begin, begin + 4096])
+        has = np.zeros((len(sets), 4096), np.float32)
+        has[of[a:z], column[a:z] - begin] = 1
+        shared += has @ has.T
+    union = sizes[:, None] + sizes[None, :] - shared
+    near = (100 * shared >= similarity * union) & (labels[:, None] != labels[None, :])
+    names = labels.tolist()
+    up = {x: x for x in names}
+
+    def root(x):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    first, second = [], []
+    for i, j in zip(*np.nonzero(np.triu(near, 1))):
+        a, z = root(names[i]), root(names[j])
+        if a != z:
+            up[a] = z
+            first.append(i)
+            second.append(j)
+    at = [pa.array(x, pa.int64()) for x in (first, second)]
+    return pa.table({"u": nodes.take(at[0]), "v": nodes.take(at[1])})
+
+
+def _links_of_hot(hot: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """Links across components in buckets of many members, by blocks.
+
+    Buckets with common nodes make one group, so a pair that shares many keys is met once. The
+    nodes of a group are dealt into blocks by hash, a large component's into blocks of its own,
+    and every two blocks that may hold different components are compared in one task, which
+    gets at most about two blocks of sets and returns fewer links than it has nodes.
+    """
+    kind = hot.schema["node"].dataType.simpleString()
+    lowest = hot.groupBy("key").agg(F.min("node").alias("u"))
+    groups = components(hot.join(lowest, "key").select("u", F.col("node").alias("v")))
+    members = hot.select("node", "label").distinct().join(groups.withColumnRenamed("component", "group"), "node")
+    sizes = members.groupBy("group", "label").agg(F.count(F.lit(1)).alias("own"))
+    large = F.col("own") >= BLOCK
+    members = members.join(sizes, ["group", "label"]).select("group", "node", "label", F.when(large, F.col("label")).alias("pure"))
+    counts = members.groupBy("group", "pure").agg(F.count(F.lit(1)).alias("all"))
+    counts = counts.withColumnsRenamed({"group": "_group", "pure": "_pure"})
+    dealt = F.pmod(F.xxhash64("node"), F.ceil(F.col("all") / BLOCK))
+    members = members.join(
+        counts, (F.col("group") == F.col("_group")) & F.col("pure").eqNullSafe(F.col("_pure"))
+    ).select("group", "node", "label", "pure", F.xxhash64("pure", dealt).alias("block"))
+    members = written(members, "hot")
+    blocks = members.select("group", "pure", "block").distinct()
+    others = blocks.select("group", F.col("pure").alias("_pure"), F.col("block").alias("_block"))
+    differ = F.coalesce(F.col("pure") != F.col("_pure"), F.lit(True))
+    pairs = blocks.join(others, "group").filter((F.col("block") <= F.col("_block")) & differ)
+    both = F.array_distinct(F.array("block", "_block"))
+    pairs = pairs.select("group", F.xxhash64("group", "block", "_block").alias("pair"), F.explode(both).alias("block"))
+    packed = sets.groupBy(F.col("doc_id").alias("node")).agg(F.first("packed").alias("packed"))
+    rows = members.join(pairs, ["group", "block"]).select("pair", "node", "label").join(packed, "node")
+    return rows.groupBy("pair").applyInArrow(
+        lambda t: _links_in_block(t, similarity), f"u {kind}, v {kind}"
+    )
 
 
 def near_links(docs: DataFrame, sketched: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """Links (u, v) that connect just what all pairs at or over ``similarity`` connect.
 
-    ``sketched`` has one row per distinct set: node and signature. In every bucket (a key) the
-    smallest node is compared with all others. Nodes found to be connected need no further
-    comparison, so only buckets that still hold several components go on: there a node of the
-    highest component is compared with the members of the others, and what is still mixed then
-    is compared in full, across components alone. So a large group of near copies costs one
-    comparison a member, and no pair of different components in a bucket goes untested.
+    ``sketched`` has one row per distinct set: node and signature. Nodes that are known to be
+    connected need no further comparison, so the buckets (the nodes of a key) are worked on in
+    steps, and each step looks only at buckets that still hold several components:
+
+    1. the smallest node of a bucket is compared with all others;
+    2. a node chosen by a hash, another one in each bucket, with those of other components;
+    3. every two nodes of different components: as pairs in buckets of up to ``HOT`` members,
+       in blocks (``_links_of_hot``) beyond.
+
+    A large group of near copies is mostly one component after the first two steps, which take
+    one comparison a member and bucket; no pair that shares a key and has two components is left out.
     """
     keys = chunk_keys(sketched)
-    bounds = keys.groupBy("key").agg(F.min("node").alias("u"), F.max("node").alias("last"))
-    shared = written(keys.join(bounds.filter("u < last").drop("last"), "key"), "buckets")
+    bounds = keys.groupBy("key").agg(F.min("node").alias("u"), F.max("node").alias("_last"))
+    shared = written(keys.join(bounds.filter("u < _last").drop("_last"), "key"), "buckets")
     members = shared.select(F.col("node").alias("doc_id")).distinct()
     texts = docs.select("doc_id", "text").join(members, "doc_id", "left_semi")
     sets = written(shingle_sets(texts), "sets")
@@ -139,17 +225,19 @@ def near_links(docs: DataFrame, sketched: DataFrame, similarity: int = SIMILARIT
     pairs = shared.filter("node > u").select("u", F.col("node").alias("v")).distinct()
     links = written(confirmed(pairs, sets, similarity), "links")
 
-    mixed = _labelled(shared, links)
-    leaders = mixed.filter("label = high").groupBy("key").agg(F.min("node").alias("leader"))
-    across = mixed.filter("label < high").join(leaders, "key").select(
-        F.least("leader", "node").alias("u"), F.greatest("leader", "node").alias("v")
-    )
+    mixed = _mixed(shared, links)
+    chosen = mixed.groupBy("key").agg(F.min_by(F.struct("node", "label"), F.xxhash64("key", "node")).alias("l"))
+    across = mixed.join(chosen, "key").filter(F.col("label") != F.col("l.label"))
+    across = across.select(F.least("node", "l.node").alias("u"), F.greatest("node", "l.node").alias("v"))
     links = written(links.unionByName(confirmed(across.distinct(), sets, similarity)), "links")
 
-    mixed = _labelled(mixed.drop("label", "low", "high"), links).select("key", "node", "label")
-    other = mixed.select("key", F.col("node").alias("v"), F.col("label").alias("other"))
-    rest = mixed.withColumnRenamed("node", "u").join(other, "key").filter("u < v and label <> other")
-    return links.unionByName(confirmed(rest.select("u", "v").distinct(), sets, similarity))
+    mixed = _mixed(mixed.select("key", "node"), links)
+    few = mixed.filter(F.col("size") <= HOT)
+    other = few.select("key", F.col("node").alias("v"), F.col("label").alias("other"))
+    rest = few.withColumnRenamed("node", "u").join(other, "key").filter("u < v and label <> other")
+    found = confirmed(rest.select("u", "v").distinct(), sets, similarity)
+    hot = mixed.filter(F.col("size") > HOT)
+    return links.unionByName(found).unionByName(_links_of_hot(hot, sets, similarity))
 
 
 def near_duplicates(

@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import pytest
 import public_tokenizers
@@ -162,6 +163,23 @@ def test_near_duplicates_in_odd_cases(spark):
     assert {r.doc_id for r in kept.collect()} == {k for k, v in near(rows).items() if v[1] == k}
 
 
+def test_hot_buckets_equal_all_pairs(spark, monkeypatch):
+    """Copies of two texts with more and more words changed, compared in small blocks."""
+    monkeypatch.setattr(near_dup, "HOT", 3)
+    monkeypatch.setattr(near_dup, "BLOCK", 8)
+    rng = random.Random(3)
+    rows = []
+    for i in range(120):
+        text = [f"{'ab'[i % 2]}{k}" for k in range(90)]
+        for k in rng.sample(range(90), rng.randrange(9)):
+            text[k] = f"n{rng.random()}"
+        rows.append((i, " ".join(text)))
+    want = near(rows)
+    assert 5 < len({v[1] for v in want.values()}) < 100
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == want
+
+
 def test_near_duplicates_without_keys_or_rows(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (7, "a b c d e f"), (7, "a b c d e f")], DOCS)
     got = sorted(near_dup.near_duplicates(df).collect(), key=str)
