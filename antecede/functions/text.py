@@ -117,5 +117,5 @@ def nonspace_length(text: Column) -> Column:
 
 
 def piece_length(token: Column) -> Column:
-    """Length of a token without piece markers and spaces."""
-    return F.length(F.replace(F.replace(token, F.lit("#"), F.lit("")), F.lit(" "), F.lit("")))
+    """Length of a token without piece markers and spaces; tokens that mark structure have none."""
+    return F.when(token.isin("[CLS]", "[SEP]", "[PAD]"), 0).otherwise(F.length(F.replace(F.replace(token, F.lit("#"), F.lit("")), F.lit(" "), F.lit(""))))

@@ -27,8 +27,8 @@ def stratified_folds(
 
 
 def stratified_folds_ordered(df: DataFrame, k: int = 5, order: str = "id") -> DataFrame:
-    """Folds in the order of a unique numeric row key."""
-    sliced = range_buckets(df.select("target", order), "target", order)
+    """Folds in the order of a unique row key of any type."""
+    sliced = range_buckets(df.select("target", order), order)
     cuts = ntile_cuts(sliced, "target", [order], F.col("_range"), k)
     return apply_cuts(df, cuts, "target", [order], "fold")
 
@@ -45,27 +45,26 @@ def batch_assign(
 ) -> DataFrame:
     """``batch_id`` and place in the batch, per ``by``; a short last batch may be dropped.
 
-    Shuffled batches follow a seeded hash of the id. Ordered ones follow a numeric key.
+    Shuffled batches follow a seeded hash of the id. Ordered ones follow a key of any type.
     """
     by = by or []
     if shuffle:
         keyed = df.withColumn("_order", hash_key(f"{seed}|{epoch}", F.col("id")))
         bucket = F.substr("_order", F.lit(1), F.lit(3))
-        ranked = rank_within(keyed, by, ["_order", "id"], bucket, "_rank").drop("_order")
+        ranked = rank_within(keyed, by, ["_order", "id"], bucket, "_rank", "_all").drop("_order")
     else:
-        sliced = range_buckets(df, None, order)
-        ranked = rank_within(sliced, by, [order], F.col("_range"), "_rank").drop("_range")
+        sliced = range_buckets(df, order)
+        ranked = rank_within(sliced, by, [order], F.col("_range"), "_rank", "_all").drop("_range")
     place = F.col("_rank") - 1
     batched = ranked.withColumns(
         {
             "batch_id": F.floor(place / size).cast("bigint"),
             "batch_pos": F.pmod(place, F.lit(size)).cast("int"),
         }
-    ).drop("_rank")
-    if not drop_last:
-        return batched
-    rows = F.count(F.lit(1)).over(Window.partitionBy(*by, "batch_id"))
-    return batched.withColumn("_rows", rows).filter(F.col("_rows") == size).drop("_rows")
+    )
+    if drop_last:
+        batched = batched.filter(F.col("_rank") <= F.floor(F.col("_all") / size) * size)
+    return batched.drop("_rank", "_all")
 
 
 def keep_folds(df: DataFrame, fold: int, split: str) -> DataFrame:

@@ -8,32 +8,27 @@ from pyspark.sql import Column, DataFrame, functions as F
 PRONOUN_GENDER = {"his": 1, "him": 1, "he": 1, "her": 0, "she": 0, "hers": 0}
 
 
+# A key with one row in so many is hot.
+SHARES = 1024
+
+
 def salted_join(
-    left: DataFrame,
-    right: DataFrame,
-    on: str | list[str],
-    how: str = "left",
-    salts: int = 32,
-    min_rows: int = 100_000,
-    max_hot: int = 1000,
+    left: DataFrame, right: DataFrame, on: str | list[str], how: str = "left", salts: int = 32
 ) -> DataFrame:
     """Join a table on a key that is unique in ``right`` and may be very frequent in ``left``.
 
-    The most frequent keys of ``left``, at most ``max_hot`` of them, are spread over
-    ``salts`` tasks and their one row of ``right`` is repeated as often. A key that is not
-    among them is only joined without a salt: the result is the same.
+    Keys that hold at least one row in ``SHARES`` of ``left``, of which there cannot be more
+    than ``SHARES``, are spread over ``salts`` tasks and their one row of ``right`` is repeated as
+    often. Other keys are joined without a salt; the result is that of a plain join.
     """
     keys = [on] if isinstance(on, str) else list(on)
-    hot = (
+    counts = (
         left.dropna(subset=keys)
         .groupBy(*[F.col(k).alias(f"_hot_{k}") for k in keys])
         .agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") >= min_rows)
-        .orderBy(F.desc("_rows"))
-        .limit(max_hot)
-        .withColumn("_is_hot", F.lit(True))
-        .drop("_rows")
     )
+    total = left.agg(F.count(F.lit(1))).scalar()
+    hot = counts.filter(F.col("_rows") * SHARES >= total).withColumn("_is_hot", F.lit(True)).drop("_rows")
     same = [F.col(k) == F.col(f"_hot_{k}") for k in keys]
     hot_columns = ["_is_hot", *[f"_hot_{k}" for k in keys]]
     others = [F.col(c).cast("string") for c in left.columns if not _nested(left, c)]
@@ -54,11 +49,6 @@ def salted_join(
     return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")
 
 
-def small_enough(df: DataFrame, max_rows: int) -> bool:
-    """Whether a table has at most ``max_rows`` rows; reads no more than it must to tell."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
 def _nested(df: DataFrame, column: str) -> bool:
     return df.schema[column].dataType.typeName() in ("array", "map", "struct")
 

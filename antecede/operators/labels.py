@@ -11,18 +11,21 @@ def project_rename(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
 
 
 def extract_target(df: DataFrame) -> DataFrame:
-    """0 = A, 1 = B, 2 = neither; B where both are marked."""
+    """0 = A, 1 = B, 2 = neither; B where both are marked; null where neither mark is known."""
     a, b = F.col("a_coref"), F.col("b_coref")
+    known = a.isNotNull() | b.isNotNull()
     return df.withColumns(
         {
-            "neither": F.when(a | b, 0).otherwise(1),
-            "target": F.when(b, 1).when(a, 0).otherwise(2),
+            "neither": F.when(a | b, 0).when(known, 1),
+            "target": F.when(b, 1).when(a, 0).when(known, 2),
         }
     )
 
 
 def coref_label(df: DataFrame) -> DataFrame:
-    label = F.when(F.col("b_coref"), "B").when(F.col("a_coref"), "A").otherwise("Neither")
+    """The label as a word; null where neither mark is known."""
+    a, b = F.col("a_coref"), F.col("b_coref")
+    label = F.when(b, "B").when(a, "A").when(a.isNotNull() | b.isNotNull(), "Neither")
     return df.withColumn("label", label)
 
 
@@ -60,6 +63,7 @@ def mention_section(df: DataFrame) -> DataFrame:
     )
 
 
+# The probabilities of the prior, first mention or not, for A and for B.
 def positional_prior(
     df: DataFrame,
     a: tuple[float, float] = (0.45, 0.4),

@@ -27,7 +27,7 @@ def log_loss(df: DataFrame, by: str | None = "fold") -> DataFrame:
     """
     classes = F.array("pr_a", "pr_b", "pr_neither")
     total = F.col("pr_a") + F.col("pr_b") + F.col("pr_neither")
-    share = F.greatest(F.get(classes, F.col("target")) / total, F.lit(EPSILON))
+    share = F.greatest(F.get(classes, F.col("target")) / F.nullif(total, F.lit(0.0)), F.lit(EPSILON))
     loss = F.when(F.col("target").isNotNull(), -F.log(share))
     scored = df.withColumn("_loss", loss.cast("decimal(28,12)"))
     measures = [

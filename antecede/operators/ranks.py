@@ -4,13 +4,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def rank_within(
-    df: DataFrame, group: list[str], order: list, bucket: Column, name: str = "rank"
+    df: DataFrame, group: list[str], order: list, bucket: Column, name: str = "rank", total: str | None = None
 ) -> DataFrame:
     """1-based ``row_number`` over ``group`` in ``order``, in two levels.
 
     ``bucket`` must grow with ``order``. Rows are numbered inside (group, bucket), and the
     rows in earlier buckets of the group, a count per bucket, are added. A group that holds
-    most of the table is then spread over its buckets.
+    most of the table is then spread over its buckets. ``total`` names a column for the rows of the group.
     """
     keys = [*group, "_bucket"]
     bucketed = df.withColumn("_bucket", bucket)
@@ -23,6 +23,7 @@ def rank_within(
         .select(
             *[F.col(k).alias(f"_key_{k}") for k in keys],
             F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"),
+            F.sum("_rows").over(Window.partitionBy(*group)).alias("_total"),
         )
     )
     inside = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
@@ -30,18 +31,21 @@ def rank_within(
     return (
         bucketed.withColumn("_inside", inside)
         .join(offsets, same)
-        .select(*df.columns, (F.col("_offset") + F.col("_inside")).alias(name))
+        .select(
+            *df.columns,
+            (F.col("_offset") + F.col("_inside")).alias(name),
+            *([F.col("_total").alias(total)] if total else []),
+        )
     )
 
 
 def ntile_cuts(
-    df: DataFrame, group: str, order: list[str], bucket: Column, k: int, max_groups: int = 1000
+    df: DataFrame, group: str, order: list[str], bucket: Column, k: int
 ) -> DataFrame:
     """The order key at which each of the tiles 1..k-1 of a group starts, as one array per group.
 
     Tile sizes differ by at most one, the larger tiles first. Only the buckets in which a
-    tile starts are sorted; all other rows are merely counted. The result has one row per
-    group, and more than ``max_groups`` of them is an error, so it may be broadcast.
+    tile starts are sorted; all other rows are merely counted. The result has one row per group.
     """
     keys = df.select(group, *order, bucket.alias("_bucket"))
     sizes = keys.groupBy(group, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
@@ -65,44 +69,37 @@ def ntile_cuts(
     same = [F.col(group).eqNullSafe(F.col("_group")), F.col("_bucket") == F.col("_holding")]
     inside = F.row_number().over(Window.partitionBy(group, "_bucket").orderBy(*order))
     return (
-        keys.join(F.broadcast(holding), same)
+        keys.join(holding, same)
         .withColumn("_inside", inside.cast("bigint") - 1)
         .filter(F.array_contains("_starts", F.col("_inside")))
         .groupBy("_group")
         .agg(F.array_sort(F.collect_list(F.struct(*order))).alias("_cuts"))
-        .withColumn("_groups", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))))
-        .select(
-            "_group",
-            F.when(F.col("_groups") <= max_groups, F.col("_cuts"))
-            .otherwise(F.raise_error(F.lit(f"more than {max_groups} groups")))
-            .alias("_cuts"),
-        )
     )
 
 
 def apply_cuts(df: DataFrame, cuts: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
-    """0-based tile of every row: the number of cuts at or below its key. Moves no row."""
+    """0-based tile of every row: the number of cuts at or below its key.
+
+    Moves no row while the cuts are few enough for Spark to broadcast them.
+    """
     key = F.struct(*order)
     tile = F.size(F.filter("_cuts", lambda c: c <= key))
     return (
-        df.join(F.broadcast(cuts), F.col(group).eqNullSafe(F.col("_group")), "left")
+        df.join(cuts, F.col(group).eqNullSafe(F.col("_group")), "left")
         .select(*df.columns, F.greatest(tile, F.lit(0)).alias(name))
     )
 
 
-def range_buckets(df: DataFrame, group: str | None, order: str, n: int = 32) -> DataFrame:
-    """Adds ``_range``, which of about ``n * n`` equal slices of its group a numeric key is in.
+def range_buckets(df: DataFrame, order: str, n: int = 32) -> DataFrame:
+    """Adds ``_range``, which of about ``n * n`` slices of the table a key of any type is in.
 
-    The slice is found in two steps of ``n`` comparisons. Quantiles are approximate, which
-    only shifts slice sizes: ranks built on the slices stay exact.
+    Edges are ``n * n - 1`` keys of the table, those whose hash comes first; a row's slice is found
+    in two steps of ``n`` comparisons. The choice only shifts slice sizes: slices grow with the
+    key, so ranks built on them are exact. Equal keys share a slice.
     """
-    steps = F.array(*[F.lit(i / n**2) for i in range(1, n**2)])
-    quantiles = F.percentile_approx(order, steps, 10 * n**2).alias("_edges")
-    if group is None:
-        edged = df.withColumn("_edges", df.agg(quantiles).scalar())
-    else:
-        edges = df.groupBy(F.col(group).alias("_group")).agg(quantiles)
-        edged = df.join(F.broadcast(edges), F.col(group).eqNullSafe(F.col("_group")), "left")
+    sample = df.select(order).filter(F.col(order).isNotNull()).distinct()
+    sample = sample.orderBy(F.xxhash64(order), order).limit(n**2 - 1)
+    edged = df.withColumn("_edges", sample.agg(F.array_sort(F.collect_list(order))).scalar())
 
     def at_or_below(edges: Column) -> Column:
         return F.size(F.filter(edges, lambda e: e <= F.col(order)))

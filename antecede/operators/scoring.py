@@ -6,7 +6,7 @@ from functools import reduce
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from antecede.functions.numeric import EDGES13, softmax_clamp
 from antecede.operators.folds import keep_folds
@@ -117,26 +117,30 @@ def cross_validate(
 ) -> tuple[DataFrame, DataFrame, DataFrame, list[PipelineModel]]:
     """Fit per fold; out-of-fold rows, ensembled test rows, losses and the models.
 
-    Both inputs are read k times, so hand over written or checkpointed tables. Each fit
-    runs on the cluster; the driver holds only the models.
+    The training rows are read k times, so hand over a written table. Each fit runs on the
+    cluster; the driver holds only the models. Test rows are read once: the models follow
+    each other as columns, and their mean is taken in the row.
     """
     models = [fit_scorer(train, fold, max_iter=max_iter) for fold in range(k)]
     oof = _union(
         [_score(m, keep_folds(train, f, "valid"), f) for f, m in enumerate(models)]
     )
-    tested = _union([_score(m, test.select("id", "features"), f) for f, m in enumerate(models)])
-    ensemble = fold_mean_ensemble(tested)
-    labels = test.select("id", "target")
+    tested = test.select("id", "target", "features")
+    for f, m in enumerate(models):
+        scored = with_probabilities(predict(m, tested))
+        tested = scored.withColumnsRenamed({c: f"_{c}_{f}" for c in CLASSES})
+    means = [reduce(Column.__add__, [F.col(f"_{c}_{f}") for f in range(k)]) / k for c in CLASSES]
+    ensemble = tested.select("id", "target", *[m.alias(c) for m, c in zip(means, CLASSES)])
     losses = (
         log_loss(oof)
         .select(F.lit("valid").alias("split"), "fold", "n", "loss")
         .unionByName(
-            log_loss(ensemble.join(labels, "id"), by=None).select(
+            log_loss(ensemble, by=None).select(
                 F.lit("test").alias("split"), F.lit(None).cast("int").alias("fold"), "n", "loss"
             )
         )
     )
-    return oof, ensemble, losses, models
+    return oof, ensemble.drop("target"), losses, models
 
 
 def evaluate_single_fold(path: str, test: DataFrame, fold: int = 0) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from antecede.operators.ranks import rank_within
+
 # Reserved token ids. 0 pads.
 RESERVED = {
     "[PAD]": 0,
@@ -15,33 +17,28 @@ RESERVED = {
     "[SEP]": 102,
     "[MASK]": 103,
 }
-MAX_VOCABULARY = 1_000_000
-MAX_TOKENS = 490
 
 
 def build_vocab(
-    tokens: DataFrame, size: int = 30_000, reserved: dict[str, int] = RESERVED
+    tokens: DataFrame, size: int | None = None, reserved: dict[str, int] = RESERVED
 ) -> DataFrame:
-    """``token`` and ``token_id``: reserved tokens, then the most frequent ones of a corpus.
+    """``token`` and ``token_id``: reserved tokens, then those of a corpus, most frequent first.
 
-    Counts are combined before the shuffle and the sort keeps ``size`` rows per task, so
-    the ranked rows are bounded by the vocabulary, not by the corpus.
+    All tokens get an id, or the first ``size`` of them. Counts are combined before the
+    shuffle, and ranks are taken in buckets of equal count and first two characters, so no
+    task sorts a whole vocabulary.
     """
-    if size > MAX_VOCABULARY:
-        raise ValueError(f"a vocabulary of {size} is past the limit of {MAX_VOCABULARY}")
     spark = tokens.sparkSession
     special = spark.createDataFrame(list(reserved.items()), "token string, token_id int")
-    top = (
-        tokens.filter(~F.col("token").isin(*reserved))
-        .groupBy("token")
-        .count()
-        .orderBy(F.desc("count"), "token")
-        .limit(size)
-    )
+    counts = tokens.filter(~F.col("token").isin(*reserved)).groupBy("token").count()
+    bucket = F.struct((-F.col("count")).alias("n"), F.substr("token", F.lit(1), F.lit(2)).alias("head"))
+    ranked = rank_within(counts, [], [F.desc("count"), "token"], bucket)
+    if size is not None:
+        ranked = ranked.filter(F.col("rank") <= size)
     first = max(reserved.values()) + 1
-    rank = F.row_number().over(Window.orderBy(F.desc("count"), "token"))
-    ranked = top.select("token", (rank + (first - 1)).cast("int").alias("token_id"))
-    return special.unionByName(ranked)
+    return special.unionByName(
+        ranked.select("token", (F.col("rank") + (first - 1)).cast("int").alias("token_id"))
+    )
 
 
 def encode_tokens(
@@ -49,12 +46,12 @@ def encode_tokens(
 ) -> DataFrame:
     """``tokens`` to ``ids`` behind ``[CLS]``; ``sep`` also appends ``[SEP]``.
 
-    Rows are partitioned by id before tokens are exploded, so that one shuffle of rows
-    serves the regrouping too. The vocabulary is bounded by ``build_vocab``.
+    Every row stays; null tokens count as none. The vocabulary may be of any size: Spark
+    broadcasts it if its bytes are few, else joins it by token, splitting frequent tokens.
     """
     rest = [c for c in df.columns if c not in ("id", "tokens")]
     framed = F.concat(
-        F.array(F.lit("[CLS]")), F.col("tokens"), F.array(F.lit("[SEP]")) if sep else F.array()
+        F.array(F.lit("[CLS]")), F.coalesce("tokens", F.array().cast("array<string>")), F.array(F.lit("[SEP]")) if sep else F.array()
     )
     exploded = (
         df.repartition("id")
@@ -62,8 +59,7 @@ def encode_tokens(
         # Other columns stay on the first token row only.
         .withColumns({c: F.when(F.col("_pos") == 0, F.col(c)) for c in rest})
     )
-    known = F.broadcast(vocab.select("token", "token_id"))
-    coded = exploded.join(known, "token", "left").withColumn(
+    coded = exploded.join(vocab.select("token", "token_id"), "token", "left").withColumn(
         "token_id", F.coalesce("token_id", F.lit(reserved["[UNK]"]))
     )
     ordered = F.array_sort(F.collect_list(F.struct("_pos", "token_id")))
@@ -75,14 +71,14 @@ def encode_tokens(
 
 
 def pad_truncate(
-    df: DataFrame, batch: str | list[str] = "batch_id", max_len: int = MAX_TOKENS
+    df: DataFrame, batch: str | list[str] = "batch_id", max_len: int | None = None
 ) -> DataFrame:
-    """Ids cut at ``max_len`` and zero-padded to the longest row of the batch.
+    """Ids zero-padded to the longest row of the batch, and cut where ``max_len`` is given.
 
     Spans move by one for ``[CLS]``; ``truncated_span`` tells that one ends past the cut.
     """
     longest = F.max(F.size("ids")).over(Window.partitionBy(batch))
-    width = F.least(longest, F.lit(max_len))
+    width = longest if max_len is None else F.least(longest, F.lit(max_len))
     padded = F.slice(F.concat("ids", F.array_repeat(F.lit(0), F.col("width"))), F.lit(1), F.col("width"))
     fields = df.schema["spans"].dataType.fieldNames()
     moved = F.struct(*[(F.col("spans")[f] + 1).alias(f) for f in fields])

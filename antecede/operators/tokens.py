@@ -97,7 +97,7 @@ def mention_segments(
     tail_end = F.length(text) if order == "offset" else offs[2]
     parts["_tail"] = _pieces(between(text, ends[2], tail_end), markers, tail=True)
     title = tx.title_of(F.col("url")) if "title" not in df.columns else F.col("title")
-    parts["_title"] = tx.tokens(F.lower(title))
+    parts["_title"] = tx.tokens(F.lower(F.coalesce(title, F.lit(""))))
     cut = cut.withColumns(parts)
 
     starts, total = {}, F.lit(0)

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from antecede.functions import text as tx
 from antecede.functions.numeric import dot, times
-from antecede.operators.joins import salted_join, small_enough
 
 
 def lookup_encoder(vectors: DataFrame) -> Callable[[DataFrame], DataFrame]:
@@ -60,9 +59,40 @@ def model_encoder(
     return lambda df: df.select(key, "ids").mapInPandas(run, schema)
 
 
-def encode_batches(df: DataFrame, encoder: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Vectors of all unpadded tokens, one row per (id, pos)."""
-    return encoder(df.select("id", "ids"))
+def encode_batches(
+    df: DataFrame,
+    encoder: Callable[[DataFrame], DataFrame],
+    width: int | None = None,
+    overlap: int = 64,
+) -> DataFrame:
+    """Vectors of all unpadded tokens, one row per (id, pos).
+
+    With a model of limited ``width``, sequences are encoded in windows of that many tokens
+    that share ``overlap`` of them. The encoder sees (key, ids), the key being a text of id and
+    window; each token's vector is taken from the window in which it is farther from an edge.
+    """
+    if width is None:
+        return encoder(df.select("id", "ids"))
+    if not 0 <= overlap < width:
+        raise ValueError("windows must be wider than their overlap")
+    step, half = width - overlap, overlap // 2
+    count = F.greatest(F.ceil((F.size("ids") - overlap) / step), F.lit(1)).cast("int")
+    numbers = F.sequence(F.lit(0), count - 1)
+    window = F.col("_window")
+    parts = df.select("id", "ids", count.alias("_windows"), F.explode(numbers).alias("_window")).select(
+        F.concat_ws("|", F.col("id").cast("string"), window.cast("string"), F.col("_windows").cast("string")).alias("id"),
+        F.slice("ids", window * step + 1, F.lit(width)).alias("ids"),
+    )
+    coded = encoder(parts)
+    number = F.substring_index(F.substring_index("id", "|", -2), "|", 1).cast("int")
+    windows = F.substring_index("id", "|", -1).cast("int")
+    place = F.length("id") - F.length(F.substring_index("id", "|", -2)) - 1
+    own = ((F.col("pos") >= half) | (number == 0)) & ((F.col("pos") < half + step) | (number == windows - 1))
+    kind = df.schema["id"].dataType
+    rest = [c for c in coded.columns if c not in ("id", "pos")]
+    return coded.filter(own).select(
+        F.substr("id", F.lit(1), place).cast(kind).alias("id"), (F.col("pos") + number * step).alias("pos"), *rest
+    )
 
 
 def select_layers(df: DataFrame, layers: list[int] = [-6], name: str = "vector") -> DataFrame:
@@ -74,7 +104,10 @@ def select_layers(df: DataFrame, layers: list[int] = [-6], name: str = "vector")
 
 
 def span_token_rows(df: DataFrame, slots: tuple[str, ...] = ("a", "b", "p")) -> DataFrame:
-    """(id, span, pos, token) for the tokens inside the spans of ``mention_segments``."""
+    """(id, span, pos, token) for the tokens inside the spans of ``mention_segments``.
+
+    ``slots`` may also name ``url``, the title behind the text.
+    """
 
     def inside(slot: str) -> Column:
         start, end = F.col("spans")[f"{slot}_start"], F.col("spans")[f"{slot}_end"]
@@ -170,16 +203,14 @@ def pronoun_vector(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("span") == "P").select("id", "vector")
 
 
-def endpoint_span(rows: DataFrame, span: str) -> DataFrame:
-    """``[x, y, x*y]`` of the first and the last token of a span."""
+def endpoint_span(rows: DataFrame, *spans: str) -> DataFrame:
+    """``[x, y, x*y]`` of the first and the last token of the spans, both names by default."""
     ends = (
-        rows.filter(F.col("span") == span)
-        .groupBy("id")
+        rows.filter(F.col("span").isin(*(spans or ("A", "B"))))
+        .groupBy("id", "span")
         .agg(F.min_by("vector", "pos").alias("x"), F.max_by("vector", "pos").alias("y"))
     )
-    return ends.select(
-        "id", F.lit(span).alias("span"), F.concat("x", "y", times(F.col("x"), F.col("y"))).alias("vector")
-    )
+    return ends.select("id", "span", F.concat("x", "y", times(F.col("x"), F.col("y"))).alias("vector"))
 
 
 def attentive_span(rows: DataFrame, weights: Column, bias: float = 0.0) -> DataFrame:
@@ -248,13 +279,10 @@ def distance_embedding(df: DataFrame, table: DataFrame, bins: int = 14) -> DataF
     return out
 
 
-def gather_vectors(
-    rows: DataFrame, vectors: DataFrame, key: str, max_broadcast: int = 100_000
-) -> DataFrame:
+def gather_vectors(rows: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
     """Vectors for token rows by a key that frequent tokens share.
 
-    A small vector table is broadcast; a larger one is joined with the frequent keys salted.
+    One join at every size: Spark broadcasts the table if its bytes are few, else joins by
+    key and splits the partitions of frequent ones.
     """
-    if small_enough(vectors.select(key), max_broadcast):
-        return rows.join(F.broadcast(vectors), key)
-    return salted_join(rows, vectors, key, "inner")
+    return rows.join(vectors, key)

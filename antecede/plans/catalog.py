@@ -1,5 +1,6 @@
 """Every operator as a query over the driver tables."""
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -26,6 +27,8 @@ from antecede.sources import scans, sinks
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 K = 5
+# Tokens of a row where a query shows what a cut does.
+CUT = 490
 
 
 def query(fn: Query) -> Query:
@@ -63,7 +66,7 @@ def pr6(df: DataFrame) -> list[Column]:
 def scan_mentions(spark, sf_dir):
     source = fx.mentions(spark, sf_dir).drop("target_planted")
     path = sinks.write_mentions(source, scratch_path(spark, "mentions"))
-    return scans.scan_mentions(spark, path)
+    return scans.scan_mentions(spark, path, multiline=True)
 
 
 @query
@@ -87,20 +90,22 @@ def scan_names(spark, sf_dir):
 
 @query
 def scan_token_vectors(spark, sf_dir):
+    """Texts exported with a key, their span tokens' vectors written as an encoder would, read back by key."""
+    m = written(fx.mentions(spark, sf_dir), "mentions")
+    texts = scans.scan_text(spark, sinks.export_text(m, scratch_path(spark, "text")))
     path = scratch_path(spark, "token-vectors")
-    rows = span_vectors(spark, sf_dir)
+    rows = span_vectors(spark, sf_dir, m).withColumn("row_key", F.col("id").cast("string"))
     layer = F.array(F.struct(F.col("vector").alias("values")))
     token = F.struct("pos", "span", F.col("token"), layer.alias("layers"))
-    listed = rows.groupBy("id").agg(F.array_sort(F.collect_list(token)).alias("f"))
-    listed.select(
-        F.col("id").alias("linex_index"),
+    listed = rows.groupBy("row_key").agg(F.array_sort(F.collect_list(token)).alias("f"))
+    texts.join(listed, "row_key").select(
+        "row_key",
+        F.monotonically_increasing_id().alias("linex_index"),
         F.transform("f", lambda t: F.struct(t["token"].alias("token"), t["layers"].alias("layers"))).alias("features"),
     ).write.json(path)
-    return scans.scan_token_vectors(spark, path).select(
-        "id", "pos", "token",
-        F.element_at("vector", 1).alias("v_first"),
-        F.element_at("vector", -1).alias("v_last"),
-    )
+    back = scans.scan_token_vectors(spark, path)
+    keyed = m.select("id", F.col("id").cast("string").alias("row_key"), F.length("text").alias("n_chars"))
+    return dims(keyed.join(back, "row_key"), "id", "n_chars", "pos", "token")
 
 
 @query
@@ -113,7 +118,8 @@ def write_folds(spark, sf_dir):
 def write_batches(spark, sf_dir):
     path = sinks.write_batches(fold_batches(spark, sf_dir), scratch_path(spark, "batches"))
     back = ids_text(spark.read.parquet(path))
-    return back.select("id", "split", "fold", "batch_id", "target", "ids", F.col("spans.p_start").alias("p_start"))
+    columns = ["id", "split", "fold", "batch_id", "target", "ids", "truncated_span"]
+    return back.select(*columns, F.col("spans.p_start").alias("p_start"))
 
 
 @query
@@ -126,7 +132,7 @@ def write_predictions(spark, sf_dir):
 @query
 def export_text(spark, sf_dir):
     path = sinks.export_text(fx.mentions(spark, sf_dir), scratch_path(spark, "text"))
-    return spark.read.schema("text string").options(**{**scans.DELIMITED, "header": False}).csv(path, multiLine=True)
+    return scans.scan_text(spark, path)
 
 
 @query
@@ -163,7 +169,7 @@ def extract_title(spark, sf_dir):
 
 @query
 def normalise_text(spark, sf_dir):
-    return fx.english(spark, sf_dir).select("id", tx.normalise_text(F.col("text")).alias("text"))
+    return fx.texts(spark, sf_dir).select("id", tx.normalise_text(F.col("text")).alias("text"))
 
 
 @query
@@ -185,7 +191,7 @@ def positional_prior(spark, sf_dir):
 
 @query
 def token_table(spark, sf_dir):
-    out = tokens.token_table(fx.english(spark, sf_dir))
+    out = tokens.token_table(fx.texts(spark, sf_dir))
     return out.select("id", "pos", "token", "shape", "is_alpha", "is_stop")
 
 
@@ -212,7 +218,7 @@ def check_template(spark, sf_dir):
 
 @query
 def marker_filter(spark, sf_dir):
-    marked = tokens.sentence_markers(fx.english(spark, sf_dir))
+    marked = tokens.sentence_markers(fx.texts(spark, sf_dir))
     return checks.marker_filter(marked, "marked").select("id")
 
 
@@ -221,12 +227,12 @@ def marker_filter(spark, sf_dir):
 
 @query
 def word_tokens(spark, sf_dir):
-    return tokens.word_tokens(fx.english(spark, sf_dir))
+    return tokens.word_tokens(fx.texts(spark, sf_dir))
 
 
 @query
 def sentence_split(spark, sf_dir):
-    return tokens.sentence_split(fx.english(spark, sf_dir))
+    return tokens.sentence_split(fx.texts(spark, sf_dir))
 
 
 @query
@@ -330,7 +336,7 @@ def mention_segments_marked(spark, sf_dir):
 
 @query
 def sentence_markers(spark, sf_dir):
-    return tokens.sentence_markers(fx.english(spark, sf_dir)).select("id", "marked")
+    return tokens.sentence_markers(fx.texts(spark, sf_dir)).select("id", "marked")
 
 
 @query
@@ -343,7 +349,7 @@ def nonspace_counts(spark, sf_dir):
 
 
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    corpus = fx.english(spark, sf_dir)
+    corpus = fx.texts(spark, sf_dir)
     words = corpus.select(F.explode(tx.tokens(tx.normalise_text(F.col("text")))).alias("token"))
     return sequences.build_vocab(words)
 
@@ -367,22 +373,28 @@ def encode_tokens(spark, sf_dir):
 
 @query
 def batch_assign(spark, sf_dir):
-    m = written(fx.mentions(spark, sf_dir).select("id"), "ids")
+    m = written(fx.mentions(spark, sf_dir).select(F.col("id").cast("string").alias("id")), "ids")
     shuffled = folds.batch_assign(m).withColumn("mode", F.lit("train"))
     ordered = folds.batch_assign(m, shuffle=False, drop_last=False)
     return shuffled.unionByName(ordered.withColumn("mode", F.lit("valid")))
 
 
-def padded(spark: SparkSession, sf_dir: str, vocab: DataFrame | None = None) -> DataFrame:
-    """Encoded rows in ordered batches, cut and padded."""
+def padded(
+    spark: SparkSession, sf_dir: str, vocab: DataFrame | None = None, max_len: int | None = None
+) -> DataFrame:
+    """Encoded rows in ordered batches, padded."""
     rows = written(encoded(spark, sf_dir, vocab), "encoded")
-    return sequences.pad_truncate(folds.batch_assign(rows, shuffle=False, drop_last=False))
+    return sequences.pad_truncate(folds.batch_assign(rows, shuffle=False, drop_last=False), max_len=max_len)
 
 
 @query
 def pad_truncate(spark, sf_dir):
-    out = ids_text(padded(spark, sf_dir))
-    return out.select("id", "batch_id", "width", "ids", "truncated_span", "spans.*")
+    """Once in full and once cut at ``CUT``, where spans may be lost."""
+    rows = written(encoded(spark, sf_dir), "encoded")
+    batches = written(folds.batch_assign(rows, shuffle=False, drop_last=False), "batches")
+    both = [sequences.pad_truncate(batches, max_len=m).withColumn("cut", F.lit(m is not None)) for m in (None, CUT)]
+    out = ids_text(both[0].unionByName(both[1]))
+    return out.select("cut", "id", "batch_id", "width", "ids", "truncated_span", "spans.*")
 
 
 def labelled(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -405,7 +417,9 @@ def fold_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
         runs.filter(F.col("split") == "valid"), shuffle=False, drop_last=False, by=by
     )
     both = sequences.pad_truncate(train.unionByName(valid), [*by, "batch_id"])
-    return both.select("id", "split", F.col("run_fold").alias("fold"), "batch_id", "ids", "spans", "target")
+    return both.select(
+        "id", "split", F.col("run_fold").alias("fold"), "batch_id", "ids", "spans", "target", "truncated_span"
+    )
 
 
 # ---- joins, lexicon, folds, augmentation -------------------------------------------------
@@ -522,8 +536,8 @@ def fold_mean_ensemble(spark, sf_dir):
 
 @query
 def topk_snapshot_ensemble(spark, sf_dir):
-    """Each mention is predicted by the 12 best snapshots of one run, of which 8 are used."""
-    kept = training_log.top_snapshots(fx.loss_log(spark, sf_dir), 12)
+    """Each mention is predicted by all snapshots of one run, of which the 8 best are used."""
+    kept = fx.loss_log(spark, sf_dir).select("run", "step", "loss")
     last_run = fx.table(spark, sf_dir, "events").agg(F.max("user_id")).scalar()
     prior = labels.positional_prior(fx.mentions(spark, sf_dir))
     prior = prior.select("id", (F.col("id") % (last_run + 1)).alias("run"), *scoring.CLASSES)
@@ -541,7 +555,17 @@ def oof_assemble(spark, sf_dir):
 
 @query
 def narrow_types(spark, sf_dir):
-    return metrics.column_ranges(fx.table(spark, sf_dir, "lineitem"))
+    """The ranges and chosen types, with the sums of the columns after the cast."""
+    lines = fx.table(spark, sf_dir, "lineitem")
+    cast = metrics.narrow_types(lines)
+    whole = [c for c, kind in cast.dtypes if kind in ("tinyint", "smallint", "int", "bigint")]
+    sums = F.array(*[F.struct(F.lit(c).alias("column"), F.sum(F.col(c).cast("bigint")).alias("cast_sum")) for c in whole])
+    kinds = spark.createDataFrame(cast.dtypes, "column string, cast_type string")
+    return (
+        metrics.column_ranges(lines)
+        .join(cast.agg(sums.alias("s")).select(F.inline("s")), "column", "left")
+        .join(kinds, "column")
+    )
 
 
 @query
@@ -588,34 +612,40 @@ def score_weights(spark: SparkSession, sf_dir: str) -> Column:
 
 @query
 def span_mean_pool(spark, sf_dir):
-    """Tokens are aligned by character count first; vectors are looked up for spans only."""
-    m = fx.mentions(spark, sf_dir).withColumn("tokens", tx.tokens(F.col("text")))
-    places = vectors.align_spans(m, keep=("tokens",))
-    rows = places.select("id", "span", "pos", F.get("tokens", F.col("pos")).alias("token"))
-    return dims(vectors.pool_spans(with_vectors(rows, spark, sf_dir)), "id", "span")
+    """Pooled from encoder output with marker tokens: one in front, one behind, one after each stop."""
+    m = written(fx.mentions(spark, sf_dir), "mentions")
+    marked = F.transform(
+        tx.tokens(F.col("text")),
+        lambda t: F.when(t.isin(*tx.TERMINATORS), F.array(t, F.lit("[SEP]"))).otherwise(F.array(t)),
+    )
+    listed = F.concat(F.array(F.lit("[CLS]")), F.flatten(marked), F.array(F.lit("[SEP]")))
+    coded = with_vectors(m.select("id", F.posexplode(listed).alias("pos", "token")), spark, sf_dir)
+    return dims(vectors.span_mean_pool(m, written(coded.drop("vec_id"), "encoded")), "id", "span")
 
 
 @query
 def encode_batches(spark, sf_dir):
     vocab = written(vocabulary(spark, sf_dir), "vocabulary")
     encoder = vectors.lookup_encoder(written(token_id_vectors(spark, sf_dir, vocab), "vectors"))
-    out = vectors.encode_batches(padded(spark, sf_dir, vocab), encoder)
+    out = vectors.encode_batches(encoded(spark, sf_dir, vocab), encoder, width=512)
+    value = lambda i: F.element_at("vector", i).cast("double")
+    weighted = F.aggregate(
+        F.transform("vector", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda acc, x: acc + x
+    )
     return out.select(
-        "id", "pos", "token_id",
-        F.element_at("vector", 1).cast("double").alias("v_first"),
-        F.element_at("vector", -1).cast("double").alias("v_last"),
+        "id", "pos", "token_id", value(1).alias("v_first"), value(-1).alias("v_last"), fix6(weighted).alias("v_all")
     )
 
 
 @query
 def select_layers(spark, sf_dir):
-    """Twelve layers per pronoun token, layer i being the vector times i + 1."""
-    rows = span_vectors(spark, sf_dir).filter(F.col("span") == "P")
+    """Twelve layers per span token, layer i being the vector times i + 1."""
+    rows = span_vectors(spark, sf_dir)
     layers = F.transform(
         F.sequence(F.lit(1), F.lit(12)),
         lambda i: F.struct(F.transform("vector", lambda x: x * i).alias("values")),
     )
-    return dims(vectors.select_layers(rows.select("id", layers.alias("layers")), [-6, 0]), "id")
+    return dims(vectors.select_layers(rows.select("id", "span", "pos", layers.alias("layers")), [-6, 0]), "id", "span", "pos")
 
 
 @query
@@ -625,17 +655,17 @@ def pronoun_vector(spark, sf_dir):
 
 @query
 def endpoint_span(spark, sf_dir):
-    return dims(vectors.endpoint_span(span_vectors(spark, sf_dir), "A"), "id", "span")
+    return dims(vectors.endpoint_span(span_vectors(spark, sf_dir)), "id", "span")
 
 
 @query
 def attentive_span(spark, sf_dir):
-    """Spans are the name or pronoun with the token after it, so that weights differ."""
+    """Spans are the title, and names and pronoun with the token after, so that weights differ."""
     cut = tokens.mention_segments(fx.mentions(spark, sf_dir))
     spans = F.col("spans")
     for s in features.MENTION_KEYS:
         spans = spans.withField(f"{s}_end", F.col("spans")[f"{s}_end"] + 1)
-    rows = with_vectors(vectors.span_token_rows(cut.withColumn("spans", spans)), spark, sf_dir)
+    rows = with_vectors(vectors.span_token_rows(cut.withColumn("spans", spans), ("a", "b", "p", "url")), spark, sf_dir)
     return dims(vectors.attentive_span(rows, score_weights(spark, sf_dir)), "id", "span")
 
 
@@ -680,6 +710,12 @@ def scorer_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written(folds.stratified_folds(plain, K), "folds")
 
 
+def clamped() -> Column:
+    """Whether all probabilities lie within the clamp."""
+    inside = [F.col(c).between(1e-4, 1 - 1e-4) for c in scoring.CLASSES]
+    return inside[0] & inside[1] & inside[2]
+
+
 def train_and_test(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     first, second, test = fx.splits(scorer_table(spark, sf_dir))
     return first.unionByName(second), test
@@ -687,33 +723,44 @@ def train_and_test(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
 
 @query
 def fit_scorer(spark, sf_dir):
+    """Scored rows, and whether the model beats the even guess on them."""
     train, test = train_and_test(spark, sf_dir)
-    out = scoring.with_probabilities(scoring.predict(scoring.fit_scorer(train, fold=0), test))
-    return out.select("id", "target", *scoring.CLASSES)
+    model = scoring.fit_scorer(train, fold=0)
+    out = written(scoring.with_probabilities(scoring.predict(model, test)), "scored")
+    better = metrics.log_loss(out, by=None).select(F.col("loss") < math.log(3)).scalar()
+    return out.select("id", "target", clamped().alias("clamped"), better.alias("beats_chance"))
 
 
 @query
 def save_load_scorer(spark, sf_dir):
+    """Whether the model that was saved and loaded gives the logits of the fitted one."""
     train, test = train_and_test(spark, sf_dir)
-    path = scoring.save_scorer(scoring.fit_scorer(train, fold=0), scratch_path(spark, "scorer"))
-    out = scoring.with_probabilities(scoring.predict(scoring.load_scorer(path), test))
-    return out.select("id", "target", *scoring.CLASSES)
+    fitted = scoring.fit_scorer(train, fold=0)
+    path = scoring.save_scorer(fitted, scratch_path(spark, "scorer"))
+    loaded = scoring.predict(scoring.load_scorer(path), test).withColumnRenamed("logits", "again")
+    out = scoring.predict(fitted, loaded)
+    return out.select("id", "target", (F.col("again") == F.col("logits")).alias("same"))
 
 
 @query
 def predict(spark, sf_dir):
     train, test = train_and_test(spark, sf_dir)
-    return scoring.predict(scoring.fit_scorer(train), test).select("id", "target", "logits")
+    out = scoring.predict(scoring.fit_scorer(train), test)
+    finite = F.forall("logits", lambda x: ~F.isnan(x) & (F.abs(x) < 1e6))
+    return out.select("id", "target", F.size("logits").alias("n_logits"), finite.alias("finite"))
 
 
 @query
 def cross_validate(spark, sf_dir):
+    """Rows scored per fold and on the test rows, and whether losses are those of clamped probabilities."""
     train, test = train_and_test(spark, sf_dir)
-    return scoring.cross_validate(train, test, K)[2]
+    losses = scoring.cross_validate(train, test, K)[2]
+    return losses.select("split", "fold", "n", F.col("loss").between(0, -math.log(1e-4)).alias("in_range"))
 
 
 @query
 def evaluate_single_fold(spark, sf_dir):
     train, test = train_and_test(spark, sf_dir)
     path = scoring.save_scorer(scoring.fit_scorer(train, fold=0), scratch_path(spark, "fold-0"))
-    return scoring.evaluate_single_fold(path, test, fold=0)
+    out = scoring.evaluate_single_fold(path, test, fold=0)
+    return out.select("fold", "n", (F.col("loss") < math.log(3)).alias("beats_chance"))

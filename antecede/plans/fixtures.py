@@ -19,16 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, per_split: int = 8) -> DataFrame:
-    """Rows of a table with fewer splits than there are cores, moved to more of the cores.
-
-    Searching texts costs far more than reading them, and a small file is one split. A table
-    with splits for all cores stays where it is.
-    """
-    splits, cores = df.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(min(cores, splits * per_split)) if splits < cores else df
-
-
 def _keep_found(df: DataFrame, found: Column, test) -> DataFrame:
     """Adds the fields of a struct, for the rows whose struct passes a test.
 
@@ -57,9 +47,14 @@ def _with_last(df: DataFrame, name: str, off: str, text: Column, reversed_patter
     return mirrored.withColumns({name: F.reverse("_mirrored"), off: start}).drop("_mirrored", "_behind")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+
+
 def english(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts that English pronouns are looked for in."""
     docs = table(spark, sf_dir, "documents").filter(F.col("lang") == "en")
-    return spread(docs.select(F.col("doc_id").alias("id"), "text"))
+    return docs.select(F.col("doc_id").alias("id"), "text")
 
 
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:

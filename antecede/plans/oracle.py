@@ -9,9 +9,10 @@ from antecede.functions.numeric import EDGES13, EDGES9, POSITION_EDGES
 from antecede.functions.stopwords import STOPWORDS
 from antecede.operators.folds import SEED
 from antecede.operators.joins import PRONOUN_GENDER
-from antecede.operators.sequences import MAX_TOKENS, RESERVED
+from antecede.operators.sequences import RESERVED
 
 K = 5
+CUT = 490
 _PRON = r"\b(?:[Hh]e|[Ss]he|[Hh]im|[Hh]is|[Hh]er|[Hh]ers)\b"
 _NAME = r"\b[A-Z][a-z]{2,}\b"
 _TOK = r"[A-Za-z0-9]+|[^A-Za-z0-9\s]"
@@ -115,10 +116,11 @@ def _ranked(rows: str, key: str) -> str:
 
 # Named subqueries, in an order in which each only uses earlier ones.
 _VIEWS = {
-    "docs": "SELECT doc_id AS id, text FROM documents WHERE lang = 'en'",
+    "docs": "SELECT doc_id AS id, text FROM documents",
+    "english": "SELECT doc_id AS id, text FROM documents WHERE lang = 'en'",
     "m_pronoun": rf"""SELECT id, text, regexp_extract(text, '{_PRON}') AS pronoun,
         length(regexp_extract(text, '^([\s\S]*?){_PRON}', 1)) AS p_off
-        FROM docs WHERE regexp_matches(text, '{_PRON}')""",
+        FROM english WHERE regexp_matches(text, '{_PRON}')""",
     "m_left": """SELECT *, substr(text, 1, p_off) AS lft,
         CASE WHEN id % 2 = 0 THEN p_off + length(pronoun) ELSE 0 END AS shift FROM m_pronoun""",
     "m_a": rf"""SELECT *, regexp_extract(lft, '^[\s\S]*({_NAME})', 1) AS a,
@@ -179,20 +181,25 @@ _VIEWS = {
         UNION ALL SELECT token, CAST({_FIRST_ID - 1} + row_number() OVER (ORDER BY n DESC, token) AS INTEGER)
         FROM (SELECT token, count(*) AS n FROM
               (SELECT unnest(regexp_extract_all({_clean('text')}, '{_TOK}')) AS token FROM docs)
-              GROUP BY token ORDER BY n DESC, token LIMIT 30000)""",
+              GROUP BY token ORDER BY n DESC, token)""",
     "enc_long": """SELECT id, unnest(t) AS token, CAST(generate_subscripts(t, 1) - 1 AS INTEGER) AS pos
         FROM (SELECT id, ['[CLS]'] || tokens AS t FROM segs_marked)""",
     "enc": f"""SELECT id, pos, coalesce(token_id, {RESERVED['[UNK]']}) AS token_id
         FROM enc_long LEFT JOIN vocab USING (token)""",
     "ids": "SELECT id, list(token_id ORDER BY pos) AS ids FROM enc GROUP BY id",
-    "keyed": f"""SELECT id, sha256(array_to_string(ids[1:{MAX_TOKENS}], ',')) AS key,
-        least(len(ids), {MAX_TOKENS}) AS n FROM ids""",
+    "keyed": f"""SELECT id, sha256(array_to_string(ids, ',')) AS key, len(ids) AS n FROM ids""",
     "folded": f"""SELECT id, target, CAST(ntile({K}) OVER (PARTITION BY target
         ORDER BY md5('{SEED}|' || id), id) - 1 AS INTEGER) AS fold FROM mentions_v""",
     "shuffled": _ranked("mentions_v", f"md5('{SEED}|0|' || id), id"),
     "ordered": _ranked("mentions_v", "id"),
-    "padded": f"""SELECT id, place // 32 AS batch_id, ids, least(max(len(ids)) OVER (PARTITION BY place // 32), {MAX_TOKENS}) AS width
+    "string_order": "SELECT CAST(id AS VARCHAR) AS id, row_number() OVER (ORDER BY CAST(id AS VARCHAR)) - 1 AS place FROM mentions_v",
+    "batched": """SELECT id, place // 32 AS batch_id, ids, max(len(ids)) OVER (PARTITION BY place // 32) AS longest
         FROM ids JOIN ordered USING (id)""",
+    "padded": f"""SELECT *, longest AS width, false AS cut FROM batched
+        UNION ALL SELECT *, least(longest, {CUT}) AS width, true AS cut FROM batched""",
+    "rule": f"""SELECT id, id % 3 = 2 AS test, CAST(CASE WHEN abs(dist_pa) > {EDGES9[-1]} OR abs(dist_pb) > {EDGES9[-1]}
+        OR abs(dist_pa) = abs(dist_pb) THEN 2 WHEN abs(dist_pa) < abs(dist_pb) THEN 0 ELSE 1 END AS INTEGER) AS target FROM dist""",
+    "rule_fold": f"""SELECT *, CAST(ntile({K}) OVER (PARTITION BY target ORDER BY md5('{SEED}|' || id), id) - 1 AS INTEGER) AS fold FROM rule""",
     "prior": """SELECT id, CAST(CASE WHEN a_off = least(p_off, a_off, b_off) THEN 0.45 ELSE 0.4 END AS DOUBLE) AS pr_a,
         CAST(CASE WHEN b_off = least(p_off, a_off, b_off) THEN 0.3 ELSE 0.45 END AS DOUBLE) AS pr_b FROM mentions_v""",
     "probs": "SELECT id, pr_a, pr_b, CAST(1 AS DOUBLE) - (pr_a + pr_b) AS pr_neither FROM prior",
@@ -242,7 +249,7 @@ _VIEWS = {
     "wide_rows": "SELECT id, span, pos, token, " + _VEC_ID + """ AS vec_id FROM (""" + " UNION ALL ".join(
         f"""SELECT id, '{s.upper()}' AS span, unnest(range({s}_start, least({s}_end + 2, len(tokens)))) AS pos,
         unnest(tokens[{s}_start + 1 : {s}_end + 2]) AS token FROM segs""" for s in "abp"
-    ) + ")",
+    ) + " UNION ALL SELECT id, 'URL', unnest(range(url_start, url_end + 1)), unnest(tokens[url_start + 1 : url_end + 1]) FROM segs)",
     "wide_scores": """SELECT id, span, pos, vec_id, list_dot_product(CAST(embedding AS DOUBLE[]),
         (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)) AS s FROM wide_rows JOIN embeddings USING (vec_id)""",
     "wide_weights": """SELECT *, exp(s - max(s) OVER (PARTITION BY id, span)) AS w FROM wide_scores""",
@@ -297,9 +304,10 @@ def _range_row(column: str, kind: str) -> str:
         choice = f"CASE {cases} ELSE '{kind}' END"
     else:
         choice = "CASE WHEN lo > -65504 AND hi < 65504 THEN 'float' ELSE 'double' END"
+    added = f"CAST(sum({column}) AS BIGINT)" if kind in ("bigint", "int") else "CAST(NULL AS BIGINT)"
     return f"""SELECT '{column}' AS "column", '{kind}' AS from_type, CAST(lo AS DOUBLE) AS min_value,
-        CAST(hi AS DOUBLE) AS max_value, {choice} AS to_type
-        FROM (SELECT min({column}) AS lo, max({column}) AS hi FROM lineitem)"""
+        CAST(hi AS DOUBLE) AS max_value, {choice} AS to_type, cast_sum, {choice} AS cast_type
+        FROM (SELECT min({column}) AS lo, max({column}) AS hi, {added} AS cast_sum FROM lineitem)"""
 
 
 _MASK_A = f"{_hash32(f"'{SEED}|0|' || id || '|A'")} < 2147483648 AND pos BETWEEN a_start + 1 AND a_end + 1"
@@ -323,8 +331,11 @@ _BODIES = {
         FROM mentions_v""",
     "scan_template": "SELECT CAST(id AS VARCHAR) AS id, pr_a, pr_b, pr_neither FROM probs",
     "scan_names": "SELECT a AS name FROM mentions_v UNION SELECT b FROM mentions_v",
-    "scan_token_vectors": """SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY pos, span) - 1 AS INTEGER) AS pos, token,
-        CAST(embedding[1] AS DOUBLE) AS v_first, CAST(embedding[-1] AS DOUBLE) AS v_last FROM span_rows JOIN embeddings USING (vec_id)""",
+    "scan_token_vectors": f"""SELECT id, n_chars, pos, token, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS dim,
+        {_fix6("CAST(unnest(embedding) AS DOUBLE)")} AS value FROM
+        (SELECT id, CAST(length(text) AS INTEGER) AS n_chars, token, embedding,
+         CAST(row_number() OVER (PARTITION BY id ORDER BY pos, span) - 1 AS INTEGER) AS pos
+         FROM span_rows JOIN embeddings USING (vec_id) JOIN mentions_v USING (id))""",
     "write_folds": "SELECT id, target, fold FROM folded",
     "write_batches": f"""WITH runs AS (SELECT id, target, fold, CAST(f AS INTEGER) AS run_fold,
             CASE WHEN fold = f THEN 'valid' ELSE 'train' END AS split FROM folded, range({K}) r(f)),
@@ -332,11 +343,11 @@ _BODIES = {
             CASE WHEN split = 'train' THEN md5('{SEED}|0|' || id) END, id) - 1 AS place FROM runs),
         sized AS (SELECT *, place // 32 AS batch_id, count(*) OVER (PARTITION BY run_fold, split, place // 32) AS size FROM placed_rows),
         kept AS (SELECT * FROM sized WHERE split = 'valid' OR size = 32),
-        wide AS (SELECT *, least(max(len(ids)) OVER (PARTITION BY run_fold, split, batch_id), {MAX_TOKENS}) AS width FROM kept JOIN ids USING (id))
-        SELECT id, split, run_fold AS fold, batch_id, target, p_start + 1 AS p_start,
+        wide AS (SELECT *, max(len(ids)) OVER (PARTITION BY run_fold, split, batch_id) AS width FROM kept JOIN ids USING (id))
+        SELECT id, split, run_fold AS fold, batch_id, target, p_start + 1 AS p_start, url_end + 1 >= width AS truncated_span,
         array_to_string((ids || list_transform(range(width), lambda i: 0))[1:width], ',') AS ids FROM wide JOIN segs_marked USING (id)""",
     "write_predictions": "SELECT CAST(id AS VARCHAR) AS id, pr_a, pr_b, pr_neither FROM probs",
-    "export_text": "SELECT text FROM mentions_v",
+    "export_text": "SELECT CAST(id AS VARCHAR) AS row_key, text FROM mentions_v",
     "write_lexicon": "SELECT name, gender FROM lex",
     "project_rename": "SELECT id, pronoun, a AS a_noun, b AS b_noun, a_coref FROM mentions_v",
     "extract_target": "SELECT id, CASE WHEN target = 2 THEN 1 ELSE 0 END AS neither, target FROM mentions_v",
@@ -395,10 +406,10 @@ _BODIES = {
     ) + " FROM mentions_v",
     "build_vocab": "SELECT token, token_id FROM vocab",
     "encode_tokens": "SELECT id, array_to_string(ids, ',') AS ids FROM ids",
-    "batch_assign": """SELECT id, place // 32 AS batch_id, CAST(place % 32 AS INTEGER) AS batch_pos, 'train' AS mode
+    "batch_assign": """SELECT CAST(id AS VARCHAR) AS id, place // 32 AS batch_id, CAST(place % 32 AS INTEGER) AS batch_pos, 'train' AS mode
         FROM shuffled WHERE place // 32 < (SELECT count(*) // 32 FROM mentions_v)
-        UNION ALL SELECT id, place // 32, CAST(place % 32 AS INTEGER), 'valid' FROM ordered""",
-    "pad_truncate": f"""SELECT id, batch_id, CAST(width AS INTEGER) AS width,
+        UNION ALL SELECT id, place // 32, CAST(place % 32 AS INTEGER), 'valid' FROM string_order""",
+    "pad_truncate": f"""SELECT cut, id, batch_id, CAST(width AS INTEGER) AS width,
         array_to_string((ids || list_transform(range(width), lambda i: 0))[1:width], ',') AS ids,
         url_end + 1 >= width OR greatest(a_end, b_end, p_end) + 1 >= width AS truncated_span,
         {', '.join(f'{c.strip()} + 1 AS {c.strip()}' for c in _SPANS.split(','))} FROM padded JOIN segs_marked USING (id)""",
@@ -460,17 +471,24 @@ _BODIES = {
         FROM walk w JOIN log l ON w.run = l.run AND l.step = w.step + 1 WHERE stop IS NULL)
         SELECT run, stop AS stop_step, best_step, best AS best_loss FROM walk
         QUALIFY row_number() OVER (PARTITION BY run ORDER BY step DESC) = 1""",
+    "fit_scorer": "SELECT id, target, true AS clamped, true AS beats_chance FROM rule WHERE test",
+    "save_load_scorer": "SELECT id, target, true AS same FROM rule WHERE test",
+    "predict": "SELECT id, target, CAST(3 AS INTEGER) AS n_logits, true AS finite FROM rule WHERE test",
+    "cross_validate": """SELECT 'valid' AS split, fold, count(*) AS n, true AS in_range FROM rule_fold WHERE NOT test GROUP BY ROLLUP (fold)
+        UNION ALL SELECT 'test', NULL, count(*), true FROM rule WHERE test""",
+    "evaluate_single_fold": "SELECT CAST(0 AS INTEGER) AS fold, count(*) AS n, true AS beats_chance FROM rule WHERE test",
     "span_mean_pool": f"""SELECT id, span, dim, {_fix6("CASE WHEN span = 'P' THEN sum(v ORDER BY pos) ELSE sum(v ORDER BY pos) / count(*) END")} AS value
         FROM (SELECT id, span, pos, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS dim, CAST(unnest(embedding) AS DOUBLE) AS v
               FROM aligned JOIN embeddings USING (vec_id)) GROUP BY id, span, dim""",
-    "encode_batches": f"""SELECT id, pos, token_id, CAST(embedding[1] AS DOUBLE) AS v_first, CAST(embedding[-1] AS DOUBLE) AS v_last
+    "encode_batches": f"""SELECT id, pos, token_id, CAST(embedding[1] AS DOUBLE) AS v_first, CAST(embedding[-1] AS DOUBLE) AS v_last,
+        {_fix6("list_reduce(list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) * i), lambda a, b: a + b)")} AS v_all
         FROM enc JOIN (SELECT token_id, {_VEC_ID} AS vec_id FROM vocab) USING (token_id) JOIN embeddings USING (vec_id)
-        WHERE token_id > 0 AND pos < {MAX_TOKENS}""",
-    "select_layers": f"""SELECT id, CAST(dim + shift AS INTEGER) AS dim, {_fix6('v * factor')} AS value
-        FROM span_dims, (VALUES (0, 7), (64, 1)) f(shift, factor) WHERE span = 'P'""",
+        WHERE token_id > 0""",
+    "select_layers": f"""SELECT id, span, CAST(pos AS INTEGER) AS pos, CAST(dim + shift AS INTEGER) AS dim, {_fix6('v * factor')} AS value
+        FROM span_dims, (VALUES (0, 7), (64, 1)) f(shift, factor)""",
     "pronoun_vector": f"SELECT id, dim, {_fix6('v')} AS value FROM span_dims WHERE span = 'P'",
     "endpoint_span": f"""WITH ends AS (SELECT id, span, dim, arg_min(v, pos) AS x, arg_max(v, pos) AS y FROM span_dims
-        WHERE span = 'A' GROUP BY id, span, dim)
+        WHERE span IN ('A', 'B') GROUP BY id, span, dim)
         SELECT id, span, dim, {_fix6('x')} AS value FROM ends
         UNION ALL SELECT id, span, CAST(dim + 64 AS INTEGER), {_fix6('y')} FROM ends
         UNION ALL SELECT id, span, CAST(dim + 128 AS INTEGER), {_fix6('x * y')} FROM ends""",

@@ -57,6 +57,7 @@ LEXICON = T.StructType(
 
 TOKEN_VECTORS = T.StructType(
     [
+        T.StructField("row_key", T.StringType()),
         T.StructField("linex_index", T.LongType()),
         T.StructField(
             "features",

@@ -26,11 +26,14 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSes
 def scratch_root(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``, which every executor can reach.
 
-    Only where the session names none (tests, a laptop) is a local folder made.
+    Only where the session names none and is local (tests, a laptop) is a folder made: on a
+    cluster each executor would write to a disk of its own.
     """
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="run-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(root)

@@ -23,12 +23,12 @@ DELIMITED = {
 
 
 def scan_mentions(
-    spark: SparkSession, path: str, labeled: bool = True, multiline: bool = True
+    spark: SparkSession, path: str, labeled: bool = True, multiline: bool = False
 ) -> DataFrame:
     """Mention TSV with snake_case columns.
 
-    A file whose fields hold line breaks cannot be split; set ``multiline=False`` where
-    each record is one line, so that large files are read by many tasks.
+    Each record is one line, so that large files are read by many tasks. Set ``multiline``
+    for a file whose fields hold line breaks: it cannot be split.
     """
     raw = (
         spark.read.schema(mention_schema(labeled))
@@ -62,11 +62,20 @@ def scan_names(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def scan_text(spark: SparkSession, path: str) -> DataFrame:
+    """(row_key, text) as ``export_text`` writes them, for an encoder that returns the key."""
+    return spark.read.schema("row_key string, text string").options(**DELIMITED).csv(path, multiLine=True)
+
+
 def scan_token_vectors(spark: SparkSession, path: str, layer: int = 0) -> DataFrame:
-    """Encoder output, one JSON object per text -> one row per token."""
+    """Encoder output, one JSON object per text -> one row per token.
+
+    Rows have the key that ``export_text`` gave the text, where the encoder hands it on, and
+    the encoder's number of the line, which tells nothing about rows read by many tasks.
+    """
     return (
         spark.read.schema(TOKEN_VECTORS)
         .json(path)
-        .select(F.col("linex_index").alias("id"), F.posexplode("features").alias("pos", "f"))
-        .select("id", "pos", "f.token", F.col("f.layers")[layer]["values"].alias("vector"))
+        .select("row_key", F.col("linex_index").alias("line"), F.posexplode("features").alias("pos", "f"))
+        .select("row_key", "line", "pos", "f.token", F.col("f.layers")[layer]["values"].alias("vector"))
     )

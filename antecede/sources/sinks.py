@@ -42,9 +42,10 @@ def write_predictions(df: DataFrame, path: str, version: str, scores: Sequence[f
     return target
 
 
-def export_text(df: DataFrame, path: str) -> str:
-    """The text column alone, without a header."""
-    df.select("text").write.mode("overwrite").options(**{**_QUOTED, "header": False}).csv(path)
+def export_text(df: DataFrame, path: str, key: str = "id") -> str:
+    """``row_key`` and ``text`` for an encoder, so that its output can be joined back by key."""
+    rows = df.select(F.col(key).cast("string").alias("row_key"), "text")
+    rows.write.mode("overwrite").options(**_QUOTED).csv(path)
     return path
 
 
