@@ -14,7 +14,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     near = _both_ways(edges)
     low = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     moved = near.filter(F.col("v") > F.col("u")).join(low, "u")
-    return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return moved.select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from antecede.session import written
 
 VALUES, CHUNK = 80, 8
 #: Buckets of more members than this are compared in blocks of about ``BLOCK`` nodes, not by pairs.
-HOT, BLOCK = 128, 256
+HOT, BLOCK = 32, 256
 #: Documents are linked from this similarity on, in per cent.
 SIMILARITY = 85
 _SEED = 7
@@ -203,39 +203,35 @@ def _links_of_hot(hot: DataFrame, sets: DataFrame, similarity: int) -> DataFrame
 def near_links(docs: DataFrame, sketched: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """Links (u, v) that connect just what all pairs at or over ``similarity`` connect.
 
-    ``sketched`` has one row per distinct set: node and signature. Nodes that are known to be
-    connected need no further comparison, so the buckets (the nodes of a key) are worked on in
-    steps, and each step looks only at buckets that still hold several components:
-
-    1. the smallest node of a bucket is compared with all others;
-    2. a node chosen by a hash, another one in each bucket, with those of other components;
-    3. every two nodes of different components: as pairs in buckets of up to ``HOT`` members,
-       in blocks (``_links_of_hot``) beyond.
-
-    A large group of near copies is mostly one component after the first two steps, which take
-    one comparison a member and bucket; no pair that shares a key and has two components is left out.
+    ``sketched`` has one row per distinct set: node and signature. First a node of every bucket
+    (the nodes of a key), chosen by a hash of both, is compared with all others of it. A
+    group of near copies has many buckets, and so as many nodes that all are compared with: it
+    is mostly one component after this step, which takes one comparison a member and bucket.
+    Nodes that are known to be connected need no further comparison; buckets that still hold
+    several components have every two nodes of different ones compared, as pairs in buckets of up to
+    ``HOT`` members and in blocks (``_links_of_hot``) beyond. So no pair is left out that
+    shares a key.
     """
     keys = chunk_keys(sketched)
-    bounds = keys.groupBy("key").agg(F.min("node").alias("u"), F.max("node").alias("_last"))
-    shared = written(keys.join(bounds.filter("u < _last").drop("_last"), "key"), "buckets")
+    chosen = keys.groupBy("key").agg(
+        F.min_by("node", F.xxhash64("key", "node")).alias("leader"), F.count(F.lit(1)).alias("_n")
+    )
+    shared = written(keys.join(chosen.filter("_n > 1").drop("_n"), "key"), "buckets")
     members = shared.select(F.col("node").alias("doc_id")).distinct()
     texts = docs.select("doc_id", "text").join(members, "doc_id", "left_semi")
     sets = written(shingle_sets(texts), "sets")
 
-    pairs = shared.filter("node > u").select("u", F.col("node").alias("v")).distinct()
-    links = written(confirmed(pairs, sets, similarity), "links")
+    pairs = shared.filter("node <> leader").select(
+        F.least("leader", "node").alias("u"), F.greatest("leader", "node").alias("v")
+    )
+    links = written(confirmed(pairs.distinct(), sets, similarity), "links")
 
     mixed = _mixed(shared, links)
-    chosen = mixed.groupBy("key").agg(F.min_by(F.struct("node", "label"), F.xxhash64("key", "node")).alias("l"))
-    across = mixed.join(chosen, "key").filter(F.col("label") != F.col("l.label"))
-    across = across.select(F.least("node", "l.node").alias("u"), F.greatest("node", "l.node").alias("v"))
-    links = written(links.unionByName(confirmed(across.distinct(), sets, similarity)), "links")
-
-    mixed = _mixed(mixed.select("key", "node"), links)
     few = mixed.filter(F.col("size") <= HOT)
     other = few.select("key", F.col("node").alias("v"), F.col("label").alias("other"))
     rest = few.withColumnRenamed("node", "u").join(other, "key").filter("u < v and label <> other")
-    found = confirmed(rest.select("u", "v").distinct(), sets, similarity)
+    rest = rest.select("u", "v").distinct().join(pairs, ["u", "v"], "left_anti")
+    found = confirmed(rest, sets, similarity)
     hot = mixed.filter(F.col("size") > HOT)
     return links.unionByName(found).unionByName(_links_of_hot(hot, sets, similarity))
 
