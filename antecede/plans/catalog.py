@@ -116,8 +116,8 @@ def write_folds(spark, sf_dir):
 
 @query
 def write_batches(spark, sf_dir):
-    path = sinks.write_batches(fold_batches(spark, sf_dir), scratch_path(spark, "batches"))
-    back = ids_text(spark.read.parquet(path))
+    path = sinks.write_batches(*fold_batches(spark, sf_dir), scratch_path(spark, "batches"))
+    back = ids_text(scans.scan_batches(spark, path))
     columns = ["id", "split", "fold", "batch_id", "target", "ids", "truncated_span"]
     return back.select(*columns, F.col("spans.p_start").alias("p_start"))
 
@@ -407,19 +407,17 @@ def folded(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return folds.stratified_folds(labelled(spark, sf_dir, *columns), K)
 
 
-def fold_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Padded batches of every fold: shuffled and full for training, ordered for validation."""
-    rows = encoded(spark, sf_dir).join(folded(spark, sf_dir, "p_off"), "id")
-    runs = joins.fold_expand(written(rows.drop("p_off"), "encoded"), K)
-    by = ["run_fold", "split"]
+def fold_batches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Encoded rows, and their batches in every fold: shuffled and full for training, ordered for validation."""
+    m = written(labels.extract_target(fx.mentions(spark, sf_dir)), "mentions")
+    cut = tokens.mention_segments(m, markers=True).select("id", "target", "spans", "tokens")
+    rows = sequences.encode_tokens(cut, vocabulary(spark, sf_dir))
+    runs = written(joins.fold_expand(folds.stratified_folds(m.select("id", "target"), K), K), "runs")
+    runs = runs.select("id", F.col("run_fold").alias("fold"), "split")
+    by = ["fold", "split"]
     train = folds.batch_assign(runs.filter(F.col("split") == "train"), by=by)
-    valid = folds.batch_assign(
-        runs.filter(F.col("split") == "valid"), shuffle=False, drop_last=False, by=by
-    )
-    both = sequences.pad_truncate(train.unionByName(valid), [*by, "batch_id"])
-    return both.select(
-        "id", "split", F.col("run_fold").alias("fold"), "batch_id", "ids", "spans", "target", "truncated_span"
-    )
+    valid = folds.batch_assign(runs.filter(F.col("split") == "valid"), shuffle=False, drop_last=False, by=by)
+    return rows, train.unionByName(valid)
 
 
 # ---- joins, lexicon, folds, augmentation -------------------------------------------------

@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from antecede.operators.sequences import pad_truncate
 from antecede.schemas import (
     COLUMN_NAMES,
     LEXICON,
@@ -62,6 +63,19 @@ def scan_names(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def scan_batches(
+    spark: SparkSession, path: str, fold: int | None = None, split: str | None = None, max_len: int | None = None
+) -> DataFrame:
+    """Padded batches of what ``write_batches`` wrote, of one fold or split or of all."""
+    batches = spark.read.parquet(f"{path}/batches")
+    if fold is not None:
+        batches = batches.filter(F.col("fold") == fold)
+    if split is not None:
+        batches = batches.filter(F.col("split") == split)
+    rows = batches.join(spark.read.parquet(f"{path}/rows"), "id")
+    return pad_truncate(rows, ["fold", "split", "batch_id"], max_len)
+
+
 def scan_text(spark: SparkSession, path: str) -> DataFrame:
     """(row_key, text) as ``export_text`` writes them, for an encoder that returns the key."""
     return spark.read.schema("row_key string, text string").options(**DELIMITED).csv(path, multiLine=True)

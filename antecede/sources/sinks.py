@@ -28,9 +28,15 @@ def write_folds(df: DataFrame, path: str) -> str:
     return path
 
 
-def write_batches(df: DataFrame, path: str) -> str:
-    balanced = df.hint("rebalance", "split", "fold")
-    balanced.write.mode("overwrite").partitionBy("split", "fold").parquet(path)
+def write_batches(rows: DataFrame, batches: DataFrame, path: str) -> str:
+    """Encoded rows once, and apart from them which batch of which fold each is in.
+
+    ``rows`` has id and what belongs to it, ``batches`` (id, fold, split, batch_id, batch_pos)
+    for every fold. ``scans.scan_batches`` puts them together.
+    """
+    rows.write.mode("overwrite").parquet(f"{path}/rows")
+    balanced = batches.hint("rebalance", "split", "fold")
+    balanced.write.mode("overwrite").partitionBy("split", "fold").parquet(f"{path}/batches")
     return path
 
 

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from antecede.operators import checks, features, joins, labels, lexicon, tokens
+from antecede.operators import checks, features, joins, labels, lexicon, sequences, tokens
 from brute import sentence_of, tokens as brute_tokens
 
 
@@ -12,6 +12,22 @@ def test_target_rules(spark):
     assert [r.label for r in labels.coref_label(df).collect()] == ["A", "B", "Neither", "B"]
 
 
+def test_unknown_labels_stay_unknown(spark):
+    df = spark.createDataFrame([(None, None), (None, True), (False, None)], "a_coref boolean, b_coref boolean")
+    assert [r.target for r in labels.extract_target(df).collect()] == [None, 1, 2]
+    assert [r.label for r in labels.coref_label(df).collect()] == [None, "B", "Neither"]
+
+
+def test_rows_without_address_or_tokens_stay(mentions):
+    rows = mentions([("Ann Bo he", "he", "Ann", "Bo")]).withColumn("url", F.lit(None).cast("string"))
+    cut = tokens.mention_segments(rows)
+    assert cut.first()["tokens"] == ["ann", "bo", "he"]
+    vocab = sequences.build_vocab(cut.select(F.explode("tokens").alias("token")))
+    more = cut.select("id", "tokens").unionByName(cut.select(F.lit(9).cast("bigint").alias("id"), F.lit(None).cast("array<string>").alias("tokens")))
+    got = {r.id: r.ids for r in sequences.encode_tokens(more, vocab).collect()}
+    assert got[9] == [101] and len(got[0]) == 4 and 100 not in got[0]
+
+
 def test_prior(mentions):
     df = mentions([("Ann Bo he", "he", "Ann", "Bo"), ("Ann Bo he", "he", "Bo", "Ann"), ("he Ann Bo", "he", "Ann", "Bo")])
     got = [(r.pr_a, r.pr_b, round(r.pr_neither, 9)) for r in labels.positional_prior(df).orderBy("id").collect()]

@@ -57,11 +57,29 @@ def test_two_level_rank(spark):
 
 
 def test_range_buckets_grow_with_the_key(spark):
-    df = spark.range(5000).select((F.col("id") * F.col("id")).alias("v"), F.lit(1).alias("g"))
-    out = range_buckets(df, "g", "v", n=8).orderBy("v").collect()
-    slots = [r["_range"] for r in out]
-    assert slots == sorted(slots) and len(set(slots)) == 64
-    assert max(slots.count(s) for s in set(slots)) < 2 * 5000 / 64
+    for kind in ("bigint", "string"):
+        df = spark.range(5000).select((F.col("id") * F.col("id")).cast(kind).alias("v"))
+        slots = [r["_range"] for r in range_buckets(df, "v", n=8).orderBy("v").collect()]
+        assert slots == sorted(slots) and len(set(slots)) == 64
+        assert max(slots.count(s) for s in set(slots)) < 8 * 5000 / 64
+
+
+def test_string_ids_in_order(spark):
+    df = spark.range(500).select(F.concat(F.lit("development-"), F.col("id")).alias("id"), (F.col("id") % 3).alias("target"))
+    folds_of = folds.stratified_folds_ordered(df, 4)
+    want = df.withColumn("fold", F.ntile(4).over(Window.partitionBy("target").orderBy("id")) - 1)
+    assert folds_of.exceptAll(want.select(folds_of.columns)).count() == 0 and folds_of.count() == 500
+    batches = folds.batch_assign(df, 32, shuffle=False, drop_last=False).collect()
+    names = sorted(r.id for r in batches)
+    assert all((r.batch_id, r.batch_pos) == divmod(names.index(r.id), 32) for r in batches)
+
+
+def test_dropping_the_last_batch_adds_no_shuffle(spark):
+    def exchanges(drop):
+        plan = folds.batch_assign(spark.range(101), 32, drop_last=drop)
+        return plan._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+    assert exchanges(True) == exchanges(False)
 
 
 def test_batches(spark):
@@ -83,20 +101,21 @@ def test_fold_expand(skewed):
 
 
 @pytest.mark.parametrize("how", ["left", "inner"])
-@pytest.mark.parametrize("min_rows", [1, 10**9])
-def test_salted_join_is_a_join(spark, how, min_rows):
+@pytest.mark.parametrize("shares", [1, 4, 10**6])
+def test_salted_join_is_a_join(spark, how, shares, monkeypatch):
+    monkeypatch.setattr(joins, "SHARES", shares)
     rng = random.Random(1)
     rows = [(i, rng.choice(["hot"] * 8 + ["x", "y", None]), [i]) for i in range(500)]
     left = spark.createDataFrame(rows, "id long, k string, extra array<int>")
     right = spark.createDataFrame([("hot", 1), ("x", 2), ("z", 3)], "k string, v int")
-    got = joins.salted_join(left, right, "k", how, salts=4, min_rows=min_rows, max_hot=2)
+    got = joins.salted_join(left, right, "k", how, salts=4)
     assert sorted(map(repr, got.collect())) == sorted(map(repr, left.join(right, "k", how).collect()))
 
 
 def test_hot_keys_are_spread(spark):
     left = spark.range(2000).withColumn("k", F.lit("hot"))
     right = spark.createDataFrame([("hot", 1)], "k string, v int")
-    got = joins.salted_join(left, right.hint("merge"), "k", "inner", salts=8, min_rows=10)
+    got = joins.salted_join(left, right.hint("merge"), "k", "inner", salts=8)
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "_salt" in plan and got.count() == 2000
 

@@ -85,7 +85,7 @@ def test_mention_file_round_trip(spark, one):
     for labeled in (True, False):
         rows = odd if labeled else odd.drop("a_coref", "b_coref")
         path = sinks.write_mentions(rows, scratch_path(spark, "mentions"))
-        back = scans.scan_mentions(spark, path, labeled=labeled)
+        back = scans.scan_mentions(spark, path, labeled=labeled, multiline=True)
         assert back.select(rows.columns).collect() == rows.collect()
 
 
@@ -106,11 +106,11 @@ def test_name_list(spark, tmp_path):
 def test_token_vector_file(spark, tmp_path):
     file = tmp_path / "v.jsonl"
     file.write_text(
-        '{"linex_index": 4, "features": [{"token": "[CLS]", "layers": [{"index": -1, "values": [1.5, 2]}]},'
+        '{"row_key": "x-1", "linex_index": 4, "features": [{"token": "[CLS]", "layers": [{"index": -1, "values": [1.5, 2]}]},'
         ' {"token": "he", "layers": [{"index": -1, "values": [3, 4]}, {"index": -2, "values": [5, 6]}]}]}\n'
     )
     got = [tuple(r) for r in scans.scan_token_vectors(spark, str(file)).collect()]
-    assert got == [(4, 0, "[CLS]", [1.5, 2.0]), (4, 1, "he", [3.0, 4.0])]
+    assert got == [("x-1", 4, 0, "[CLS]", [1.5, 2.0]), ("x-1", 4, 1, "he", [3.0, 4.0])]
 
 
 def test_prediction_file_name(spark, tmp_path):

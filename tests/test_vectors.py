@@ -80,7 +80,7 @@ def test_span_mean_pool_from_encoder_rows(spark):
         [(1, text, "he", 9, "Anna", 0, "Bo", 12)],
         "id long, text string, pronoun string, p_off int, a string, a_off int, b string, b_off int",
     )
-    rows = [(1, i, t, [float(i), 1.0]) for i, t in enumerate(toks) if not t.startswith("[")]
+    rows = [(1, i, t, [float(i), 1.0]) for i, t in enumerate(toks)]
     tv = spark.createDataFrame(rows, "id long, pos int, token string, vector array<double>")
     got = {r.span: r.vector for r in vectors.span_mean_pool(m, tv).collect()}
     assert got == {"A": [1.5, 1.0], "P": [4.0, 1.0], "B": [5.0, 1.0]}
@@ -138,14 +138,23 @@ def test_encoders_agree(spark):
     assert model.filter("token_id = 0").count() == 0
 
 
-def test_large_vector_tables_are_not_broadcast(spark, rows):
-    table = spark.createDataFrame([(i, [float(i)]) for i in range(10)], "k int, value array<double>")
-    keyed = rows.withColumn("k", F.col("pos"))
-    small = vectors.gather_vectors(keyed, table, "k", max_broadcast=10)
-    large = vectors.gather_vectors(keyed, table, "k", max_broadcast=9)
-    assert "_salt" not in small._jdf.queryExecution().optimizedPlan().toString()
-    assert "_salt" in large._jdf.queryExecution().optimizedPlan().toString()
-    assert small.exceptAll(large.select(small.columns)).count() == 0 and large.count() == 4
+@pytest.mark.parametrize("width, overlap", [(4, 0), (5, 2), (6, 3), (100, 10)])
+def test_windows_cover_every_token_once(spark, width, overlap):
+    """A vector shows where in its window a token stood: away from the edges, if it can."""
+    df = spark.createDataFrame([(f"a|{n}", list(range(1, n + 1))) for n in (1, 4, 5, 17)], "id string, ids array<int>")
+
+    def encoder(parts):
+        long = parts.select("id", F.size("ids").alias("n"), F.posexplode("ids").alias("pos", "token_id"))
+        return long.select("id", "pos", "token_id", F.array("pos", "n").alias("vector"))
+
+    got = vectors.encode_batches(df, encoder, width, overlap).collect()
+    want = {(f"a|{n}", i, i + 1) for n in (1, 4, 5, 17) for i in range(n)}
+    assert {(r.id, r.pos, r.token_id) for r in got} == want and len(got) == len(want)
+    for r in got:
+        place, size = r.vector
+        assert r.pos < overlap // 2 or place >= overlap // 2 or size < width
+    with pytest.raises(ValueError):
+        vectors.encode_batches(df, encoder, 4, 4)
 
 
 def test_topk_needs_k_snapshots(spark):
