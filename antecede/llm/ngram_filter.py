@@ -29,7 +29,9 @@ PART_BYTES = 96 << 20
 HEAD_WORDS = 1 << 20
 #: Weights of the single-word model against a pair's count, of which the best one is taken.
 PRIORS = (1.0, 10.0, 100.0, 1e3, 1e4, 1e5, 1e6, 1e8)
-_BUFFER = 4 << 20
+_BUFFER = 1 << 20
+#: Texts are scored in slices of about so many bytes, as each token takes some 200 bytes meanwhile.
+_SLICE_BYTES = 2 << 20
 _STEP = 16  # buckets of counts for each doubling
 _END, _BEGIN = W.constants(2, 5)
 _G1, _G2, _PAIR = W.constants(3, 55)
@@ -132,7 +134,7 @@ def _packed_pairs(training: DataFrame, shards: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for part in W.runs(batch, "text"):
+            for part in W.runs(batch, "text", _SLICE_BYTES):
                 tokens, bounds = _tokens(part.column(0))
                 held.append(_pairs(_contexts(tokens, bounds), tokens))
                 size += len(tokens)
@@ -354,7 +356,7 @@ def score_documents(docs: DataFrame, held_out: Column, key: str = "doc_id", text
             columns = [part.column(0), part.column(2), found["tail"], *[pa.array(found[c]) for c in sums]]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "tail", *sums])
 
-        own = named.mapInArrow(W.map_runs(work), schema)
+        own = named.mapInArrow(W.map_runs(work, max_bytes=_SLICE_BYTES), schema)
         scored = own if scored is None else scored.unionByName(own)
     scored = written(scored, "scored")
 

@@ -159,13 +159,15 @@ def shingles(words: Words, hashes: np.ndarray, width: int = SHINGLE) -> tuple[np
 
 
 def map_runs(
-    work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], column: str = "text"
+    work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]],
+    column: str = "text",
+    max_bytes: int = RUN_BYTES,
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """For ``mapInArrow``: a function of a bounded slice of rows, applied to all of a partition."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in runs(batch, column):
+            for part in runs(batch, column, max_bytes):
                 yield from work(part)
 
     return apply
