@@ -18,15 +18,19 @@ def test_vocab_and_ids(spark):
     assert {r.id: r.ids[-1] for r in with_sep.collect()} == {1: 102, 2: 102}
 
 
-def test_vocab_has_a_limit(spark):
-    with pytest.raises(ValueError):
-        sequences.build_vocab(spark.createDataFrame([("a",)], "token string"), 10**7)
+def test_vocab_holds_all_tokens_or_the_first(spark):
+    words = spark.createDataFrame([(w,) for w in ["b"] * 3 + ["ab", "aa", "c", "c", "é", "a", "[SEP]"]], "token string")
+    first = max(sequences.RESERVED.values()) + 1
+    ranked = ["b", "c", "a", "aa", "ab", "é"]
+    for size in (None, 4):
+        got = {r.token: r.token_id for r in sequences.build_vocab(words, size).collect()}
+        assert got == {**sequences.RESERVED, **{t: first + i for i, t in enumerate(ranked[:size])}}
 
 
 def test_encoding_shuffles_rows_once(spark):
     rows = spark.createDataFrame([(1, ["b"])], "id long, tokens array<string>")
     vocab = spark.createDataFrame([("b", 7)], "token string, token_id int")
-    plan = sequences.encode_tokens(rows, vocab)._jdf.queryExecution().executedPlan().toString()
+    plan = sequences.encode_tokens(rows, vocab.hint("broadcast"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
 
 
