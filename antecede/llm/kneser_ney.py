@@ -19,8 +19,8 @@ from antecede.session import written
 ORDER = 5
 #: One of so many trusted documents is held out of the fit, to set the thresholds.
 HELD_OUT = 5
-#: Documents are kept between these quantiles of the held-out perplexities of their language.
-LOW, HIGH = 0.005, 0.995
+#: Documents are kept up to this quantile of the held-out perplexities of their language.
+QUANTILE = 0.995
 #: A language, or a length band of it, has thresholds of its own from so many held-out documents on.
 LEAST_HELD = 100
 #: Entries of the model that are sent to the tasks at a time.
@@ -165,15 +165,16 @@ def scores(docs: DataFrame, model: DataFrame, entries: int = SHARD_ENTRIES) -> D
     return summed.withColumn("logp", F.col("logp") - F.col("n") * float(np.log(_SYMBOLS)))
 
 
-def classify(docs: DataFrame, labels: DataFrame, held_out: int = HELD_OUT, low: float = LOW, high: float = HIGH) -> DataFrame:
-    """Per document (doc_id, lang, n_bytes, perplexity, low, high, kept).
+def classify(docs: DataFrame, labels: DataFrame, held_out: int = HELD_OUT, quantile: float = QUANTILE) -> DataFrame:
+    """Per document (doc_id, lang, n_bytes, perplexity, threshold, kept).
 
     ``docs`` has doc_id, text and lang, ``labels`` doc_id and quality; documents with quality 1
     are trusted. Four fifths of them fit the model, the others (by a hash of the key) set the
-    thresholds: quantiles of the perplexity per byte, by language and length band (the power of two
-    below the number of bytes), where enough held-out documents show them, else by language,
-    else over all. A document is kept between its two thresholds; repetitive text lies below,
-    noise above. Without trusted text all is kept and perplexity is that of even odds. Null
+    thresholds: a quantile of the perplexity per byte, by language and length band (the power of two
+    below the number of bytes), where enough held-out documents show it, else by language,
+    else over all. A document is kept up to its threshold. There is none from below: texts that
+    the model was fitted on lie lower than others, and junk was not found to.
+    Without trusted text all is kept and perplexity is that of even odds. Null
     texts count as empty, a null language is a language. Rows with the same key are scored as
     one document (the longest's symbols, all their bytes), rows with a null key likewise.
     """
@@ -197,24 +198,21 @@ def classify(docs: DataFrame, labels: DataFrame, held_out: int = HELD_OUT, low:
 
     held = rows.join(trusted_ids.filter(out_of_fit), "row_key", "left_semi")
 
-    at = [F.percentile_approx("perplexity", q, 100_000) for q in (low, high)]
+    at = F.percentile_approx("perplexity", quantile, 100_000)
 
     def limits(name: str, *by: str) -> DataFrame:
-        found = held.groupBy(*by).agg(
-            F.count(F.lit(1)).alias("_n"), at[0].alias(f"{name}_low"), at[1].alias(f"{name}_high")
-        )
+        found = held.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), at.alias(name))
         return found.filter(F.col("_n") >= LEAST_HELD).drop("_n")
 
-    both = limits("band", "lang", "band").withColumnsRenamed({"lang": "_l", "band": "_b"})
-    language = limits("lang", "lang").withColumnRenamed("lang", "_l2")
-    overall = held.agg(*at).first()
+    both = limits("by_band", "lang", "band").withColumnsRenamed({"lang": "_l", "band": "_b"})
+    language = limits("by_lang", "lang").withColumnRenamed("lang", "_l2")
+    overall = held.agg(at).first()[0]
     out = (
         rows.join(both, F.col("lang").eqNullSafe(F.col("_l")) & (F.col("band") == F.col("_b")), "left")
         .join(language, F.col("lang").eqNullSafe(F.col("_l2")), "left")
-        .withColumn("low", F.coalesce("band_low", "lang_low", F.lit(overall[0]).cast("double")))
-        .withColumn("high", F.coalesce("band_high", "lang_high", F.lit(overall[1]).cast("double")))
+        .withColumn("threshold", F.coalesce("by_band", "by_lang", F.lit(overall).cast("double")))
     )
-    kept = F.coalesce(F.col("perplexity").between(F.col("low"), F.col("high")), F.lit(True))
+    kept = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
     return out.select(
-        F.col("row_key").alias("doc_id"), "lang", (F.col("n") - 1).alias("n_bytes"), "perplexity", "low", "high", kept.alias("kept")
+        F.col("row_key").alias("doc_id"), "lang", (F.col("n") - 1).alias("n_bytes"), "perplexity", "threshold", kept.alias("kept")
     )

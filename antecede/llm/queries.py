@@ -59,7 +59,7 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Perplexity, thresholds and verdict of every document."""
+    """Perplexity, threshold and verdict of every document."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return kneser_ney.classify(docs, labels)
 
