@@ -25,6 +25,10 @@ LEVELS = 40
 SHARD_BYTES = 8 << 20
 #: Bytes of word-pair filter that are broadcast at a time; more are scored in further passes.
 PART_BYTES = 96 << 20
+#: Largest filter of single words, which every pass needs whole. Up to about 100 million words it has
+#: ``BITS`` for each entry; with more words entries get fewer bits, and levels of rare words are
+#: read too high more often.
+WORD_FILTER_BYTES = 128 << 20
 #: Words whose exact counts are broadcast, the most frequent ones; others go by joins and levels.
 HEAD_WORDS = 1 << 20
 #: Weights of the single-word model against a pair's count, of which the best one is taken.
@@ -72,9 +76,9 @@ class Filter:
         return [one + np.uint64(level * PROBES + k) * two for k in range(PROBES)]
 
     @staticmethod
-    def fill(hashes: np.ndarray, levels: np.ndarray) -> tuple[int, np.ndarray]:
+    def fill(hashes: np.ndarray, levels: np.ndarray, bits: float = BITS) -> tuple[int, np.ndarray]:
         """Size and bits of a shard that holds these n-grams with these levels."""
-        size = max(64, -(-int(levels.sum()) * BITS // 64) * 64)
+        size = max(64, math.ceil(int(levels.sum()) * bits / 64) * 64)
         flags = np.zeros(size, bool)
         for level in range(1, int(levels.max(initial=0)) + 1):
             for place in Filter.places(hashes[levels >= level], level):
@@ -150,16 +154,16 @@ def _packed_pairs(training: DataFrame, shards: int) -> DataFrame:
 _SLICE = "shard long, size long, bits binary, level_n array<long>, level_c array<long>"
 
 
-def _slice(shard: int, hashes: np.ndarray, counts: np.ndarray) -> pa.Table:
+def _slice(shard: int, hashes: np.ndarray, counts: np.ndarray, bits: float = BITS) -> pa.Table:
     levels = np.minimum(np.floor(np.log2(counts)).astype(np.int64) + 1, LEVELS)
-    size, bits = Filter.fill(hashes, levels)
+    size, filled = Filter.fill(hashes, levels, bits)
     n = np.bincount(levels, minlength=LEVELS + 1)
     c = np.bincount(levels, counts, LEVELS + 1).astype(np.int64)
     return pa.table(
         {
             "shard": pa.array([shard], pa.int64()),
             "size": pa.array([size], pa.int64()),
-            "bits": pa.array([bits.tobytes()], pa.binary()),
+            "bits": pa.array([filled.tobytes()], pa.binary()),
             "level_n": pa.array([n], pa.list_(pa.int64())),
             "level_c": pa.array([c], pa.list_(pa.int64())),
         }
@@ -180,10 +184,10 @@ def _pair_slices(training: DataFrame, shards: int) -> DataFrame:
     return _packed_pairs(training, shards).groupBy("shard").applyInArrow(build, _SLICE)
 
 
-def _word_slices(words: DataFrame, shards: int) -> DataFrame:
+def _word_slices(words: DataFrame, shards: int, bits: float) -> DataFrame:
     def build(rows: pa.Table) -> pa.Table:
         hashes = rows.column("h").to_numpy().view(np.uint64)
-        return _slice(rows.column("shard")[0].as_py(), hashes, rows.column("c").to_numpy())
+        return _slice(rows.column("shard")[0].as_py(), hashes, rows.column("c").to_numpy(), bits)
 
     # An unsigned remainder, as tasks take it.
     rest = F.expr(f"pmod(pmod(shiftrightunsigned(h, 1), {shards}) * 2 + (h & 1), {shards})").alias("shard")
@@ -200,12 +204,19 @@ def _collected(slices: DataFrame, shards: int, low: int, high: int) -> Filter:
 
 
 def _level_means(slices: DataFrame) -> np.ndarray:
-    """The mean count of each level's n-grams; half as much again as its least count if it has none."""
+    """The mean count of each level's n-grams.
+
+    A level that none has, read by error, stands for half as much again as its least count, but
+    for no more than the highest level that some have.
+    """
     sums = slices.select(F.posexplode(F.arrays_zip("level_n", "level_c")).alias("level", "s")).groupBy("level")
     means = np.concatenate([[0.0], 1.5 * 2.0 ** np.arange(LEVELS)])
+    top = 0
     for level, n, c in sums.agg(F.sum("s.level_n"), F.sum("s.level_c")).collect():
         if n:
             means[level] = c / n
+            top = max(top, level)
+    means[top + 1 :] = means[top]
     return means
 
 
@@ -325,7 +336,9 @@ def score_documents(docs: DataFrame, held_out: Column, key: str = "doc_id", text
     head = (top.column("h").to_numpy().view(np.uint64)[order], top.column("c").to_numpy()[order])
     rare = words.filter(~is_head)
     word_shards = max(1, -(-(v - len(head[0])) // (1 << 20)))
-    word_slices = written(_word_slices(rare, word_shards), "word-filter")
+    entries = sum(r[1] * (1 + r[0] // _STEP) for r in by_size if r[0] < least)
+    bits = min(BITS, WORD_FILTER_BYTES * 8 / max(entries, 1))
+    word_slices = written(_word_slices(rare, word_shards, bits), "word-filter")
     word_means = _level_means(word_slices)
     word_filter = _collected(word_slices, word_shards, 0, word_shards)
 

@@ -208,6 +208,15 @@ def test_parts_of_the_filter_give_the_same_scores(spark, plain_rows, monkeypatch
         assert r.score < 0 and more[key].score == pytest.approx(r.score, rel=0.05)
 
 
+def test_small_word_filter_changes_estimates_only(spark, plain_rows, monkeypatch):
+    monkeypatch.setattr(ngram_filter, "HEAD_WORDS", 100)
+    monkeypatch.setattr(ngram_filter, "WORD_FILTER_BYTES", 500)
+    got = score(spark, plain_rows)
+    for key, want in base_scores(plain_rows).items():
+        assert (got[key].n_known, got[key].n_tokens) == (want[2], want[1])
+        assert got[key].base_score == pytest.approx(want[4], rel=1e-9) and got[key].score < 0
+
+
 def test_model_is_better_than_base_on_held_out_texts(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
     out = [r for r in score(spark, rows).values() if r.held_out]
