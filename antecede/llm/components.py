@@ -26,26 +26,24 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return own.unionByName(rest).distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    mark = F.xxhash64("u", "v").cast("decimal(38,0)")
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(mark)).first())
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node is smaller than all around it or has but one edge, to a smaller one."""
+    near = _both_ways(edges).groupBy("u").agg(F.min("v").alias("low"), F.count(F.lit(1)).alias("n"))
+    return near.filter("low < u and n > 1").isEmpty()
 
 
 def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """(node, component): for every node with an edge, the smallest node it is connected to.
 
-    Alternates the two star steps until nothing changes; the number of rounds is logarithmic in
+    Alternates the two star steps until all edges lead to the root; the number of rounds is logarithmic in
     practice and each is written to the shared folder, so a lost executor costs one round at
     most. No round has more edges than the one before, and a hot node's edges are grouped by
     partial minima and joined back (Spark splits the join where it is skewed). Loops and
     repeated edges are allowed; edges with a null end are left out. The type of nodes is free.
     """
     now = edges.select(F.col(u).alias("u"), F.col(v).alias("v")).filter(F.col("u") != F.col("v"))
-    now, before = written(now.distinct(), "edges"), None
-    state = _state(now)
-    while state != before:
-        before = state
+    now = written(now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    while not _settled(now):
         now = written(_small_star(_large_star(now)), "edges")
-        state = _state(now)
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return roots.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
