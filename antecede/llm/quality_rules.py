@@ -191,22 +191,23 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
         return None
     buckets = rows.column("buckets").combine_chunks()
     bounds = buckets.offsets.to_numpy().astype(np.int64)
-    index = buckets.flatten().to_numpy().astype(np.int64)
-    value = rows.column("vals").combine_chunks().flatten().to_numpy().astype(np.float64)
-    row = np.repeat(np.arange(len(good)), np.diff(bounds))
+    index = buckets.flatten().to_numpy()
+    value = rows.column("vals").combine_chunks().flatten().to_numpy()
+    row = np.repeat(np.arange(len(good), dtype=np.int32), np.diff(bounds))
+    del rows, buckets
     held = np.zeros(len(good), bool)
     for own in (np.flatnonzero(good), np.flatnonzero(~good)):  # every fifth, if there are that many
         held[own[4::5]] = True
     train = ~held
     weight = np.where(good, 0.5 / max((good & train).sum(), 1), 0.5 / max((~good & train).sum(), 1)) * train
-    used, index = np.unique(index, return_inverse=True)
     # Adam on the penalised mean log loss; both classes count alike.
-    w, first, second = np.zeros(len(used)), np.zeros(len(used)), np.zeros(len(used))
+    used = max(np.count_nonzero(np.bincount(index, minlength=BUCKETS)), 1)
+    w, first, second = np.zeros(BUCKETS), np.zeros(BUCKETS), np.zeros(BUCKETS)
     bias, bias_first, bias_second = 0.0, 0.0, 0.0
     for step in range(1, _ROUNDS + 1):
         score = np.bincount(row, value * w[index], len(good)) + bias
         error = weight * (1 / (1 + np.exp(-np.clip(score, -50, 50))) - good)
-        slope = np.bincount(index, value * error[row], len(used)) + _PENALTY / len(used) * w
+        slope = np.bincount(index, value * error[row], BUCKETS) + _PENALTY / used * w
         first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope**2
         rate = _RATE * np.sqrt(1 - 0.99**step) / (1 - 0.9**step)
         w -= rate * first / (np.sqrt(second) + 1e-9)
@@ -217,9 +218,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
     check = held if (good & held).any() and (~good & held).any() else np.ones(len(good), bool)
     share = np.where(good, totals.get(1, 1) / (good & check).sum(), totals.get(0, 1) / (~good & check).sum())
     slope, offset = _platt(score[check], good[check], (share / share[check].sum())[check] * check.sum())
-    weights = np.zeros(BUCKETS, np.float32)
-    weights[used] = w
-    return Model(weights, slope, offset)
+    return Model(w.astype(np.float32), slope, offset)
 
 
 def quality(
