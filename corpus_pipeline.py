@@ -12,6 +12,8 @@ from antecede.llm import bpe, decontaminate, line_dedup, near_dup, quality_rules
 from antecede.session import written
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+#: Near copies of the corpus are linked from this similarity on, in per cent (``op7_near_duplicates``: 85).
+NEAR = 80
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +35,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest key."""
-    return near_dup.one_of_each(docs)
+    return near_dup.one_of_each(docs, similarity=NEAR)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

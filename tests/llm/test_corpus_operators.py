@@ -353,6 +353,16 @@ def test_pipeline_equals_plain_python(spark):
     assert all(r.same for r in got) and 50 < len(got) < len(docs)
 
 
+def test_near_stage_takes_copies_from_four_fifths_on(spark):
+    text = [f"w{i}" for i in range(104)]
+    other = [*text[:91], *[f"v{i}" for i in range(9)]]  # 87 of 109 shingles
+    close = [*text[:94], *[f"u{i}" for i in range(10)]]  # 90 of 110
+    rows = [(1, " ".join(text)), (2, " ".join(close)), (3, " ".join(other))]
+    df = spark.createDataFrame(rows, DOCS)
+    assert {k: v[1] for k, v in near(rows, 80).items()} == {1: 1, 2: 1, 3: 3}
+    assert {r.doc_id for r in corpus_pipeline.near_stage(spark, df, SMALL).collect()} == {1, 3}
+
+
 def test_stages_keep_the_columns(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
