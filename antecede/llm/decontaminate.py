@@ -18,6 +18,11 @@ _SEED = 10
 _LOW = np.uint64(0xFFFF)
 
 
+def ordered(hashes: np.ndarray, constant: np.uint64) -> np.ndarray:
+    """Values of one ordering: products with an odd number, as exclusive or would give related orderings."""
+    return hashes * constant
+
+
 class Index:
     """One block of items: their shingle sets, and MinHash values by size class.
 
@@ -31,7 +36,7 @@ class Index:
     def __init__(self, item_ids: list[int], texts: list[str | None]):
         parsed = W.Words(pa.array(texts, pa.string()))
         flat, bounds = W.shingles(parsed, parsed.hashes())
-        self.constants = W.constants(BANDS, _SEED)
+        self.constants = W.constants(BANDS, _SEED) | np.uint64(1)
         self.ids, self.sets = [], []
         by_class: dict[int, list[int]] = {}
         for i, item_id in enumerate(item_ids):
@@ -46,7 +51,7 @@ class Index:
         for c, members in sorted(by_class.items()):
             bands = []
             for k in self.constants:
-                low = np.array([(self.sets[m] ^ k).min() for m in members], np.uint64)
+                low = np.array([ordered(self.sets[m], k).min() for m in members], np.uint64)
                 order = np.argsort(low, kind="stable")
                 bits = np.zeros(1 << 16, bool)
                 bits[(low & _LOW).astype(np.int64)] = True
@@ -64,7 +69,7 @@ class Index:
             grids[c] = _grid(sizes, 1 << (c - done))
             sizes, done = np.bincount(grids[c][0], minlength=full.size), c
         for band, constant in enumerate(self.constants):
-            low = flat ^ constant
+            low = ordered(flat, constant)
             for c, bands in self.classes.items():
                 values, members, bits = bands[band]
                 text, begin, following, after = grids[c]

@@ -1,8 +1,10 @@
 """Near duplicates: MinHash signatures joined by a multi-index over their chunks.
 
 A signature has 80 values of 16 bits, each the lowest bits of the hash of the shingle that is
-first under one ordering of all shingles. Two sets of Jaccard similarity s differ in each value
-with probability 1 - s. The distance of signatures is the number of values that differ.
+first under one ordering of all shingles: by the product of its hash and an odd number. (Exclusive
+or with a number would give orderings that follow one trie of the hashes.) Two sets of Jaccard
+similarity s differ in each value with probability 1 - s. The distance of signatures is the
+number of values that differ.
 
 Pigeonhole: 80 values in 10 chunks of 8. Signatures at a distance of at most 19 have a chunk
 with at most one differing value, so with every chunk and every choice of one value to leave
@@ -27,6 +29,16 @@ HOT, BLOCK = 32, 256
 #: Documents are linked from this similarity on, in per cent.
 SIMILARITY = 85
 _SEED = 7
+_ORDERS = W.constants(VALUES, _SEED) | np.uint64(1)
+
+
+def signatures(flat: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """The signature of every set of shingle hashes; a set begins at each of ``begin``."""
+    low = np.zeros((len(begin), VALUES), np.uint16)
+    if len(begin):
+        for k, order in enumerate(_ORDERS):
+            low[:, k] = W.mix(np.minimum.reduceat(flat * order, begin)).astype(np.uint16)
+    return low
 
 
 def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -41,19 +53,14 @@ def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     def work(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         parsed = W.Words(part.column(1))
         flat, bounds = W.shingles(parsed, parsed.hashes())
-        orders = W.constants(VALUES, _SEED)
         full = np.flatnonzero(np.diff(bounds))
         sizes = np.zeros(part.num_rows, np.int64)
         marks = np.zeros((part.num_rows, 2), np.uint64)
         for i in full:
             own = np.unique(flat[bounds[i] : bounds[i + 1]])
             sizes[i] = own.size
-            marks[i] = W.mix(own ^ orders[0]).sum(), W.mix(own ^ orders[1]).sum()
-        low = np.zeros((full.size, VALUES), np.uint16)
-        if full.size:
-            for k, order in enumerate(orders):
-                first = np.minimum.reduceat(flat ^ order, bounds[:-1][full]) ^ order
-                low[:, k] = W.mix(first).astype(np.uint16)
+            marks[i] = W.mix(own ^ _ORDERS[0]).sum(), W.mix(own ^ _ORDERS[1]).sum()
+        low = signatures(flat, bounds[:-1][full])
         ends = np.zeros(part.num_rows + 1, np.int32)
         ends[1:][full] = VALUES
         signature = pa.ListArray.from_arrays(

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 import public_tokenizers
 import tiktoken
@@ -180,6 +181,19 @@ def test_hot_buckets_equal_all_pairs(spark, monkeypatch):
     assert got == want
 
 
+def test_short_near_copies_share_a_key():
+    """Signatures of sets of 6 of 7 up to 26 of 30 shingles; with independent orderings some 0 to 4 pairs have no key."""
+    rng = np.random.default_rng(5)
+    missed = 0
+    for same, n in ((6, 7), (7, 8), (12, 14), (17, 20), (26, 30)):
+        first = rng.integers(0, 2**64, (4000, n), dtype=np.uint64)
+        at = np.arange(4000)
+        a, b = near_dup.signatures(first.ravel(), at * n), near_dup.signatures(first[:, :same].ravel(), at * same)
+        differ = (a != b).reshape(4000, -1, near_dup.CHUNK).sum(axis=2)
+        missed += int((differ >= 2).all(axis=1).sum())
+    assert missed <= 6
+
+
 def test_near_duplicates_without_keys_or_rows(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (7, "a b c d e f"), (7, "a b c d e f")], DOCS)
     got = sorted(near_dup.near_duplicates(df).collect(), key=str)
