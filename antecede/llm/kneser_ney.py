@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from antecede.llm import words as W
 from antecede.session import written
@@ -21,7 +21,7 @@ ORDER = 5
 HELD_OUT = 5
 #: Documents are kept up to this quantile of the held-out perplexities of their language.
 QUANTILE = 0.995
-#: A language, or a length band of it, has thresholds of its own from so many held-out documents on.
+#: A language's own quantile, or a length band's, has half the weight at so many held-out documents.
 LEAST_HELD = 100
 #: Entries of the model that are sent to the tasks at a time.
 SHARD_ENTRIES = 1 << 22
@@ -169,10 +169,13 @@ def classify(docs: DataFrame, labels: DataFrame, held_out: int = HELD_OUT, quant
     """Per document (doc_id, lang, n_bytes, perplexity, threshold, kept).
 
     ``docs`` has doc_id, text and lang, ``labels`` doc_id and quality; documents with quality 1
-    are trusted. Four fifths of them fit the model, the others (by a hash of the key) set the
-    thresholds: a quantile of the perplexity per byte, by language and length band (the power of two
-    below the number of bytes), where enough held-out documents show it, else by language,
-    else over all. A document is kept up to its threshold. There is none from below: texts that
+    are trusted. Four fifths of them fit the model, the others (by a hash of the key, and the
+    first by that hash of every language) set the thresholds: a quantile of the log perplexity per byte,
+    by language and length band (the power of two below the number of bytes). With n held-out documents
+    a language's own quantile has the weight n / (n + ``LEAST_HELD``) and its median, with the
+    quantile of all documents' distances from the medians of their languages (times sqrt(1 + 1 / n)), the rest; a band's own quantile is
+    blended with its language's threshold likewise. A language without trusted text has the
+    quantile over all. A document is kept up to its threshold. There is none from below: texts that
     the model was fitted on lie lower than others, and junk was not found to.
     Without trusted text all is kept and perplexity is that of even odds. Null
     texts count as empty, a null language is a language. Rows with the same key are scored as
@@ -182,9 +185,15 @@ def classify(docs: DataFrame, labels: DataFrame, held_out: int = HELD_OUT, quant
         F.col("doc_id").alias("row_key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "lang"
     )
     trusted_ids = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("row_key")).distinct()
-    out_of_fit = F.pmod(F.xxhash64(F.col("row_key").cast("string"), F.lit("held out")), F.lit(held_out)) == 0
+    place = F.xxhash64(F.col("row_key").cast("string"), F.lit("held out"))
+    # Every language with trusted text has a held-out document.
+    of_languages = named.select("row_key", "lang").join(trusted_ids, "row_key", "left_semi").groupBy("lang")
+    firsts = of_languages.agg(F.min_by("row_key", place).alias("row_key")).select("row_key")
+    dealt = trusted_ids.filter(F.pmod(place, F.lit(held_out)) == 0)
+    out_ids = written(dealt.unionByName(firsts).distinct(), "held-out")
     # One plan at every size: texts are dealt by key once, however few the labels are.
-    trusted = named.join(trusted_ids.filter(~out_of_fit).hint("merge"), "row_key", "left_semi")
+    fit_ids = trusted_ids.join(out_ids, "row_key", "left_anti")
+    trusted = named.join(fit_ids.hint("merge"), "row_key", "left_semi")
     model = fit(trusted)
 
     rows = scores(named, model).select(
@@ -196,21 +205,26 @@ def classify(docs: DataFrame, labels: DataFrame, held_out: int = HELD_OUT, quant
     )
     rows = written(rows, "scores")
 
-    held = rows.join(trusted_ids.filter(out_of_fit), "row_key", "left_semi")
+    held = rows.join(out_ids, "row_key", "left_semi").withColumn("x", F.log("perplexity"))
 
-    at = F.percentile_approx("perplexity", quantile, 100_000)
+    def at(value: str, share: float = quantile) -> Column:
+        return F.percentile_approx(value, share, 100_000)
 
-    def limits(name: str, *by: str) -> DataFrame:
-        found = held.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), at.alias(name))
-        return found.filter(F.col("_n") >= LEAST_HELD).drop("_n")
+    def blended(own: str, n: str, other: Column) -> Column:
+        return F.col(own) + (other - F.col(own)) * LEAST_HELD / (F.col(n) + LEAST_HELD)
 
-    both = limits("by_band", "lang", "band").withColumnsRenamed({"lang": "_l", "band": "_b"})
-    language = limits("by_lang", "lang").withColumnRenamed("lang", "_l2")
-    overall = held.agg(at).first()[0]
+    language = held.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"), at("x").alias("_q"), at("x", 0.5).alias("_m"))
+    language = language.withColumnRenamed("lang", "_l2")
+    same = F.col("lang").eqNullSafe(F.col("_l2"))
+    apart = held.join(language.select("_l2", "_m"), same).agg(at("x"), F.percentile_approx(F.col("x") - F.col("_m"), quantile, 100_000))
+    overall, spread = apart.first()
+    language = language.select("_l2", blended("_q", "_n", F.col("_m") + F.lit(spread).cast("double") * F.sqrt(1 + 1 / F.col("_n"))).alias("by_lang"))
+    both = held.groupBy(F.col("lang").alias("_l"), F.col("band").alias("_b")).agg(F.count(F.lit(1)).alias("_k"), at("x").alias("_qb"))
+    by_band = F.coalesce(blended("_qb", "_k", F.col("by_lang")), "by_lang", F.lit(overall).cast("double"))
     out = (
         rows.join(both, F.col("lang").eqNullSafe(F.col("_l")) & (F.col("band") == F.col("_b")), "left")
-        .join(language, F.col("lang").eqNullSafe(F.col("_l2")), "left")
-        .withColumn("threshold", F.coalesce("by_band", "by_lang", F.lit(overall).cast("double")))
+        .join(language, same, "left")
+        .withColumn("threshold", F.exp(by_band))
     )
     kept = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
     return out.select(

@@ -335,6 +335,20 @@ def test_classifier_keeps_text_and_drops_noise(spark):
     assert not any(r.kept for r in rows if r.doc_id >= 10**6)
 
 
+def test_classifier_keeps_text_of_a_rare_language(spark):
+    """A rare language far from the model has a threshold at its own level, one without trusted text that of all."""
+    rng = np.random.default_rng(3)
+    common = lambda: " ".join(rng.choice(["the", "of", "and", "text", "word"], rng.integers(8, 60)))
+    rare = lambda: "".join(rng.choice(list("дежзиклмнопр"), 200))
+    rows = [(i, common(), "en") for i in range(600)] + [(1000 + i, rare(), "xx") for i in range(60)] + [(2000, rare(), "yy")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in [*range(500), 1000, 1001]], "doc_id long, quality int")
+    got = {r.doc_id: r for r in kneser_ney.classify(df, labels).collect()}
+    new = [got[1000 + i] for i in range(2, 60)]
+    assert sum(r.kept for r in new) > 0.8 * len(new) and sum(got[i].kept for i in range(500, 600)) > 95
+    assert got[1000].threshold > got[2000].threshold > 0 and not got[2000].kept
+
+
 def test_classifier_in_odd_cases(spark):
     docs = spark.createDataFrame([(1, "some text", "en"), (2, None, None), (None, "x", "en"), (1, "more", "en")], "doc_id long, text string, lang string")
     none = spark.createDataFrame([], "doc_id long, quality int")
