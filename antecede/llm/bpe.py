@@ -10,6 +10,8 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame, functions as F
 
+from antecede.llm.columns import unused
+
 #: A text is handed to the encoder in pieces of about so many characters.
 PIECE_CHARS = 1 << 16
 # Between a character that is not white space and one that is, every match of a pattern whose
@@ -78,8 +80,9 @@ def encode(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", out: s
                 columns = [*part.columns[:-1], pa.array(ids, pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, out])
 
-    source = df.select(*kept, F.col(f"`{text}`").cast("string").alias("_bpe_text"))
-    schema = source.drop("_bpe_text").withColumn(out, F.lit(None).cast("array<int>")).schema
+    (held,) = unused(df, "_bpe_text")
+    source = df.select(*kept, F.col(f"`{text}`").cast("string").alias(held))
+    schema = source.drop(held).withColumn(out, F.lit(None).cast("array<int>")).schema
     return source.mapInArrow(work, schema)
 
 
@@ -101,8 +104,9 @@ def decode(df: DataFrame, ranks: bytes, pattern: str, ids: str = "ids", out: str
                 columns = [*part.columns[:-1], pa.array(data, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, out])
 
-    source = df.select(*kept, F.col(f"`{ids}`").cast("array<int>").alias("_bpe_ids"))
-    schema = source.drop("_bpe_ids").withColumn(out, F.lit(None).cast("binary")).schema
+    (held,) = unused(df, "_bpe_ids")
+    source = df.select(*kept, F.col(f"`{ids}`").cast("array<int>").alias(held))
+    schema = source.drop(held).withColumn(out, F.lit(None).cast("binary")).schema
     return source.mapInArrow(work, schema)
 
 
@@ -111,8 +115,12 @@ def round_trip(df: DataFrame, ranks: bytes, pattern: str, key: str = "doc_id", t
 
     Encodes and decodes in one task, so that ids of a whole corpus need not be held or moved:
     ``n_tokens`` long, ``ids_sha256`` of the decimal ids joined by a space, ``decoded_sha256``,
-    ``same`` whether the decoded bytes are those of the text. A null text counts as empty.
+    ``same`` whether the decoded bytes are those of the text. A null text counts as empty; a
+    text of any length is encoded piece by piece. Rows with null or repeated keys have a row
+    each; an empty table gives an empty table. A key called like one of the four makes an error.
     """
+    if key.lower() in ("n_tokens", "ids_sha256", "decoded_sha256", "same"):
+        raise ValueError(f"the key can't be called like a column that is made: {key}")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks, pattern)

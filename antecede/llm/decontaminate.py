@@ -1,12 +1,15 @@
 """Benchmark items found inside documents: MinHash containment search in size partitions."""
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from antecede.llm import words as W
+from antecede.llm.columns import unused
 
 #: Share of an item's distinct shingles that a document must hold.
 CONTAINMENT = 0.8
@@ -111,6 +114,26 @@ def _grid(sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return text, begin, np.minimum(number + 1, last), np.minimum(number + 2, last)
 
 
+def _indexes(items: DataFrame, item_key: str, item_text: str, block_items: int) -> Iterator[Index]:
+    """The items in blocks; one partition of the benchmark is read at a time. At least one block."""
+    asked = items.select(
+        F.col(f"`{item_key}`").cast("long").alias("item_id"), F.col(f"`{item_text}`").cast("string").alias("text")
+    )
+    block, made = [], False
+    for row in asked.toLocalIterator():
+        block.append(row)
+        if len(block) == block_items:
+            yield Index([r[0] for r in block], [r[1] for r in block])
+            block, made = [], True
+    if block or not made:
+        yield Index([r[0] for r in block], [r[1] for r in block])
+
+
+def _hits(index: Index, texts: pa.Array) -> list[tuple[int, int, int, int]]:
+    parsed = W.Words(texts)
+    return index.search(*W.shingles(parsed, parsed.hashes()))
+
+
 def contained_items(
     docs: DataFrame,
     items: DataFrame,
@@ -128,23 +151,17 @@ def contained_items(
     are: items are sent to them in blocks of ``block_items``, one pass over the documents per
     block, so the memory of a task does not grow with the benchmark. Null or blank texts and
     null item ids match nothing; a document may match many items, and repeated rows are reported each;
-    empty tables give an empty result. Item ids must be integers; document keys may be any type.
+    a text of any length is searched as one slice; empty tables give an empty result. Item ids
+    must be integers; document keys may be any type.
     """
     source = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    asked = items.select(
-        F.col(f"`{item_key}`").cast("long").alias("item_id"), F.col(f"`{item_text}`").cast("string").alias("text")
-    )
     kind = source.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, item_id long, n_shared long, n_item long"
     context = docs.sparkSession.sparkContext
 
-    def scan(block: list) -> DataFrame:
-        index = context.broadcast(Index([r[0] for r in block], [r[1] for r in block]))
-
+    def scan(index: Broadcast) -> DataFrame:
         def work(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            parsed = W.Words(part.column(1))
-            flat, bounds = W.shingles(parsed, parsed.hashes())
-            if hits := index.value.search(flat, bounds):
+            if hits := _hits(index.value, part.column(1)):
                 rows, *found = zip(*hits)
                 columns = [part.column(0).take(pa.array(rows))]
                 columns += [pa.array(c, pa.int64()) for c in found]
@@ -152,21 +169,38 @@ def contained_items(
 
         return source.mapInArrow(W.map_runs(work), schema)
 
-    out, block = None, []
-    for row in asked.toLocalIterator():  # one partition of the benchmark at a time
-        block.append(row)
-        if len(block) == block_items:
-            out, block = scan(block) if out is None else out.unionByName(scan(block)), []
-    if block or out is None:
-        out = scan(block) if out is None else out.unionByName(scan(block))
-    return out
+    passes = [scan(context.broadcast(i)) for i in _indexes(items, item_key, item_text, block_items)]
+    return reduce(DataFrame.unionByName, passes)
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that hold no benchmark item, with all their columns.
+def decontaminate(
+    docs: DataFrame,
+    items: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    item_key: str = "item_id",
+    item_text: str = "text",
+    block_items: int = BLOCK_ITEMS,
+) -> DataFrame:
+    """The documents that hold no benchmark item, with all their columns and in place.
 
-    Rows with a null key are searched too, and go by their own text as no key tells them apart:
-    they are kept only if no null-key row holds an item.
+    The verdict is taken row by row in the task, as ``contained_items`` would find it, so rows with
+    null or repeated keys go by their own text and nothing is shuffled; each block of items is one
+    more pass over the rows that are left. A null or blank text holds nothing and stays; columns may
+    have any names; without items all rows stay, and an empty table gives an empty table.
     """
-    leaks = contained_items(docs, items, key, text).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(leaks, F.col(f"`{key}`").eqNullSafe(F.col("_leak")), "left_anti")
+    (held,) = unused(docs, "_searched_text")
+    left = docs.select("*", F.col(f"`{text}`").cast("string").alias(held))
+    context, tagged = docs.sparkSession.sparkContext, left.schema
+
+    def scan(rows: DataFrame, index: Broadcast) -> DataFrame:
+        def work(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            clean = np.ones(part.num_rows, bool)
+            clean[[hit[0] for hit in _hits(index.value, part.column(part.num_columns - 1))]] = False
+            yield part.take(pa.array(np.flatnonzero(clean)))
+
+        return rows.mapInArrow(W.map_runs(work, held), tagged)
+
+    for index in _indexes(items, item_key, item_text, block_items):
+        left = scan(left, context.broadcast(index))
+    return left.drop(held)

@@ -2,6 +2,9 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from antecede.llm.columns import unused
+from antecede.session import written
+
 #: Lines of a window.
 SPAN = 3
 # A line counts if it has a character other than white space.
@@ -60,7 +63,7 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", spa
     Windows are grouped by hash with a partial minimum, so a window that stands in a third of
     all documents is one row per task, and the join back is split by Spark where it is skewed.
     """
-    all_windows = windows(docs.filter(F.col(f"`{key}`").isNotNull()), key, text, span)
+    all_windows = written(windows(docs.filter(F.col(f"`{key}`").isNotNull()), key, text, span), "windows")
     seen = all_windows.groupBy("a", "b").agg(
         F.min("key").alias("owner"), F.max("key").alias("newest"), F.max("again").alias("twice")
     )
@@ -79,19 +82,20 @@ def drop_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", span
     split at ``\\n`` alone and compare as written. A text with fewer lines has no window and stays;
     a null text stays null; a text may become empty. Rows of one key count as one document;
     rows without a key stay as they are and take no part. A column ``n_removed`` (in any case)
-    is replaced. An empty table gives an empty table.
+    is replaced; others keep their names and values whatever they are called. A text of any
+    length is one row. An empty table gives an empty table.
     """
-    gone = repeated_lines(docs, key, text, span).select(F.col("key").alias("_key"), "gone")
+    key_, gone_ = unused(docs, "_key", "_gone")
+    gone = repeated_lines(docs, key, text, span).select(F.col("key").alias(key_), F.col("gone").alias(gone_))
     kept = docs.select([F.col(f"`{c}`") for c in docs.columns if c.lower() != "n_removed"])
-    joined = kept.join(gone.withColumnRenamed("gone", "_gone"), F.col(f"`{key}`") == F.col("_key"), "left")
+    joined = kept.join(gone, F.col(f"`{key}`") == F.col(key_), "left")
     lines = F.split(F.col(f"`{text}`"), "\n")
 
     def without(lines: Column) -> Column:
-        numbers = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
+        numbers = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone_))
         return F.array_join(F.transform(numbers, lambda i: F.get(lines, i)), "\n")
 
     left = _bound(lines, without)
-    joined = joined.withColumn(text, F.when(F.col("_gone").isNotNull(), left).otherwise(F.col(f"`{text}`")))
-    removed = F.coalesce(F.size("_gone"), F.lit(0)).cast("long")
-    removed = F.when(F.col("_gone").isNull(), F.lit(0).cast("long")).otherwise(removed)
-    return joined.withColumn("n_removed", removed).drop("_key", "_gone")
+    joined = joined.withColumn(text, F.when(F.col(gone_).isNotNull(), left).otherwise(F.col(f"`{text}`")))
+    removed = F.when(F.col(gone_).isNull(), F.lit(0).cast("long")).otherwise(F.size(gone_).cast("long"))
+    return joined.withColumn("n_removed", removed).drop(key_, gone_)

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from antecede.llm import words as W
+from antecede.llm.columns import unused
 from antecede.llm.components import components
 from antecede.session import written
 
@@ -90,13 +91,30 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 
 
 def chunk_keys(representatives: DataFrame) -> DataFrame:
-    """(key, node): the keys of every signature, one for each chunk and value left out."""
-    keys = []
-    for begin in range(0, VALUES, CHUNK):
-        for skip in range(begin, begin + CHUNK):
-            left = [F.col("signature")[k] for k in range(begin, begin + CHUNK) if k != skip]
-            keys.append(F.xxhash64(F.lit(skip), *left))
-    return representatives.select(F.explode(F.array(*keys)).alias("key"), "node")
+    """(key, node): the keys of every signature, one for each chunk and value left out.
+
+    Keys are made in the Arrow step, as 80 hash expressions of a row are more than one method of
+    generated code can hold.
+    """
+    kind = representatives.schema["node"].dataType.simpleString()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column(1).flatten().to_numpy().astype(np.uint64).reshape(-1, VALUES)
+            keys = np.zeros((len(values), VALUES), np.uint64)
+            for skip in range(VALUES):
+                begin = skip - skip % CHUNK
+                own = np.full(len(values), skip + 1, np.uint64)
+                for k in range(begin, begin + CHUNK):
+                    if k != skip:
+                        own = W.chain(own, values[:, k])
+                keys[:, skip] = own
+            bounds = pa.array(np.arange(len(values) + 1, dtype=np.int32) * VALUES)
+            listed = pa.ListArray.from_arrays(bounds, pa.array(keys.ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), listed], names=["node", "keys"])
+
+    keyed = representatives.select("node", "signature").mapInArrow(work, f"node {kind}, keys array<long>")
+    return keyed.select(F.explode("keys").alias("key"), "node")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
@@ -238,9 +256,9 @@ def near_links(docs: DataFrame, sketched: DataFrame, similarity: int = SIMILARIT
     other = few.select("key", F.col("node").alias("v"), F.col("label").alias("other"))
     rest = few.withColumnRenamed("node", "u").join(other, "key").filter("u < v and label <> other")
     rest = rest.select("u", "v").distinct().join(pairs, ["u", "v"], "left_anti")
-    found = confirmed(rest, sets, similarity)
+    links = links.unionByName(confirmed(rest, sets, similarity))
     hot = mixed.filter(F.col("size") > HOT)
-    return links.unionByName(found).unionByName(_links_of_hot(hot, sets, similarity))
+    return links if hot.isEmpty() else links.unionByName(_links_of_hot(hot, sets, similarity))
 
 
 def near_duplicates(
@@ -254,7 +272,8 @@ def near_duplicates(
     reachable over links, ``kept`` whether that is the row's own. Copies are joined by the hash
     of their set first, so that a group of any size counts as one node. Documents without words
     (or a null text) have no shingles and stand alone. Rows of one key are one document; a null
-    key has a null component and is kept. An empty table gives an empty table.
+    key has a null component and is kept. A text of any length is worked on as one slice, in some
+    50 bytes a byte of it. Other columns play no part. An empty table gives an empty table.
     """
     named = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     rows = written(sketches(named), "sketches")
@@ -282,7 +301,9 @@ def near_duplicates(
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: int = SIMILARITY) -> DataFrame:
     """The documents whose key is the smallest of their component, with all their columns.
 
-    Rows with a null key are kept.
+    Rows with a null key are kept, and so are all rows of a kept key. Null and blank texts are
+    copies of nothing, a text of any length is one set, and an empty table gives an empty table.
     """
-    gone = near_duplicates(docs, key, text, similarity).filter("not kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone.distinct(), F.col(f"`{key}`") == F.col("_gone"), "left_anti")
+    (gone,) = unused(docs, "_gone")
+    found = near_duplicates(docs, key, text, similarity).filter("not kept").select(F.col("doc_id").alias(gone))
+    return docs.join(found.distinct(), F.col(f"`{key}`") == F.col(gone), "left_anti")

@@ -5,9 +5,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from antecede.llm import words as W
+from antecede.llm.columns import unused
 
 #: Documents fail the base rules below so many words, or from such a share (per cent) of words
 #: in repeated eight-word windows on.
@@ -19,6 +21,8 @@ SAMPLE_PER_CLASS = 2000
 #: Documents are kept from this calibrated probability of good quality on.
 KEEP_FROM = 0.3
 _ROUNDS, _RATE, _PENALTY = 120, 0.3, 1e-4
+#: Rows of the sample that are worked on at a time while fitting.
+_SLICE_ROWS = 512
 # The symbols counted.
 SYMBOLS = "#*$%&|<>"
 _IS_SYMBOL = np.isin(np.arange(256), [ord(c) for c in SYMBOLS])
@@ -185,36 +189,51 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     totals = dict(labels.filter("quality in (0, 1)").groupBy("quality").count().collect())
     rows = _sample(docs, labels, per_class).toArrow()
-    rows = rows.sort_by([("doc_id", "ascending")]) if rows.num_rows else rows
     good = rows.column("label").to_numpy() == 1
     if good.all() or not good.any():
         return None
-    buckets = rows.column("buckets").combine_chunks()
-    bounds = buckets.offsets.to_numpy().astype(np.int64)
-    index = buckets.flatten().to_numpy()
-    value = rows.column("vals").combine_chunks().flatten().to_numpy()
-    row = np.repeat(np.arange(len(good), dtype=np.int32), np.diff(bounds))
-    del rows, buckets
+    # Rows in the order of their keys, a bounded slice of entries at a time: sums come out the same
+    # in every run, and the driver holds the sample once.
+    order = pc.sort_indices(rows, [("doc_id", "ascending")])
+    good, rows = good[order.to_numpy()], rows.select(["buckets", "vals"])
+    slices = []
+    for begin in range(0, len(good), _SLICE_ROWS):
+        part = rows.take(order[begin : begin + _SLICE_ROWS]).combine_chunks()
+        buckets, values = part.column("buckets").combine_chunks(), part.column("vals").combine_chunks()
+        row = np.repeat(np.arange(len(buckets), dtype=np.int32), np.diff(buckets.offsets.to_numpy()))
+        slices.append((slice(begin, begin + len(buckets)), row, buckets.flatten().to_numpy(), values.flatten().to_numpy()))
+    del rows, part, buckets, values
     held = np.zeros(len(good), bool)
     for own in (np.flatnonzero(good), np.flatnonzero(~good)):  # every fifth, if there are that many
         held[own[4::5]] = True
     train = ~held
     weight = np.where(good, 0.5 / max((good & train).sum(), 1), 0.5 / max((~good & train).sum(), 1)) * train
+    seen = np.zeros(BUCKETS, bool)
+    for _, _, index, _ in slices:
+        seen[index] = True
+    used = max(np.count_nonzero(seen), 1)
+
+    def scores(w: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(good))
+        for rows_, row, index, value in slices:
+            out[rows_] = np.bincount(row, value * w[index], rows_.stop - rows_.start)
+        return out
+
     # Adam on the penalised mean log loss; both classes count alike.
-    used = max(np.count_nonzero(np.bincount(index, minlength=BUCKETS)), 1)
     w, first, second = np.zeros(BUCKETS), np.zeros(BUCKETS), np.zeros(BUCKETS)
     bias, bias_first, bias_second = 0.0, 0.0, 0.0
     for step in range(1, _ROUNDS + 1):
-        score = np.bincount(row, value * w[index], len(good)) + bias
-        error = weight * (1 / (1 + np.exp(-np.clip(score, -50, 50))) - good)
-        slope = np.bincount(index, value * error[row], BUCKETS) + _PENALTY / used * w
+        error = weight * (1 / (1 + np.exp(-np.clip(scores(w) + bias, -50, 50))) - good)
+        slope = _PENALTY / used * w
+        for rows_, row, index, value in slices:
+            slope += np.bincount(index, value * error[rows_][row], BUCKETS)
         first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope**2
         rate = _RATE * np.sqrt(1 - 0.99**step) / (1 - 0.9**step)
         w -= rate * first / (np.sqrt(second) + 1e-9)
         bias_slope = error.sum()
         bias_first, bias_second = 0.9 * bias_first + 0.1 * bias_slope, 0.99 * bias_second + 0.01 * bias_slope**2
         bias -= rate * bias_first / (np.sqrt(bias_second) + 1e-9)
-    score = np.bincount(row, value * w[index], len(good))
+    score = scores(w)
     check = held if (good & held).any() and (~good & held).any() else np.ones(len(good), bool)
     share = np.where(good, totals.get(1, 1) / (good & check).sum(), totals.get(0, 1) / (~good & check).sum())
     slope, offset = _platt(score[check], good[check], (share / share[check].sum())[check] * check.sum())
@@ -232,7 +251,7 @@ def quality(
     has twice or more. The base rules fail a text of under 20 words, or with over 30 per cent of repeated
     words. Others are kept if the model gives at least ``keep_from``, or if there is no model
     (null probability). A null text counts as empty; rows with null or repeated keys are judged
-    each by itself; an empty table gives an empty table.
+    each by itself; a text of any length is judged as a whole; an empty table gives an empty table.
     """
     source = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
@@ -263,7 +282,9 @@ def keep_good(docs: DataFrame, model: Model | None, key: str = "doc_id", text: s
     """The documents that the rules keep, with all their columns and in place.
 
     The verdict is taken row by row within the task, so rows with null or repeated keys are
-    judged by their own text and nothing is shuffled.
+    judged by their own text and nothing is shuffled. A null text counts as empty (and so fails), a
+    text of any length is judged as a whole, columns may have any names, and an empty table gives
+    an empty table.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -278,5 +299,6 @@ def keep_good(docs: DataFrame, model: Model | None, key: str = "doc_id", text: s
         yield pa.RecordBatch.from_arrays(rows.columns[:-1], names=names)
 
     names = docs.columns
-    tagged = docs.select("*", F.col(f"`{text}`").cast("string").alias("_quality_text"))
-    return tagged.mapInArrow(W.map_runs(work, "_quality_text"), docs.schema)
+    (held,) = unused(docs, "_quality_text")
+    tagged = docs.select("*", F.col(f"`{text}`").cast("string").alias(held))
+    return tagged.mapInArrow(W.map_runs(work, held), docs.schema)

@@ -4,6 +4,8 @@ import hashlib
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from antecede.llm.columns import unused
+
 #: Shards of the registered query, and slots of its table: a prime of over 100 slots a shard,
 #: so that shares differ by less than one per cent.
 SHARDS, SLOTS = 128, 16381
@@ -70,15 +72,20 @@ def place(df: DataFrame, key: str, shards: list[str], slots: int = SLOTS) -> Dat
 
     The table has ``slots`` rows whatever the data, so it is broadcast: one probe per row, no
     shuffle, and no dependence on hot keys. A null key is placed as the empty text; equal keys
-    go to the same shard. Columns of these three names (in any case) are replaced.
+    go to the same shard, repeated rows each. Columns of these three names (in any case) are
+    replaced, unless the key is one of them: then an error tells so. Texts are not looked at, so
+    their length plays no part. An empty table gives an empty table.
     """
     added = ("slot", "shard", "shard_name")
+    if key.lower() in added:
+        raise ValueError(f"the key can't be called like a column that is added: {key}")
     kept = df.select([F.col(f"`{c}`") for c in df.columns if c.lower() not in added])
     table = lookup(df.sparkSession, shards, slots)
-    placed = kept.withColumn("_slot", slot_of(F.col(f"`{key}`"), slots))
-    table = F.broadcast(table.withColumnRenamed("slot", "_table_slot"))
-    out = placed.join(table, F.col("_slot") == F.col("_table_slot"), "left")
-    return out.drop("_table_slot").withColumnRenamed("_slot", "slot")
+    own, filled = unused(kept, "_slot", "_table_slot")
+    placed = kept.withColumn(own, slot_of(F.col(f"`{key}`"), slots))
+    table = F.broadcast(table.withColumnRenamed("slot", filled))
+    out = placed.join(table, F.col(own) == F.col(filled), "left")
+    return out.select(*[F.col(f"`{c}`") for c in kept.columns], F.col(own).alias("slot"), "shard", "shard_name")
 
 
 def write_shards(df: DataFrame, key: str, shards: list[str], path: str, slots: int = SLOTS, files: int = 8) -> None:

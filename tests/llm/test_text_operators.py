@@ -6,8 +6,9 @@ import pytest
 import public_tokenizers
 import tiktoken
 from plain import base_counts, near, without_repeats
+from pyspark.sql import functions as F
 
-from antecede.llm import bpe, line_dedup, near_dup, quality_rules, token_counts
+from antecede.llm import bpe, line_dedup, near_dup, quality_rules, sharding, token_counts
 
 DOCS = "doc_id long, text string"
 RANKS = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -268,3 +269,48 @@ def test_line_dedup_in_odd_cases(spark):
 def test_tiktoken_is_the_reference():
     ranks = bpe.encoder(RANKS, PATTERN)
     assert isinstance(ranks, tiktoken.Encoding) and ranks.n_vocab == 50256
+
+
+# Columns called like helpers
+
+
+def test_helper_names_do_not_clash(spark):
+    lines = "\n".join(f"line {i} of the text" for i in range(4))
+    rows = [(1, lines, 1, 2, 3, 4, 5, 6), (2, lines, 1, 2, 3, 4, 5, 6), (3, "x", 1, 2, 3, 4, 5, 6)]
+    extra = ["_key", "_GONE", "_slot", "_table_slot", "_quality_text", "_bpe_text"]
+    df = spark.createDataFrame(rows, f"doc_id long, text string, {', '.join(f'{c} int' for c in extra)}")
+    cut = line_dedup.drop_repeated(df)
+    assert cut.columns == [*df.columns, "n_removed"] and {r.n_removed for r in cut.collect()} == {0, 4}
+    one = near_dup.one_of_each(df)
+    assert one.columns == df.columns and {r.doc_id for r in one.collect()} == {1, 3}
+    placed = sharding.place(df, "doc_id", ["a", "b"], 11)
+    assert placed.columns == [*df.columns, "slot", "shard", "shard_name"] and placed.count() == 3
+    assert quality_rules.keep_good(df, None).columns == df.columns
+    with pytest.raises(ValueError):
+        sharding.place(df.withColumnRenamed("doc_id", "slot"), "slot", ["a", "b"], 11)
+
+
+def test_byte_bpe_with_clashing_names(spark):
+    df = spark.createDataFrame([("a b", 1)], "text string, _bpe_text int").withColumn("_bpe_ids", F.lit(2))
+    coded = bpe.encode(df, RANKS, PATTERN)
+    assert coded.columns == [*df.columns, "ids"]
+    back = bpe.decode(coded, RANKS, PATTERN).first()
+    assert bytes(back.decoded) == b"a b" and (back._bpe_text, back._bpe_ids) == (1, 2)
+    with pytest.raises(ValueError):
+        bpe.round_trip(df.withColumn("n_tokens", F.lit(1)), RANKS, PATTERN, "n_tokens")
+
+
+def test_a_very_long_text(spark):
+    """One text of 60,000 words among short ones: lines, rules and counts as in plain Python."""
+    long = "\n".join(f"line number {i % 4000} holds w{i % 7919}" for i in range(12_000))
+    rows = [(1, long), (2, "a b c\n" * 5), (3, None), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in quality_rules.quality(df, None).collect()}
+    for key, text in rows:
+        r = got[key]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == base_counts(text)
+    cut = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.drop_repeated(df).collect()}
+    assert cut.pop(3) == (None, 0)
+    assert cut == without_repeats([r for r in rows if r[1] is not None])
+    again = {r.doc_id: r.component_id for r in near_dup.near_duplicates(df.unionByName(df.withColumn("doc_id", F.col("doc_id") + 10))).collect()}
+    assert again == {1: 1, 11: 1, 2: 2, 12: 2, 3: 3, 13: 13, 4: 4, 14: 14}
