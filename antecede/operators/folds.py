@@ -45,12 +45,13 @@ def batch_assign(
 ) -> DataFrame:
     """``batch_id`` and place in the batch, per ``by``; a short last batch may be dropped.
 
-    Shuffled batches follow a seeded hash of the id. Ordered ones follow a key of any type.
+    Shuffled batches follow a seeded hash of the id. Ordered ones follow a key of any type. Rows
+    are shuffled with all their columns: give it keys, and join what else rows have to the result.
     """
     by = by or []
     if shuffle:
         keyed = df.withColumn("_order", hash_key(f"{seed}|{epoch}", F.col("id")))
-        bucket = F.substr("_order", F.lit(1), F.lit(3))
+        bucket = F.conv(F.substr("_order", F.lit(1), F.lit(3)), 16, 10).cast("int")
         ranked = rank_within(keyed, by, ["_order", "id"], bucket, "_rank", "_all").drop("_order")
     else:
         sliced = range_buckets(df, order)

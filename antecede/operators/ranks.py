@@ -2,6 +2,11 @@
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+#: Keys of the sample that slices of a table are cut by, and so the most slices there are.
+SLOTS = 4096
+#: Rows that a slice holds on average, as far as the sample allows, and the least number of slices.
+SLICE_ROWS, LEAST_SLICES = 1 << 16, 16
+
 
 def rank_within(
     df: DataFrame, group: list[str], order: list, bucket: Column, name: str = "rank", total: str | None = None
@@ -11,31 +16,51 @@ def rank_within(
     ``bucket`` must grow with ``order``. Rows are numbered inside (group, bucket), and the
     rows in earlier buckets of the group, a count per bucket, are added. A group that holds
     most of the table is then spread over its buckets. ``total`` names a column for the rows of the group.
+
+    Without a ``group`` the buckets must be those of ``range_buckets``, whose number is bounded: their
+    sums are one array, looked up in place, so that no rows meet in one task and nothing is joined.
     """
     keys = [*group, "_bucket"]
     bucketed = df.withColumn("_bucket", bucket)
+    counts = bucketed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    inside = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    numbered = bucketed.withColumn("_inside", inside)
+    if not group:
+        return _shifted(numbered, counts, df.columns, name, total)
     earlier = (
         Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     )
-    offsets = (
-        bucketed.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .select(
-            *[F.col(k).alias(f"_key_{k}") for k in keys],
-            F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"),
-            F.sum("_rows").over(Window.partitionBy(*group)).alias("_total"),
-        )
+    offsets = counts.select(
+        *[F.col(k).alias(f"_key_{k}") for k in keys],
+        F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"),
+        F.sum("_rows").over(Window.partitionBy(*group)).alias("_total"),
     )
-    inside = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     same = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
-    return (
-        bucketed.withColumn("_inside", inside)
-        .join(offsets, same)
-        .select(
-            *df.columns,
-            (F.col("_offset") + F.col("_inside")).alias(name),
-            *([F.col("_total").alias(total)] if total else []),
-        )
+    return numbered.join(offsets, same).select(
+        *df.columns,
+        (F.col("_offset") + F.col("_inside")).alias(name),
+        *([F.col("_total").alias(total)] if total else []),
+    )
+
+
+def _shifted(
+    numbered: DataFrame, counts: DataFrame, columns: list[str], name: str, total: str | None
+) -> DataFrame:
+    """Places inside buckets plus the rows before them, from an array of running sums by bucket."""
+    listed = F.transform(F.sequence(F.lit(0), F.lit(SLOTS)), lambda b: F.coalesce(F.col("_by")[b], F.lit(0).cast("bigint")))
+    by = F.map_from_entries(F.collect_list(F.struct(F.col("_bucket").cast("int"), "_rows"))).alias("_by")
+    ends = F.aggregate(
+        listed,
+        F.array(F.lit(0).cast("bigint")),
+        lambda done, n: F.concat(done, F.array(F.element_at(done, -1) + n)),
+    )
+    sums = counts.agg(by).select(ends.alias("ends")).scalar()
+    placed = numbered.withColumn("_ends", sums)
+    offset = F.get("_ends", F.col("_bucket").cast("int"))
+    return placed.select(
+        *columns,
+        (offset + F.col("_inside")).alias(name),
+        *([F.element_at("_ends", -1).alias(total)] if total else []),
     )
 
 
@@ -90,22 +115,38 @@ def apply_cuts(df: DataFrame, cuts: DataFrame, group: str, order: list[str], nam
     )
 
 
-def range_buckets(df: DataFrame, order: str, n: int = 32) -> DataFrame:
-    """Adds ``_range``, which of about ``n * n`` slices of the table a key of any type is in.
+def range_buckets(df: DataFrame, order: str) -> DataFrame:
+    """Adds ``_range``, which slice of the table a key of any type is in: 0 to ``SLOTS``.
 
-    Edges are ``n * n - 1`` keys of the table, those whose hash comes first; a row's slice is found
-    in two steps of ``n`` comparisons. The choice only shifts slice sizes: slices grow with the
-    key, so ranks built on them are exact. Equal keys share a slice.
+    One pass over the keys draws a sample that tasks can combine: each of ``SLOTS`` slots of the key
+    hash keeps the key with the lowest hash and the number of its rows. The rows tell how
+    many slices there are, one for each ``SLICE_ROWS`` as far as the sample goes, and evenly spaced keys
+    of the sample are their edges. A row's slice is found in two steps of about
+    the root of that number of comparisons. Edges only shift the sizes of slices: slices grow with
+    the key, so ranks built on them are exact. Equal keys share a slice, null keys the first.
     """
-    sample = df.select(order).filter(F.col(order).isNotNull()).distinct()
-    sample = sample.orderBy(F.xxhash64(order), order).limit(n**2 - 1)
-    edged = df.withColumn("_edges", sample.agg(F.array_sort(F.collect_list(order))).scalar())
+    key = F.col(order)
+    hashed = F.xxhash64(key)
+    kept = df.filter(key.isNotNull()).groupBy(F.pmod(hashed, F.lit(SLOTS)).alias("_slot"))
+    kept = kept.agg(F.min_by(key, hashed).alias("_key"), F.count(F.lit(1)).alias("_rows"))
+    sample = kept.agg(F.array_sort(F.collect_list("_key")).alias("_keys"), F.sum("_rows").alias("_rows"))
+    slices = F.greatest(F.ceil(F.col("_rows") / SLICE_ROWS), F.lit(LEAST_SLICES))
+    every = F.greatest(F.ceil(F.size("_keys") / slices), F.lit(1)).cast("int")
+    spaced = sample.withColumn("_every", every).withColumn(
+        "_edges", F.filter("_keys", lambda k, i: (i + 1) % F.col("_every") == 0)
+    )
+    # Every n-th edge by itself, to be looked at first.
+    step = F.greatest(F.ceil(F.sqrt(F.size("_edges"))), F.lit(1)).cast("int")
+    spaced = spaced.withColumn("_step", step)
+    wide = F.filter("_edges", lambda k, i: (i + 1) % F.col("_step") == 0)
+    found = spaced.select(F.struct(F.col("_edges").alias("edges"), F.col("_step").alias("step"), wide.alias("wide")).alias("s"))
+    edged = df.withColumn("_cut", found.scalar())
 
     def at_or_below(edges: Column) -> Column:
-        return F.size(F.filter(edges, lambda e: e <= F.col(order)))
+        return F.coalesce(F.size(F.filter(edges, lambda e: e <= key)), F.lit(0))
 
-    every_nth = F.filter("_edges", lambda e, i: (i + 1) % n == 0)
-    following = F.slice("_edges", F.col("_wide") * n + 1, n - 1)
-    return edged.withColumn("_wide", at_or_below(every_nth)).select(
-        *df.columns, (F.col("_wide") * n + at_or_below(following)).alias("_range")
+    first = F.coalesce(F.col("_first") * F.col("_cut")["step"], F.lit(0))
+    following = F.slice(F.col("_cut")["edges"], first + 1, F.greatest(F.col("_cut")["step"] - 1, F.lit(0)))
+    return edged.withColumn("_first", at_or_below(F.col("_cut")["wide"])).select(
+        *df.columns, (first + at_or_below(following)).alias("_range")
     )

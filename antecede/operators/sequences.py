@@ -2,7 +2,8 @@
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from antecede.operators.ranks import rank_within
+from antecede.operators.ranks import range_buckets, rank_within
+from antecede.session import written
 
 # Reserved token ids. 0 pads.
 RESERVED = {
@@ -25,14 +26,15 @@ def build_vocab(
     """``token`` and ``token_id``: reserved tokens, then those of a corpus, most frequent first.
 
     All tokens get an id, or the first ``size`` of them. Counts are combined before the
-    shuffle, and ranks are taken in buckets of equal count and first two characters, so no
-    task sorts a whole vocabulary.
+    shuffle, and ranks are taken in slices of (count, token), cut at sampled keys: words that are
+    seen once are spread over as many slices as they fill, and no task gets a whole vocabulary.
     """
     spark = tokens.sparkSession
     special = spark.createDataFrame(list(reserved.items()), "token string, token_id int")
     counts = tokens.filter(~F.col("token").isin(*reserved)).groupBy("token").count()
-    bucket = F.struct((-F.col("count")).alias("n"), F.substr("token", F.lit(1), F.lit(2)).alias("head"))
-    ranked = rank_within(counts, [], [F.desc("count"), "token"], bucket)
+    counts = written(counts, "token-counts")
+    keyed = counts.select("token", F.struct((-F.col("count")).alias("n"), "token").alias("_place"))
+    ranked = rank_within(range_buckets(keyed, "_place"), [], ["_place"], F.col("_range"))
     if size is not None:
         ranked = ranked.filter(F.col("rank") <= size)
     first = max(reserved.values()) + 1

@@ -383,15 +383,19 @@ def padded(
     spark: SparkSession, sf_dir: str, vocab: DataFrame | None = None, max_len: int | None = None
 ) -> DataFrame:
     """Encoded rows in ordered batches, padded."""
+    return sequences.pad_truncate(batched(spark, sf_dir, vocab), max_len=max_len)
+
+
+def batched(spark: SparkSession, sf_dir: str, vocab: DataFrame | None = None) -> DataFrame:
+    """Encoded rows in ordered batches, of which only the ids are ranked."""
     rows = written(encoded(spark, sf_dir, vocab), "encoded")
-    return sequences.pad_truncate(folds.batch_assign(rows, shuffle=False, drop_last=False), max_len=max_len)
+    return rows.join(folds.batch_assign(rows.select("id"), shuffle=False, drop_last=False), "id")
 
 
 @query
 def pad_truncate(spark, sf_dir):
     """Once in full and once cut at ``CUT``, where spans may be lost."""
-    rows = written(encoded(spark, sf_dir), "encoded")
-    batches = written(folds.batch_assign(rows, shuffle=False, drop_last=False), "batches")
+    batches = written(batched(spark, sf_dir), "batches")
     both = [sequences.pad_truncate(batches, max_len=m).withColumn("cut", F.lit(m is not None)) for m in (None, CUT)]
     out = ids_text(both[0].unionByName(both[1]))
     return out.select("cut", "id", "batch_id", "width", "ids", "truncated_span", "spans.*")

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import Window, functions as F
 
-from antecede.operators import folds, joins
+from antecede.operators import folds, joins, ranks, sequences
 from antecede.operators.ranks import rank_within, range_buckets
 
 
@@ -56,12 +56,44 @@ def test_two_level_rank(spark):
     assert got.exceptAll(want).count() == 0 and got.count() == 2000
 
 
-def test_range_buckets_grow_with_the_key(spark):
+@pytest.mark.parametrize("rows_a_slice, slices", [(100, 50), (1 << 16, 16)])
+def test_range_buckets_grow_with_the_key(spark, monkeypatch, rows_a_slice, slices):
+    """The number of slices follows from that of rows; null keys are in the first."""
+    monkeypatch.setattr(ranks, "SLICE_ROWS", rows_a_slice)
     for kind in ("bigint", "string"):
         df = spark.range(5000).select((F.col("id") * F.col("id")).cast(kind).alias("v"))
-        slots = [r["_range"] for r in range_buckets(df, "v", n=8).orderBy("v").collect()]
-        assert slots == sorted(slots) and len(set(slots)) == 64
-        assert max(slots.count(s) for s in set(slots)) < 8 * 5000 / 64
+        nulls = spark.createDataFrame([(None,)], f"v {kind}")
+        slots = [r["_range"] for r in range_buckets(df.unionByName(nulls), "v").orderBy("v").collect()]
+        assert slots == sorted(slots) and slots[0] == 0 and 0.7 * slices < len(set(slots)) < 1.4 * slices
+        assert max(slots.count(s) for s in set(slots)) < 3 * 5000 / slices
+
+
+def test_range_buckets_take_one_pass(spark):
+    """Edges come from one aggregate whose tasks keep a key for each slot at most; no rows are sorted."""
+    plan = range_buckets(spark.range(1000), "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "min_by" in plan and "Distinct" not in plan and "Sort [" not in plan
+
+
+@pytest.mark.parametrize("order", ["v", "name"])
+def test_rank_of_a_whole_table(spark, monkeypatch, order):
+    monkeypatch.setattr(ranks, "SLICE_ROWS", 64)
+    df = spark.range(3000).select((F.col("id") * 7919 % 3001).alias("v"), F.concat(F.lit("n"), F.col("id")).alias("name"))
+    got = rank_within(range_buckets(df, order), [], [order], F.col("_range"), "r", "all").drop("_range")
+    want = df.withColumn("r", F.row_number().over(Window.orderBy(order)).cast("bigint")).withColumn("all", F.lit(3000).cast("bigint"))
+    assert got.exceptAll(want).count() == 0 and got.count() == 3000
+    assert rank_within(range_buckets(df.limit(0), order), [], [order], F.col("_range"), "r", "all").count() == 0
+
+
+def test_vocabulary_has_no_task_with_all_words(spark):
+    """Words seen once with one beginning are spread; only sums of at most ``SLOTS`` slices meet in one task."""
+    words = spark.range(4000).select(F.concat(F.lit("zz"), F.col("id")).alias("token"))
+    vocab = sequences.build_vocab(words)
+    node = vocab._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in node.splitlines() if "Window " in line or "Window [" in line]
+    assert windows and all("_range" in line or "_bucket" in line for line in windows)
+    ids = {r.token: r.token_id for r in vocab.collect()}
+    ordered = sorted((t for t in ids if t.startswith("zz")))
+    assert [ids[t] for t in ordered] == list(range(ids[ordered[0]], ids[ordered[0]] + 4000))
 
 
 def test_string_ids_in_order(spark):
@@ -75,9 +107,13 @@ def test_string_ids_in_order(spark):
 
 
 def test_dropping_the_last_batch_adds_no_shuffle(spark):
+    """Counted in the plan that ran, where the sums of slices are one subquery that is used again."""
+
     def exchanges(drop):
-        plan = folds.batch_assign(spark.range(101), 32, drop_last=drop)
-        return plan._jdf.queryExecution().executedPlan().toString().count("Exchange")
+        batches = folds.batch_assign(spark.range(101), 32, drop_last=drop)
+        batches.collect()
+        ran = batches._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        return ran.count("ShuffleQueryStage")
 
     assert exchanges(True) == exchanges(False)
 
