@@ -12,12 +12,15 @@ from antecede.llm import (
     kneser_ney,
     licenses,
     line_dedup,
+    merkle,
     near_dup,
     ngram_filter,
     quality_rules,
     sharding,
     sql,
     token_counts,
+    whitening,
+    wrappers,
 )
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -88,6 +91,23 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests, proof and check of every document, those tampered with whose key's checksum 7 divides."""
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    return merkle.verify(docs, tampered=tampered, changes={"n_chars": F.try_add("n_chars", F.lit(1))})
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first components of every whitened embedding."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of the article of every page."""
+    return wrappers.extract(table(spark, sf_dir, "pages"))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_license_scan,
@@ -100,6 +120,9 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_quality_rules,
         op9_line_dedup,
         op10_decontamination,
+        op11_merkle_manifest,
+        op12_embedding_whitening,
+        op13_html_extraction,
     )
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
@@ -110,5 +133,7 @@ def all_sql() -> dict[str, str]:
         "op3_sharding": sql.sharding(SHARD_NAMES),
         "op9_line_dedup": sql.line_dedup(),
         "op10_decontamination": sql.decontamination(),
+        "op11_merkle_manifest": sql.merkle_manifest(),
+        "op13_html_extraction": sql.html_extraction(),
     }
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -94,3 +94,78 @@ kept AS (
 )
 SELECT documents.doc_id, kept.text, coalesce(n_removed, 0) AS n_removed
 FROM documents LEFT JOIN kept USING (doc_id)"""
+
+
+def _crc32(text: str) -> str:
+    """The unsigned CRC-32 of an ASCII text: a fold over its characters, eight bits each."""
+    bit = "lambda s, z: xor(s >> 1, 3988292384 * (s & 1))"
+    byte = f"lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], {bit})"
+    codes = f"list_transform(string_split({text}, ''), lambda x: CAST(ascii(x) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), {byte}), 4294967295)"
+
+
+def merkle_manifest() -> str:
+    field = lambda x: f"coalesce(strlen(CAST({x} AS VARCHAR)) || ':' || CAST({x} AS VARCHAR), '-')"
+    leaf = lambda n: "sha256(" + " || ".join(map(field, ["doc_id", "source", "lang", n, "text"])) + ")"
+    changed = f"CASE WHEN {_crc32('CAST(doc_id AS VARCHAR)')} % 7 = 0 THEN {leaf('(n_chars + 1)')} ELSE leaf END"
+
+    def tree(name: str, leaves: str) -> str:
+        return f"""{name} AS (
+  {leaves}
+  UNION ALL
+  SELECT grp, level + 1, pos // 2, (total + 1) // 2, sha256(string_agg(digest, '' ORDER BY pos))
+  FROM {name} WHERE total > 1 GROUP BY grp, level, pos // 2, total
+)"""
+
+    def way(nodes: str, grp: str) -> str:
+        """Sibling of the node at each level, behind the side it is on, for a leaf at ``pos``."""
+        return f"""SELECT {grp}, n.level, CASE WHEN s.digest IS NULL THEN '-' WHEN s.pos < n.pos THEN 'L' || s.digest ELSE 'R' || s.digest END AS step
+  FROM ({nodes}) n LEFT JOIN"""
+
+    return f"""
+WITH RECURSIVE hashed AS (
+  SELECT doc_id, lang, n_chars, source, text, {leaf("n_chars")} AS leaf FROM documents
+), placed AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS grp, leaf, {changed} AS changed,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+         count(*) OVER (PARTITION BY lang) AS total
+  FROM hashed
+),
+{tree("docs", "SELECT grp, 0 AS level, pos, total, leaf AS digest FROM placed")},
+subroots AS (
+  SELECT grp AS name, digest, row_number() OVER (ORDER BY encode(grp)) - 1 AS pos, count(*) OVER () AS total
+  FROM docs WHERE total = 1
+),
+{tree("langs", "SELECT '' AS grp, 0 AS level, pos, total, digest FROM subroots")},
+steps AS (
+  {way("SELECT p.grp, p.pos AS leaf_pos, level, p.pos >> level AS pos FROM placed p JOIN (SELECT DISTINCT grp, level FROM docs WHERE total > 1) USING (grp)", "n.grp, n.leaf_pos, 0 AS part")}
+  docs s ON s.grp = n.grp AND s.level = n.level AND s.pos = xor(n.pos, 1)
+), over AS (
+  {way("SELECT name, level, p.pos >> level AS pos FROM subroots p, (SELECT DISTINCT level FROM langs WHERE total > 1)", "n.name")}
+  langs s ON s.level = n.level AND s.pos = xor(n.pos, 1)
+), whole AS (
+  SELECT grp, leaf_pos, part, level, step FROM steps
+  UNION ALL SELECT p.grp, p.pos, 1, o.level, o.step FROM placed p JOIN over o ON o.name = p.grp
+), ways AS (
+  SELECT grp, leaf_pos AS pos, list(step ORDER BY part, level) AS way FROM whole GROUP BY grp, leaf_pos
+), result AS (
+  SELECT doc_id, leaf, changed, subroots.digest AS subroot, (SELECT digest FROM langs WHERE total = 1) AS root,
+         coalesce(way, []) AS way
+  FROM placed JOIN subroots ON subroots.name = placed.grp LEFT JOIN ways ON ways.grp = placed.grp AND ways.pos = placed.pos
+), folded AS (
+  SELECT *, list_reduce(list_prepend(changed, way), lambda a, s: CASE s[1] WHEN 'L' THEN sha256(s[2:] || a) WHEN 'R' THEN sha256(a || s[2:]) ELSE sha256(a) END) AS folded_root
+  FROM result
+)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(way, lambda s: s[2:]), '')) AS proof_sha256,
+       folded_root, folded_root = root AS verified
+FROM folded"""
+
+
+def html_extraction() -> str:
+    """The layout of the driver's pages in SQL: what stands in their ``article``, which wrappers have to find."""
+    inside = r"regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|$)', 1)"
+    blocks = rf"regexp_replace(regexp_replace({inside}, '</?(p|h1|br)>', ' ', 'g'), '<[^>]*>', '', 'g')"
+    decoded = rf"regexp_replace(replace({blocks}, '&quot;', chr(34)), '&amp;?', '&', 'g')"
+    return rf"""
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars
+FROM (SELECT page_id, url, trim(regexp_replace({decoded}, '\s+', ' ', 'g')) AS text FROM pages)"""
