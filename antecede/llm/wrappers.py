@@ -46,27 +46,34 @@ _LISTS = ("dl", "div", "menu", "ol", "p", "section", "table", "ul")
 Item = dict
 
 
+def digest(text: Text) -> str:
+    return blake2b(text.text.encode("utf-8", "replace"), digest_size=6).hexdigest()
+
+
 def items_of(element: Element) -> list[Item]:
     """The sequence of an element of a page, as a wrapper of that page."""
     out = []
     for c in element.children:
         if isinstance(c, Text):
-            digest = blake2b(c.text.encode("utf-8", "replace"), digest_size=6).hexdigest()
-            out.append({"k": "#", "n": 1, "o": 0, "r": 0, "c": [], "s": len(c.text), "l": c.linked, "v": digest})
+            out.append({"k": "#", "n": 1, "o": 0, "r": 0, "c": [], "s": len(c.text), "l": c.linked, "v": digest(c)})
         else:
             out.append({"k": c.key, "n": 1, "o": 0, "r": 0, "c": [] if c.hidden else items_of(c)})
     return out
 
 
-def _keys(item: Item) -> set[str]:
-    return {x["k"] for x in item["c"]}
+def _inside(item: Item, texts: bool) -> set:
+    """The kinds of items in an item, and the texts that all pages have there."""
+    kinds = {x["k"] for x in item["c"]}
+    return kinds | {(x["v"],) for x in item["c"] if x.get("v")} if texts else kinds
 
 
-def similarity(a: Item, b: Item) -> float:
-    """0 for items of different kinds, else from one half to 1 by the kinds of items inside."""
+def similarity(a: Item, b: Item, texts: bool = False) -> float:
+    """0 for items of different kinds, else from one half to 1 by the kinds of items inside, and their ``texts``."""
     if a["k"] != b["k"]:
         return 0.0
-    one, two = _keys(a), _keys(b)
+    if texts and a.get("v") and a["v"] == b.get("v"):
+        return 1.5
+    one, two = _inside(a, texts), _inside(b, texts)
     return 0.5 + 0.5 * len(one & two) / len(one | two) if one or two else 1.0
 
 
@@ -111,7 +118,8 @@ def _folded(items: list[Item]) -> list[Item]:
     i, again = 0, []
     while i < len(out):
         end = i + 2
-        while end + 1 < len(out) and all(similarity(out[end + d], out[i + d]) >= ALIKE for d in (0, 1)):
+        differ = end <= len(out) and out[i]["k"] != out[i + 1]["k"]
+        while differ and end + 1 < len(out) and all(similarity(out[end + d], out[i + d]) >= ALIKE for d in (0, 1)):
             end += 2
         if end > i + 2:
             again += _group(out[i:end])
@@ -124,7 +132,7 @@ def _folded(items: list[Item]) -> list[Item]:
 
 def _aligned(a: list[Item], b: list[Item]) -> Iterator[tuple[Item | None, Item | None]]:
     """Pairs of items in the order of both, so that matched ones are as alike as can be; None has no counterpart."""
-    alike = [[similarity(x, y) for y in b] for x in a]
+    alike = [[similarity(x, y, texts=True) for y in b] for x in a]
     best = [[0.0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
         for j in range(len(b) - 1, -1, -1):
@@ -229,12 +237,20 @@ def _placed(children: list, items: list[Item]) -> list[Item | None]:
     keys = [c.key if isinstance(c, Element) else "#" for c in children]
     if keys == [x["k"] for x in items]:
         return list(items)
-    own = [{"c": [{"k": y.key if isinstance(y, Element) else "#"} for y in c.children] if isinstance(c, Element) else []} for c in children]
+    def seen(c: Element | Text) -> Item:
+        if isinstance(c, Text):
+            return {"k": "#", "v": digest(c) if texts else None, "c": []}
+        inside = [{"k": y.key} if isinstance(y, Element) else {"k": "#", "v": digest(y) if texts else None} for y in c.children]
+        return {"k": c.key, "c": inside}
+
+    # Texts tell items of one kind apart.
+    texts = len({x["k"] for x in items}) < len(items)
+    own = [seen(c) for c in children]
     members = [{m["k"]: m for m in x["c"]} if x["k"] == "()" else {x["k"]: x} for x in items]
 
     def alike(i: int, j: int) -> float:
         found = members[j].get(keys[i])
-        return similarity(own[i] | {"k": keys[i]}, found) if found else 0.0
+        return similarity(own[i], found, texts) if found else 0.0
 
     n, m = len(keys), len(items)
     # best: of the first i children with the first j items; last: where child i is item j.
