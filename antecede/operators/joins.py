@@ -99,20 +99,3 @@ def sequence_key(ids: Column) -> Column:
     """Key of a token sequence, the same however far it is padded with zeros."""
     unpadded = F.filter(ids, lambda t: t > 0)
     return F.sha2(F.array_join(unpadded.cast("array<string>"), ","), 256)
-
-
-def encode_missing(df: DataFrame, store: DataFrame, encoder) -> tuple[DataFrame, DataFrame]:
-    """Encode each distinct sequence the store lacks, once.
-
-    ``df`` has ``id`` and ``ids``; ``store`` has ``key``, ``pos`` and ``vector``. The encoder
-    maps (key, ids) rows to (key, pos, vector) rows. Returns the rows with their key and
-    whether the store had it, and the new vectors to append to the store. Keys are made
-    distinct before the shuffle, so copies of a text cost one row each task.
-    """
-    keyed = df.withColumn("key", sequence_key(F.col("ids")))
-    known = store.select("key").distinct()
-    distinct = keyed.groupBy("key").agg(F.first("ids").alias("ids"))
-    missing = distinct.join(known, "key", "left_anti")
-    marked = salted_join(keyed, known.withColumn("_known", F.lit(True)), "key")
-    hits = marked.withColumn("hit", F.coalesce("_known", F.lit(False))).drop("_known")
-    return hits, encoder(missing)

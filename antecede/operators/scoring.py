@@ -18,13 +18,18 @@ N_BINS = len(EDGES13) + 1
 
 
 def scorer_features(df: DataFrame) -> DataFrame:
-    """``features``: pair vectors of both names, one-hot distance bins and URL cues."""
-    bins = [
-        F.when(F.col(d) == i, 1.0).otherwise(0.0) for d in ("d_pa", "d_pb") for i in range(N_BINS)
-    ]
-    cues = [F.col(c).cast("double") for c in ("a_in_url", "b_in_url")]
-    values = F.concat("pair_a", "pair_b", F.array(*bins, *cues))
-    return df.withColumn("features", array_to_vector(values))
+    """``features``: pair vectors of both names, one-hot distance bins and URL cues.
+
+    ``swapped`` has the same with the names in the other order, for a scorer that treats both alike.
+    """
+
+    def of(first: str, second: str) -> Column:
+        names = (first, second)
+        bins = [F.when(F.col(f"d_p{s}") == i, 1.0).otherwise(0.0) for s in names for i in range(N_BINS)]
+        cues = [F.col(f"{s}_in_url").cast("double") for s in names]
+        return array_to_vector(F.concat(*[f"pair_{s}" for s in names], F.array(*bins, *cues)))
+
+    return df.withColumns({"features": of("a", "b"), "swapped": of("b", "a")})
 
 
 def fit_scorer(
@@ -37,7 +42,9 @@ def fit_scorer(
     """A three-way classifier over ``features`` and ``target``, fitted by Spark ML.
 
     With a fold, only the rows of the other folds are fitted. The penalty does the work of
-    dropout: vectors are wide, and few of their values tell.
+    dropout: vectors are wide, and few of their values tell. Rows with ``swapped`` features are
+    fitted in both orders, A's target being B's in the other one, so that the weights by which A
+    and B are scored, each by its own values and by the other's, are the same ones.
     """
     rows = df if fold is None else keep_folds(df, fold, "train")
     scorer = LogisticRegression(
@@ -50,6 +57,9 @@ def fit_scorer(
         rawPredictionCol="raw",
     )
     labelled = rows.select("features", F.col("target").cast("double").alias("target"))
+    if "swapped" in rows.columns:
+        other = F.when(F.col("target") < 2, 1 - F.col("target")).otherwise(F.col("target")).cast("double")
+        labelled = labelled.unionByName(rows.select(F.col("swapped").alias("features"), other.alias("target")))
     return Pipeline(stages=[scorer]).fit(labelled)
 
 
@@ -63,9 +73,19 @@ def load_scorer(path: str) -> PipelineModel:
 
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """Rows with ``logits``; whatever labels they have stay in the row."""
-    out = model.transform(df).withColumn("logits", vector_to_array("raw"))
-    return out.select(*df.columns, "logits")
+    """Rows with ``logits``; whatever labels they have stay in the row.
+
+    Rows with ``swapped`` features are scored in both orders and get the mean, so names that change
+    places change logits, exactly.
+    """
+    out = model.transform(df).withColumn("logits", vector_to_array("raw")).select(*df.columns, "logits")
+    if "swapped" not in df.columns:
+        return out
+    turned = out.withColumnsRenamed({"features": "_own", "swapped": "features", "logits": "_logits"})
+    both = model.transform(turned).withColumn("_other", vector_to_array("raw"))
+    mean = [(F.col("_logits")[i] + F.col("_other")[j]) / 2 for i, j in enumerate((1, 0, 2))]
+    both = both.withColumnsRenamed({"features": "swapped", "_own": "features"})
+    return both.withColumn("logits", F.array(*mean)).select(*df.columns, "logits")
 
 
 def with_probabilities(df: DataFrame, lo: float = 1e-4, hi: float = 1 - 1e-4) -> DataFrame:
@@ -78,7 +98,7 @@ def with_probabilities(df: DataFrame, lo: float = 1e-4, hi: float = 1 - 1e-4) ->
 
 def _score(model: PipelineModel, df: DataFrame, fold: int) -> DataFrame:
     scored = with_probabilities(predict(model, df))
-    return scored.drop("features").withColumn("model_fold", F.lit(fold))
+    return scored.drop("features", "swapped").withColumn("model_fold", F.lit(fold))
 
 
 def fold_mean_ensemble(pred: DataFrame) -> DataFrame:
@@ -125,7 +145,7 @@ def cross_validate(
     oof = _union(
         [_score(m, keep_folds(train, f, "valid"), f) for f, m in enumerate(models)]
     )
-    tested = test.select("id", "target", "features")
+    tested = test.select("id", "target", *[c for c in ("features", "swapped") if c in test.columns])
     for f, m in enumerate(models):
         scored = with_probabilities(predict(m, tested))
         tested = scored.withColumnsRenamed({c: f"_{c}_{f}" for c in CLASSES})

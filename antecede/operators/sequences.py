@@ -1,7 +1,13 @@
 """Vocabulary, token ids and padding."""
 
-from pyspark.sql import DataFrame, Window, functions as F
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from antecede.functions.numeric import hash_key
+from antecede.operators.folds import SEED
 from antecede.operators.ranks import range_buckets, rank_within
 from antecede.session import written
 
@@ -48,28 +54,68 @@ def encode_tokens(
 ) -> DataFrame:
     """``tokens`` to ``ids`` behind ``[CLS]``; ``sep`` also appends ``[SEP]``.
 
-    Every row stays; null tokens count as none. The vocabulary may be of any size: Spark
-    broadcasts it if its bytes are few, else joins it by token, splitting frequent tokens.
+    Every row stays; null tokens count as none. Each row becomes postings: its distinct tokens,
+    each with the list of its places, so a token moves once for each row that has it however often
+    it stands there. Postings meet the vocabulary by token, which Spark broadcasts if its bytes are
+    few and else joins, splitting frequent tokens; they come together by id, and ids are put in their
+    places in one go, without a sort. That is two exchanges, or one with a broadcast vocabulary.
     """
     rest = [c for c in df.columns if c not in ("id", "tokens")]
     framed = F.concat(
         F.array(F.lit("[CLS]")), F.coalesce("tokens", F.array().cast("array<string>")), F.array(F.lit("[SEP]")) if sep else F.array()
     )
-    exploded = (
-        df.repartition("id")
-        .select("id", *rest, F.posexplode(framed).alias("_pos", "token"))
-        # Other columns stay on the first token row only.
-        .withColumns({c: F.when(F.col("_pos") == 0, F.col(c)) for c in rest})
-    )
-    coded = exploded.join(vocab.select("token", "token_id"), "token", "left").withColumn(
-        "token_id", F.coalesce("token_id", F.lit(reserved["[UNK]"]))
+    posted = df.select("id", *rest, _postings(framed).alias("_postings"))
+    first = F.col("_first")
+    exploded = posted.select("id", *rest, F.posexplode("_postings").alias("_first", "_posting"))
+    # Other columns go with the first posting only.
+    exploded = exploded.select(
+        "id", "_posting.*", *[F.when(first == 0, F.col(c)).alias(c) for c in rest]
     )
-    ordered = F.array_sort(F.collect_list(F.struct("_pos", "token_id")))
-    return (
-        coded.groupBy("id")
-        .agg(*[F.first(c, ignorenulls=True).alias(c) for c in rest], ordered.alias("_ids"))
-        .select("id", *rest, F.col("_ids")["token_id"].alias("ids"))
+    coded = exploded.join(vocab.select("token", F.col("token_id").cast("int").alias("_id")), "token", "left")
+    coded = coded.withColumn("_id", F.coalesce("_id", F.lit(reserved["[UNK]"])))
+    together = coded.groupBy("id").agg(
+        *[F.first(c, ignorenulls=True).alias(c) for c in rest],
+        F.collect_list(F.struct("_id", "places")).alias("_coded"),
     )
+    kinds = together.withColumn("ids", F.lit(None).cast("array<int>")).drop("_coded").schema
+    return together.mapInArrow(_in_place, kinds)
+
+
+def _postings(tokens: Column) -> Column:
+    """The distinct tokens of an array with their places, from one sort within the row."""
+
+    def runs(ordered: Column) -> Column:
+        number = F.sequence(F.lit(0), F.size(ordered) - 1)
+        begins = F.filter(
+            number, lambda i: (i == 0) | (F.get(ordered, i)["token"] != F.get(ordered, i - 1)["token"])
+        )
+        return F.transform(F.array(begins), lambda b: F.transform(b, lambda i, k: posting(ordered, b, i, k)))[0]
+
+    def posting(ordered: Column, begins: Column, i: Column, k: Column) -> Column:
+        end = F.coalesce(F.get(begins, k + 1), F.size(ordered))
+        own = F.transform(F.slice(ordered, i + 1, end - i), lambda t: t["place"])
+        return F.struct(F.get(ordered, i)["token"].alias("token"), own.alias("places"))
+
+    known = F.transform(tokens, lambda t, i: F.struct(F.coalesce(t, F.lit("")).alias("token"), i.alias("place")))
+    return F.transform(F.array(F.array_sort(known)), runs)[0]
+
+
+def _in_place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Token ids at the places of their postings, for all rows of a batch at once."""
+    for batch in batches:
+        coded = batch.column(batch.num_columns - 1)
+        postings = coded.flatten()
+        places, of = postings.field("places"), postings.field("_id").to_numpy()
+        counts = places.value_lengths().to_numpy()
+        # Rows begin one after the other in what is filled.
+        row = np.repeat(np.arange(len(coded)), coded.value_lengths().to_numpy())
+        sizes = np.bincount(row, counts, len(coded)).astype(np.int64)
+        begin = np.concatenate([[0], np.cumsum(sizes)])
+        out = np.zeros(begin[-1], np.int32)
+        out[np.repeat(begin[row], counts) + places.flatten().to_numpy()] = np.repeat(of, counts)
+        ids = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(out))
+        names = batch.schema.names[:-1]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], names=[*names, "ids"])
 
 
 def pad_truncate(
@@ -91,3 +137,33 @@ def pad_truncate(
         .withColumn("spans", moved)
         .withColumn("truncated_span", ends >= F.col("width"))
     )
+
+
+def length_batches(df: DataFrame, size: int = 32, seed: int = SEED) -> DataFrame:
+    """``batch_id`` and ``batch_pos`` of (id, n) rows, so that the rows of a batch are about as long.
+
+    Rows of equal length follow a seeded hash of the id; the batches ascend in length, and are dealt
+    to a training run by ``batch_order``, the seeded hash of a batch.
+    """
+    place = F.struct("n", hash_key(seed, F.col("id")).alias("h"), "id")
+    ranked = rank_within(range_buckets(df.withColumn("_place", place), "_place"), [], ["_place"], F.col("_range"))
+    at = F.col("rank") - 1
+    return ranked.select(
+        *df.columns,
+        F.floor(at / size).cast("bigint").alias("batch_id"),
+        F.pmod(at, F.lit(size)).cast("int").alias("batch_pos"),
+    ).withColumn("batch_order", hash_key(seed, F.col("batch_id")))
+
+
+def padding(df: DataFrame, by: list[str]) -> DataFrame:
+    """Rows, tokens and padding of (batch_id, n) rows, for each value of ``by``: what a batch's widest row costs."""
+    batches = df.groupBy(*by, "batch_id").agg(
+        F.count(F.lit(1)).alias("_rows"), F.sum("n").alias("_tokens"), F.max("n").alias("_width")
+    )
+    total = batches.groupBy(*by).agg(
+        F.sum("_rows").alias("n_rows"),
+        F.sum("_tokens").alias("n_tokens"),
+        F.sum(F.col("_rows") * F.col("_width") - F.col("_tokens")).alias("n_padding"),
+    )
+    share = F.col("n_padding") / F.nullif(F.col("n_tokens") + F.col("n_padding"), F.lit(0))
+    return total.withColumn("share", share)

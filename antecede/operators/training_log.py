@@ -6,7 +6,11 @@ runs are cut into chunks of steps.
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from antecede.session import written
+
 CHUNK = 4096
+#: Chunks of a run that are put together in one row.
+FAN = 64
 
 
 def weighted_eval_loss(log: DataFrame) -> DataFrame:
@@ -63,8 +67,9 @@ def early_stop_point(
 
     Improvements are at most ``patience + 1`` steps apart until the stop. So the improvement
     with which a run enters a chunk is one of the first ``patience + 1`` steps of the chunk, and each
-    chunk is folded on its own once for each of them. The chunks of a run, one short row
-    each, are then chained.
+    chunk is folded on its own once for each of them: a table from entry to exit. Such tables are
+    composed, ``FAN`` neighbours at a time and in as many rounds as the longest run takes, so no row
+    lists more than that and a run may be of any length.
     """
     reach = patience + 1
     size = max(chunk, reach)
@@ -102,24 +107,28 @@ def early_stop_point(
         return F.aggregate("_steps", start, advance)
 
     entries = F.slice("_steps", 1, reach)
-    summaries = chunks.select("run", "_chunk", F.transform(entries, follow).alias("_paths"))
-    chained = summaries.groupBy("run").agg(
-        F.array_sort(F.collect_list(F.struct("_chunk", "_paths"))).alias("_chunks")
-    )
-    begin = F.struct(
-        F.lit(None).cast("double").alias("loss"),
-        F.lit(None).cast("bigint").alias("step"),
-        F.lit(None).cast("bigint").alias("stop"),
-        F.lit(0).alias("next"),
-    )
-
-    def chain(state: Column, part: Column) -> Column:
-        return F.when(state["next"].isNull(), state).otherwise(F.get(part["_paths"], state["next"]))
-
-    last = F.aggregate("_chunks", begin, chain)
-    return chained.withColumn("_last", last).select(
+    tables = chunks.select("run", "_chunk", F.transform(entries, follow).alias("_paths"))
+    tables = written(tables, "chunk-tables")
+    last = tables.agg(F.max("_chunk")).first()[0] or 0
+    while last > 0:
+        tables, last = _composed(tables), last // FAN
+    end = F.get("_paths", F.lit(0))
+    return tables.withColumn("_last", end).select(
         "run",
         F.col("_last.stop").cast("int").alias("stop_step"),
         F.col("_last.step").cast("int").alias("best_step"),
         F.col("_last.loss").alias("best_loss"),
     )
+
+
+def _composed(tables: DataFrame) -> DataFrame:
+    """One table for each ``FAN`` neighbours: where an exit leads on, it is an entry of the next."""
+    parts = F.array_sort(F.collect_list(F.struct("_chunk", "_paths")))
+    listed = tables.groupBy("run", F.floor(F.col("_chunk") / FAN).cast("bigint").alias("_above")).agg(parts.alias("_parts"))
+
+    def chain(state: Column, part: Column) -> Column:
+        return F.when(state["next"].isNull(), state).otherwise(F.get(part["_paths"], state["next"]))
+
+    rest = F.slice("_parts", 2, F.size("_parts"))
+    paths = F.transform(F.get("_parts", F.lit(0))["_paths"], lambda p: F.aggregate(rest, p, chain))
+    return listed.select("run", F.col("_above").alias("_chunk"), paths.alias("_paths"))

@@ -3,7 +3,7 @@
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from antecede.functions import text as tx
@@ -27,36 +27,52 @@ def model_encoder(
     key: str,
     key_type: str = "string",
     batch_size: int = 32,
+    layers: bool = False,
 ) -> Callable[[DataFrame], DataFrame]:
     """Encoder that runs a model over Arrow batches, loaded once per task.
 
     ``load()`` returns a function of padded ids and attention mask, both (rows, width), to
-    vectors (rows, width, dims). The mask is ids > 0; masked places give no row. At most
+    vectors (rows, width, dims), or with ``layers`` to those of all layers, (layers, rows, width,
+    dims), from which ``select_layers`` picks. Values are single-precision floats from the model
+    to the table. The mask is ids > 0; masked places give no row, and a text without ids has none. At most
     ``batch_size`` texts are held as vectors at a time.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def nested(values: np.ndarray) -> pa.Array:
+        """(rows, dims), or (layers, rows, dims), as one list, or one list of layers, for each row."""
+        flat = values if values.ndim == 2 else values.transpose(1, 0, 2).reshape(-1, values.shape[-1])
+        ends = pa.array(np.arange(len(flat) + 1, dtype=np.int32) * flat.shape[-1])
+        lists = pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(flat).ravel()))
+        if values.ndim == 2:
+            return lists
+        ends = pa.array(np.arange(values.shape[1] + 1, dtype=np.int32) * values.shape[0])
+        return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([lists], names=["values"]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load()
         for batch in batches:
-            for first in range(0, len(batch), batch_size):
-                part = batch.iloc[first : first + batch_size]
-                ids = np.zeros((len(part), max(map(len, part["ids"]))), dtype=np.int64)
-                for row, values in enumerate(part["ids"]):
-                    ids[row, : len(values)] = values
+            for first in range(0, batch.num_rows, batch_size):
+                part = batch.slice(first, batch_size)
+                lengths = part.column(1).value_lengths().fill_null(0).to_numpy()
+                ids = np.zeros((part.num_rows, max(int(lengths.max()), 1)), dtype=np.int64)
+                ids[np.arange(ids.shape[1]) < lengths[:, None]] = part.column(1).flatten().to_numpy()
                 mask = ids > 0
                 rows, places = np.nonzero(mask)
-                vectors = np.asarray(model(ids, mask.astype(np.int64)), dtype=np.float64)
-                yield pd.DataFrame(
-                    {
-                        key: part[key].to_numpy()[rows],
-                        "pos": places.astype(np.int32),
-                        "token_id": ids[rows, places].astype(np.int32),
-                        "vector": list(vectors[rows, places]),
-                    }
-                )
-
-    schema = f"{key} {key_type}, pos int, token_id int, vector array<double>"
-    return lambda df: df.select(key, "ids").mapInPandas(run, schema)
+                if not rows.size:
+                    continue
+                vectors = np.asarray(model(ids, mask.astype(np.int64)), dtype=np.float32)
+                columns = [
+                    part.column(0).take(pa.array(rows)),
+                    pa.array(places.astype(np.int32)),
+                    pa.array(ids[rows, places].astype(np.int32)),
+                    nested(vectors[..., rows, places, :]),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=[key, "pos", "token_id", made])
+
+    made = "layers" if layers else "vector"
+    kind = "array<struct<values:array<float>>>" if layers else "array<float>"
+    schema = f"{key} {key_type}, pos int, token_id int, {made} {kind}"
+    return lambda df: df.select(key, "ids").mapInArrow(run, schema)
 
 
 def encode_batches(
@@ -131,7 +147,12 @@ def align_spans(
     P is the token that starts where the pronoun does; A and B are all tokens that start
     inside the name.
     """
+    prepared, spans = _aligned(df, tokens)
+    return prepared.select("id", *keep, F.inline(spans))
+
 
+def _aligned(df: DataFrame, tokens: str) -> tuple[DataFrame, Column]:
+    """The rows with what alignment needs, and their (span, pos) pairs as an array."""
     def solid(text: Column) -> Column:
         return F.length(F.replace(F.regexp_replace(text, r"\s+", ""), F.lit("#"), F.lit("")))
 
@@ -159,7 +180,7 @@ def align_spans(
         found("A", "a_off", F.col("a"), False),
         found("B", "b_off", F.col("b"), False),
     )
-    return prepared.select("id", *keep, F.inline(spans))
+    return prepared, spans
 
 
 def pool_spans(rows: DataFrame) -> DataFrame:
@@ -185,7 +206,10 @@ def pool_spans(rows: DataFrame) -> DataFrame:
 def span_mean_pool(df: DataFrame, token_vectors: DataFrame) -> DataFrame:
     """Pooled vectors of P, A and B from encoder output (id, pos, token, vector).
 
-    Alignment looks at token strings only; vectors are joined for the tokens found.
+    Alignment looks at token strings only, and gives each text the places of its spans as one
+    array. That meets the vectors by id alone, and vectors at other places are dropped before
+    anything is moved or widened. With encoder output bucketed by id (``session.bucketed``)
+    no vector is shuffled at all: only the texts go to their buckets. Sums are taken in doubles.
     """
     listed = token_vectors.groupBy("id").agg(
         F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("_list")
@@ -193,9 +217,15 @@ def span_mean_pool(df: DataFrame, token_vectors: DataFrame) -> DataFrame:
     texts = listed.withColumn("tokens", F.col("_list")["token"]).withColumn(
         "_listed", F.col("_list")["pos"]
     )
-    found = align_spans(df.join(texts, "id"), keep=("_listed",))
-    places = found.select("id", "span", F.get("_listed", F.col("pos")).alias("pos"))
-    return pool_spans(places.join(token_vectors.select("id", "pos", "vector"), ["id", "pos"]))
+    prepared, spans = _aligned(df.join(texts, "id"), "tokens")
+    placed = F.transform(
+        spans, lambda s: F.struct(s["span"].alias("span"), F.get("_listed", s["pos"]).alias("pos"))
+    )
+    places = prepared.select("id", placed.alias("_spans"))
+    vectors = token_vectors.select("id", F.col("pos").alias("_at"), "vector").join(places, "id")
+    own = F.filter("_spans", lambda s: s["pos"] == F.col("_at"))
+    rows = vectors.select("id", F.inline(own), F.col("vector").cast("array<double>").alias("vector"))
+    return pool_spans(rows)
 
 
 def pronoun_vector(rows: DataFrame) -> DataFrame:

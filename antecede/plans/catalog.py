@@ -3,6 +3,7 @@
 import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from antecede.functions import numeric as nm, text as tx
@@ -18,10 +19,11 @@ from antecede.operators import (
     sequences,
     tokens,
     training_log,
+    vector_store,
     vectors,
 )
 from antecede.plans import fixtures as fx
-from antecede.session import scratch_path, written
+from antecede.session import bucketed, scratch_path, written
 from antecede.sources import scans, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -401,6 +403,25 @@ def pad_truncate(spark, sf_dir):
     return out.select("cut", "id", "batch_id", "width", "ids", "truncated_span", "spans.*")
 
 
+@query
+def padding_share(spark, sf_dir):
+    """What padding costs in batches in the order of ids, and in batches of rows about as long."""
+    rows = written(encoded(spark, sf_dir).select("id", F.size("ids").alias("n")), "lengths")
+    plain = folds.batch_assign(rows, shuffle=False, drop_last=False).select("batch_id", "n")
+    even = sequences.length_batches(rows).select("batch_id", "n")
+    both = plain.withColumn("mode", F.lit("by_id")).unionByName(even.withColumn("mode", F.lit("by_length")))
+    return sequences.padding(both, ["mode"]).withColumn("share", fix6(F.col("share")))
+
+
+@query
+def length_batches(spark, sf_dir):
+    """Rows padded to the longest one of their batch, with their spans."""
+    rows = written(encoded(spark, sf_dir), "encoded")
+    placed = sequences.length_batches(rows.select("id", F.size("ids").alias("n")))
+    padded_rows = sequences.pad_truncate(rows.join(placed, "id"))
+    return ids_text(padded_rows).select("id", "batch_id", "batch_pos", "width", "ids", "truncated_span", "spans.*")
+
+
 def labelled(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """Mention rows with their target, written as folds look at them more than once."""
     rows = labels.extract_target(fx.mentions(spark, sf_dir))
@@ -461,14 +482,28 @@ def fold_expand(spark, sf_dir):
 @query
 def encode_missing(spark, sf_dir):
     """The store holds the first source file; the rest is encoded, equal sequences once."""
+    return stored_twice(spark, sf_dir)[0]
+
+
+@query
+def encode_missing_again(spark, sf_dir):
+    """A second run over the same rows: the store has them all, and nothing is encoded."""
+    return stored_twice(spark, sf_dir)[1]
+
+
+def stored_twice(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     vocab = written(vocabulary(spark, sf_dir), "vocabulary")
-    rows = written(padded(spark, sf_dir, vocab).select("id", "ids"), "padded")
+    rows = written(encoded(spark, sf_dir, vocab).select("id", "ids"), "encoded")
     encoder = vectors.lookup_encoder(written(token_id_vectors(spark, sf_dir, vocab), "vectors"))
-    first = fx.splits(rows)[0].select(joins.sequence_key(F.col("ids")).alias("key"), "ids")
-    store = written(encoder(first.groupBy("key").agg(F.first("ids").alias("ids"))), "store")
-    hits, added = joins.encode_missing(rows, store, encoder)
-    sizes = store.unionByName(added).groupBy("key").agg(F.count("pos").alias("n_vectors"))
-    return joins.salted_join(hits, sizes, "key").select("id", "key", "hit", "n_vectors")
+    store = vector_store.new_store(spark, "store")
+    vector_store.encode_missing(fx.splits(rows)[0], store, encoder, "first")
+    out = []
+    for batch in ("rest", "again"):
+        hits, added = vector_store.encode_missing(rows, store, encoder, batch)
+        sizes = store.rows().select("key", F.size("vectors").cast("long").alias("n_vectors"))
+        found = joins.salted_join(hits, sizes, "key").select("id", "key", "hit", "n_vectors")
+        out.append(found if batch == "rest" else found.withColumn("n_encoded", F.lit(added).cast("long")))
+    return out[0], out[1]
 
 
 @query
@@ -621,8 +656,13 @@ def span_mean_pool(spark, sf_dir):
         lambda t: F.when(t.isin(*tx.TERMINATORS), F.array(t, F.lit("[SEP]"))).otherwise(F.array(t)),
     )
     listed = F.concat(F.array(F.lit("[CLS]")), F.flatten(marked), F.array(F.lit("[SEP]")))
-    coded = with_vectors(m.select("id", F.posexplode(listed).alias("pos", "token")), spark, sf_dir)
-    return dims(vectors.span_mean_pool(m, written(coded.drop("vec_id"), "encoded")), "id", "span")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = m.select("id", listed.alias("tokens")).repartition(buckets, "id")
+    coded = rows.select("id", F.posexplode("tokens").alias("pos", "token"))
+    keyed = coded.withColumn("vec_id", fx.vector_ids(F.col("token"), fx.n_vectors(spark, sf_dir)))
+    table = fx.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    stored = vectors.gather_vectors(keyed, table, "vec_id").select("id", "pos", "token", "vector")
+    return dims(vectors.span_mean_pool(m, bucketed(stored, "id", "encoded", buckets)), "id", "span")
 
 
 @query
@@ -639,6 +679,35 @@ def encode_batches(spark, sf_dir):
     )
 
 
+LAYERS, LAYER_DIMS = 12, 4
+
+
+def layered_model():
+    """Stands in for a model: value d of layer l is a remainder of the token id times d + 1, times l + 1."""
+    steps = np.arange(1, LAYER_DIMS + 1)
+    depth = np.arange(1, LAYERS + 1, dtype=np.float32)
+
+    def run(ids: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        own = (ids[..., None] * steps % 97).astype(np.float32) * mask[..., None]
+        return depth[:, None, None, None] * own
+
+    return run
+
+
+@query
+def encode_layers(spark, sf_dir):
+    """A plug-in with twelve layers over the windows of all rows, of which two layers are picked."""
+    encoder = vectors.model_encoder(lambda: layered_model(), "id", layers=True)
+    coded = vectors.encode_batches(encoded(spark, sf_dir), encoder, width=512)
+    picked = vectors.select_layers(coded, [-6, 0])
+    value = lambda i: F.element_at("vector", i).cast("double")
+    total = F.aggregate(F.transform("vector", lambda x: x.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
+    return picked.select(
+        "id", "pos", "token_id", F.size("vector").alias("n_values"),
+        value(1).alias("v_first"), value(-1).alias("v_last"), total.alias("v_all"),
+    )
+
+
 @query
 def select_layers(spark, sf_dir):
     """Twelve layers per span token, layer i being the vector times i + 1."""
@@ -708,7 +777,7 @@ def scorer_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = span_vectors(spark, sf_dir, m)
     pairs = vectors.pair_features(vectors.span_columns(vectors.pool_spans(spans)))
     table = scoring.scorer_features(rows.drop("text").join(pairs, "id"))
-    plain = written(table.select("id", "target", "features"), "features")
+    plain = written(table.select("id", "target", "features", "swapped"), "features")
     return written(folds.stratified_folds(plain, K), "folds")
 
 

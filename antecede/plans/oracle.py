@@ -421,6 +421,23 @@ _BODIES = {
     "fold_expand": f"""SELECT id, fold, CAST(f AS INTEGER) AS run_fold, CASE WHEN fold = f THEN 'valid' ELSE 'train' END AS split
         FROM folded, range({K}) r(f)""",
     "encode_missing": """SELECT id, key, key IN (SELECT key FROM keyed WHERE id % 3 = 0) AS hit, n AS n_vectors FROM keyed""",
+    "encode_missing_again": "SELECT id, key, true AS hit, n AS n_vectors, CAST(0 AS BIGINT) AS n_encoded FROM keyed",
+    "padding_share": f"""WITH n AS (SELECT id, len(ids) AS n FROM ids), placed AS (
+        SELECT 'by_id' AS mode, n, (row_number() OVER (ORDER BY id) - 1) // 32 AS b FROM n UNION ALL
+        SELECT 'by_length', n, (row_number() OVER (ORDER BY n, md5('{SEED}|' || id), id) - 1) // 32 FROM n),
+        wide AS (SELECT mode, n, max(n) OVER (PARTITION BY mode, b) AS width FROM placed)
+        SELECT mode, count(*) AS n_rows, CAST(sum(n) AS BIGINT) AS n_tokens, CAST(sum(width - n) AS BIGINT) AS n_padding,
+        {_fix6('CAST(sum(width - n) AS DOUBLE) / sum(width)')} AS share FROM wide GROUP BY mode""",
+    "length_batches": f"""WITH placed AS (SELECT id, ids, row_number() OVER (ORDER BY len(ids), md5('{SEED}|' || id), id) - 1 AS place FROM ids),
+        wide AS (SELECT *, max(len(ids)) OVER (PARTITION BY place // 32) AS width FROM placed)
+        SELECT id, place // 32 AS batch_id, CAST(place % 32 AS INTEGER) AS batch_pos, CAST(width AS INTEGER) AS width,
+        array_to_string((ids || list_transform(range(width), lambda i: 0))[1:width], ',') AS ids,
+        url_end + 1 >= width OR greatest(a_end, b_end, p_end) + 1 >= width AS truncated_span,
+        {', '.join(f'{c.strip()} + 1 AS {c.strip()}' for c in _SPANS.split(','))} FROM wide JOIN segs_marked USING (id)""",
+    "encode_layers": """SELECT id, pos, token_id, CAST(8 AS INTEGER) AS n_values, CAST(token_id % 97 * 7 AS DOUBLE) AS v_first,
+        CAST(token_id * 4 % 97 AS DOUBLE) AS v_last,
+        CAST((token_id % 97 + token_id * 2 % 97 + token_id * 3 % 97 + token_id * 4 % 97) * 8 AS DOUBLE) AS v_all
+        FROM enc WHERE token_id > 0""",
     "name_gender_lexicon": "SELECT name, gender FROM lex",
     "stratified_folds": "SELECT id, target, fold FROM folded",
     "stratified_folds_ordered": f"""SELECT id, target, CAST(ntile({K}) OVER (PARTITION BY target ORDER BY id) - 1 AS INTEGER) AS fold

@@ -1,4 +1,5 @@
 import os
+import random
 
 import pytest
 from pyspark.ml.linalg import Vectors
@@ -36,6 +37,28 @@ def test_fit_save_load_predict(spark, split):
     assert loss.n == 60 and loss.loss < 0.3
 
 
+def test_names_that_change_places_change_probabilities(spark):
+    """Fitted on rows in which A is right more often than B, the scorer still treats both names alike."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(400):
+        target = rng.choices([0, 1, 2], [6, 2, 1])[0]
+        a, b = [[(target == c) * 1.0 + rng.gauss(0, 0.4), rng.gauss(0, 1)] for c in (0, 1)]
+        rows.append((i, target, i % 5, Vectors.dense(a + b), Vectors.dense(b + a)))
+    df = spark.createDataFrame(rows, ["id", "target", "fold", "features", "swapped"])
+    model = scoring.fit_scorer(df, fold=0, reg=0.001)
+    turned = df.select("id", "target", "fold", F.col("swapped").alias("features"), F.col("features").alias("swapped"))
+    ours = {r.id: r for r in scoring.with_probabilities(scoring.predict(model, df)).collect()}
+    for r in scoring.with_probabilities(scoring.predict(model, turned)).collect():
+        own = ours[r.id]
+        assert (r.pr_a, r.pr_b) == pytest.approx((own.pr_b, own.pr_a), abs=1e-12)
+        assert r.pr_neither == pytest.approx(own.pr_neither, abs=1e-12)
+    scored = scoring.with_probabilities(scoring.predict(model, df))
+    assert metrics.log_loss(scored, by=None).first().loss < 0.8
+    oof, ensemble, losses, _ = scoring.cross_validate(df, df, 2, max_iter=10)
+    assert ensemble.columns == ["id", *scoring.CLASSES] and "swapped" not in oof.columns and losses.count() == 4
+
+
 def test_cross_validation(split):
     train, test = split
     oof, ensemble, losses, models = scoring.cross_validate(train, test, 5, max_iter=15)

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from antecede.operators import training_log as tl
 from brute import stop_point
@@ -39,6 +40,25 @@ def test_stop_points_match_a_walk(spark, runs, patience, chunk):
     assert got == {run: stop_point(losses, patience, 1e-4) for run, losses in runs.items()}
 
 
+def test_a_long_run_has_no_long_row(spark, monkeypatch):
+    """300,000 steps in 9,375 chunks: no row lists more than 64 of them."""
+    seen = []
+    compose = tl._composed
+
+    def watched(tables):
+        out = compose(tables)
+        listed = tables.groupBy("run", F.floor(F.col("_chunk") / tl.FAN)).count().agg(F.max("count")).first()[0]
+        seen.append((listed, out.count()))
+        return out
+
+    monkeypatch.setattr(tl, "_composed", watched)
+    steps = spark.range(1, 300_001).select(F.lit(1).alias("run"), F.col("id").cast("int").alias("step"))
+    falling = steps.withColumn("loss", F.when(F.col("step") <= 200_000, 400_000 - F.col("step")).otherwise(F.lit(1e6)).cast("double"))
+    got = tl.early_stop_point(falling.withColumn("n", F.lit(1)), 8, 1e-4, 32).first()
+    assert (got.stop_step, got.best_step, got.best_loss) == (200_009, 200_000, 200_000.0)
+    assert [n for _, n in seen] == [147, 3, 1] and max(n for n, _ in seen) <= 64
+
+
 @pytest.mark.parametrize("n, chunk", [(1, 1), (5, 2), (40, 64), (300, 4096)])
 def test_rolling_loss_across_chunks(spark, runs, n, chunk):
     log = make_log(spark, runs)

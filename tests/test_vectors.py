@@ -4,6 +4,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from antecede.operators import scoring, sequences, vectors
+from antecede.session import bucketed
 
 
 def test_vocab_and_ids(spark):
@@ -34,6 +35,34 @@ def test_encoding_shuffles_rows_once(spark):
     assert plan.count("Exchange hashpartitioning") == 1
 
 
+def test_postings_move_once_a_row_and_token(spark):
+    """Two exchanges of rows when the vocabulary is joined, and a frequent token is one row of them."""
+    text = ["the"] * 500 + ["cat", "the", None, "", "cat"]
+    rows = spark.createDataFrame([(1, text, "x"), (2, None, "y"), (3, [], None)], "id long, tokens array<string>, note string")
+    vocab = spark.createDataFrame([("the", 7), ("cat", 8), ("[CLS]", 101), ("[SEP]", 102)], "token string, token_id int")
+    coded = sequences.encode_tokens(rows, vocab.hint("merge"), sep=True)
+    got = {r.id: (r.ids, r.note) for r in coded.collect()}
+    assert got == {1: ([101] + [7] * 500 + [8, 7, 100, 100, 8, 102], "x"), 2: ([101, 102], "y"), 3: ([101, 102], None)}
+    plan = coded._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning(token") == 2 and plan.count("Exchange hashpartitioning(id") == 1
+    posted = rows.select("id", F.size(sequences._postings(F.coalesce("tokens", F.array().cast("array<string>")))).alias("n"))
+    assert {r.id: r.n for r in posted.filter("id = 1").collect()} == {1: 3}
+
+
+def test_batches_of_even_length(spark):
+    df = spark.range(1000).select("id", (F.col("id") * 7919 % 211 + 1).cast("int").alias("n"))
+    placed = sequences.length_batches(df, 32)
+    rows = placed.collect()
+    order = sorted(rows, key=lambda r: (r.batch_id, r.batch_pos))
+    assert [r.n for r in order] == sorted(r.n for r in rows) and [r.batch_pos for r in order] == [i % 32 for i in range(1000)]
+    even = sequences.padding(placed, []).first()
+    plain = sequences.padding(df.withColumn("batch_id", F.floor(F.col("id") / 32)), []).first()
+    width = lambda b: max(r.n for r in rows if r.batch_id == b)
+    assert even.n_padding == sum(width(r.batch_id) - r.n for r in rows) and even.n_tokens == plain.n_tokens
+    assert even.share < plain.share / 2
+    assert sequences.length_batches(df.limit(0)).count() == 0
+
+
 def test_padding(spark):
     rows = [(1, 0, [5] * 3, (1, 1)), (2, 0, [5] * 7, (5, 5)), (3, 1, [5] * 2, (0, 0))]
     df = spark.createDataFrame(rows, "id long, batch_id long, ids array<int>, spans struct<a_start:int,a_end:int>")
@@ -90,6 +119,44 @@ def test_span_mean_pool_from_encoder_rows(spark):
     assert got == {"A": [1.5, 1.0], "P": [4.0, 1.0], "B": [5.0, 1.0]}
 
 
+@pytest.fixture()
+def no_broadcast(spark):
+    """Plans as they are when no side is small."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    yield
+    spark.conf.set(key, before)
+
+
+def test_vectors_outside_mentions_are_not_shuffled(spark, no_broadcast):
+    """Encoder output bucketed by id is read in place: only the texts are shuffled."""
+    text = "Anna saw he Bo"
+    m = [(i, text, "he", 9, "Anna", 0, "Bo", 12) for i in range(30)]
+    m = spark.createDataFrame(m, "id long, text string, pronoun string, p_off int, a string, a_off int, b string, b_off int")
+    toks = "[CLS] An ##na saw he Bo [SEP]".split()
+    tv = spark.createDataFrame(
+        [(k, i, t, [float(i), float(k)]) for k in range(30) for i, t in enumerate(toks)],
+        "id long, pos int, token string, vector array<float>",
+    )
+    stored = bucketed(tv.repartition(4, "id"), "id", "stored", 4)
+    pooled = vectors.span_mean_pool(m, stored)
+    got = {(r.id, r.span): r.vector for r in pooled.collect()}
+    assert got == {(k, s): [v, float(k)] for k in range(30) for s, v in (("A", 1.5), ("P", 4.0), ("B", 5.0))}
+    plan = pooled._jdf.queryExecution().executedPlan().toString()
+    ran = plan.split("Initial Plan")[0].splitlines()
+    scans = [line for line in ran if "Bucketed: true" in line]
+    moved = [i for i, line in enumerate(ran) if "Exchange" in line and "Reused" not in line]
+    assert len(scans) == 2 and sum("vector" in line.partition("[")[2].partition("]")[0] for line in scans) == 1
+    depth = lambda line: len(line) - len(line.lstrip(" :+-*(0123456789)"))
+    assert moved
+    for at in moved:  # what is below an exchange has no vector
+        for line in ran[at + 1 :]:
+            if depth(line) <= depth(ran[at]):
+                break
+            assert "vector" not in line and "stored" not in line
+
+
 @pytest.fixture()
 def rows(spark):
     data = [(1, "A", 0, [1.0, 2.0]), (1, "A", 1, [3.0, 4.0]), (1, "B", 4, [0.5, -1.0]), (1, "P", 6, [2.0, 2.0])]
@@ -128,9 +195,9 @@ def test_distance_embedding(spark):
 
 
 def test_encoders_agree(spark):
-    table = np.random.default_rng(1).normal(size=(50, 3))
+    table = np.random.default_rng(1).normal(size=(50, 3)).astype(np.float32)
     df = spark.createDataFrame([(i, [101 % 50, i % 50, (i * 7) % 50, 0][: 2 + i % 3]) for i in range(90)], "id long, ids array<int>")
-    lookup = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(table)], "token_id int, vector array<double>")
+    lookup = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(table)], "token_id int, vector array<float>")
 
     def load():
         return lambda ids, mask: table[ids] * mask[:, :, None]
@@ -161,6 +228,27 @@ def test_windows_cover_every_token_once(spark, width, overlap):
         vectors.encode_batches(df, encoder, 4, 4)
 
 
+def test_model_with_layers(spark):
+    """All layers of a plug-in arrive as floats, in windows, and layers are picked from them."""
+    df = spark.createDataFrame([(i, [3 + i % 7, 5, (i * 7) % 50 + 1, 0][: 2 + i % 3]) for i in range(40)] + [(99, [])], "id long, ids array<int>")
+
+    def load():
+        return lambda ids, mask: np.stack([np.stack([ids * (k + 1), ids + k], axis=-1) for k in range(8)])
+
+    encoder = vectors.model_encoder(load, "id", "long", batch_size=8, layers=True)
+    coded = vectors.encode_batches(df, encoder)
+    assert coded.schema["layers"].dataType.simpleString() == "array<struct<values:array<float>>>"
+    got = {(r.id, r.pos): r.vector for r in vectors.select_layers(coded, [-6, 0]).collect()}
+    want = {}
+    for r in df.collect():
+        for pos, t in enumerate(r.ids):
+            if t > 0:
+                want[r.id, pos] = [t * 3.0, t + 2.0, float(t), float(t)]
+    assert got == want
+    wide = vectors.encode_batches(df, vectors.model_encoder(load, "id", batch_size=8, layers=True), width=2, overlap=0)
+    assert {(r.id, r.pos): r.vector for r in vectors.select_layers(wide, [-6, 0]).collect()} == want
+
+
 def test_topk_needs_k_snapshots(spark):
     snaps = spark.createDataFrame([(1, s, float(s)) for s in range(3)], "run int, step int, loss double")
     pred = spark.createDataFrame([(1, s, 9, s / 10, 0.2, 0.3) for s in range(3)], "run int, step int, id long, pr_a double, pr_b double, pr_neither double")
