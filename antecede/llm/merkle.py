@@ -98,7 +98,7 @@ def _climb(nodes: DataFrame) -> list[DataFrame]:
 
 def _above(rounds: list[DataFrame]) -> DataFrame:
     """(tree, pos, upper): for every block of the first round, the path from its root to the tree's."""
-    root = rounds[-1].filter("top is not null").select("tree", F.lit(0).cast("long").alias("pos"))
+    root = rounds[-1].filter("top is not null").select("tree", F.shiftright("pos", BITS).alias("pos"))
     out = root.withColumn("upper", F.array().cast(_PATH))
     for own in reversed(rounds[1:]):
         higher = out.select("tree", F.col("pos").alias("_above"), "upper")
