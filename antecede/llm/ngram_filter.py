@@ -1,18 +1,22 @@
 """Language-model scores from a log-frequency Bloom filter of quantised n-gram counts.
 
-Words and word pairs of the training texts are counted, and each count c is kept as its level
-1 + floor(log2 c): an n-gram is put into a Bloom filter once for each level up to its own. Its
+Word pairs of the training texts are counted, and each count c is kept as its level
+1 + floor(log2 c): a pair is put into a Bloom filter once for each level up to its own. Its
 level is read back by probing for level 1, 2, ... until one is missing, so a count may come out
-too high, at a rate the filter's size fixes, and never too low. A level stands for the mean
-count of the training n-grams that have it.
+too high, at a rate the filter's bits for each entry fix, and never too low. A level stands for the mean
+count of the training pairs that have it. Counts of single words are not quantised, as the base
+score needs them exactly anyway: those of the most frequent words are broadcast, a table of bounded size, and
+those of all others are joined.
 """
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
 from antecede.llm import words as W
@@ -25,11 +29,7 @@ LEVELS = 40
 SHARD_BYTES = 8 << 20
 #: Bytes of word-pair filter that are broadcast at a time; more are scored in further passes.
 PART_BYTES = 96 << 20
-#: Largest filter of single words, which every pass needs whole. Up to about 100 million words it has
-#: ``BITS`` for each entry; with more words entries get fewer bits, and levels of rare words are
-#: read too high more often.
-WORD_FILTER_BYTES = 128 << 20
-#: Words whose exact counts are broadcast, the most frequent ones; others go by joins and levels.
+#: Words whose counts are broadcast, the most frequent ones; those of others are joined.
 HEAD_WORDS = 1 << 20
 #: Weights of the single-word model against a pair's count, of which the best one is taken.
 PRIORS = (1.0, 10.0, 100.0, 1e3, 1e4, 1e5, 1e6, 1e8)
@@ -154,7 +154,7 @@ def _packed_pairs(training: DataFrame, shards: int) -> DataFrame:
 _SLICE = "shard long, size long, bits binary, level_n array<long>, level_c array<long>"
 
 
-def _slice(shard: int, hashes: np.ndarray, counts: np.ndarray, bits: float = BITS) -> pa.Table:
+def _slice(shard: int, hashes: np.ndarray, counts: np.ndarray, bits: float) -> pa.Table:
     levels = np.minimum(np.floor(np.log2(counts)).astype(np.int64) + 1, LEVELS)
     size, filled = Filter.fill(hashes, levels, bits)
     n = np.bincount(levels, minlength=LEVELS + 1)
@@ -170,7 +170,7 @@ def _slice(shard: int, hashes: np.ndarray, counts: np.ndarray, bits: float = BIT
     )
 
 
-def _pair_slices(training: DataFrame, shards: int) -> DataFrame:
+def _pair_slices(training: DataFrame, shards: int, bits: float) -> DataFrame:
     """One row per shard: its part of the filter, and how many pairs and tokens each level has."""
 
     def build(rows: pa.Table) -> pa.Table:
@@ -179,21 +179,11 @@ def _pair_slices(training: DataFrame, shards: int) -> DataFrame:
         order = np.argsort(hashes)
         hashes, counts = hashes[order], counts[order].astype(np.int64)
         first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
-        return _slice(rows.column("shard")[0].as_py(), hashes[first], np.add.reduceat(counts, first))
+        return _slice(rows.column("shard")[0].as_py(), hashes[first], np.add.reduceat(counts, first), bits)
 
     return _packed_pairs(training, shards).groupBy("shard").applyInArrow(build, _SLICE)
 
 
-def _word_slices(words: DataFrame, shards: int, bits: float) -> DataFrame:
-    def build(rows: pa.Table) -> pa.Table:
-        hashes = rows.column("h").to_numpy().view(np.uint64)
-        return _slice(rows.column("shard")[0].as_py(), hashes, rows.column("c").to_numpy(), bits)
-
-    # An unsigned remainder, as tasks take it.
-    rest = F.expr(f"pmod(pmod(shiftrightunsigned(h, 1), {shards}) * 2 + (h & 1), {shards})").alias("shard")
-    return words.select(rest, "h", "c").groupBy("shard").applyInArrow(build, _SLICE)
-
-
 def _collected(slices: DataFrame, shards: int, low: int, high: int) -> Filter:
     """The shards from ``low`` up to ``high`` as one filter; the others are empty in it."""
     rows = slices.filter(F.col("shard").between(low, high - 1)).select("shard", "size", "bits").orderBy("shard").toArrow()
@@ -220,66 +210,77 @@ def _level_means(slices: DataFrame) -> np.ndarray:
     return means
 
 
+def _tails(docs: DataFrame, rare: DataFrame, head: Broadcast) -> DataFrame:
+    """(mark, tail): the words of each text that are not in the head, with their counts.
+
+    Texts are told apart by a hash, ``mark``, so copies of one are looked up once, and a row lists
+    the words of one text at most. Words that training does not have are left out.
+    """
+
+    def work(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        tokens, bounds = _tokens(part.column(1))
+        held = head.value[0]
+        place, found = pd.factorize(tokens.view(np.int64))
+        found = found.view(np.uint64)
+        at = np.minimum(np.searchsorted(held, found), max(len(held) - 1, 0))
+        beyond = (held[at] != found) if len(held) else np.ones(len(found), bool)
+        lists = [np.unique(tokens[a:z][beyond[place[a:z]]]).view(np.int64) for a, z in zip(bounds, bounds[1:])]
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lists, pa.list_(pa.int64()))], names=["mark", "words"])
+
+    found = docs.select("mark", "text").mapInArrow(W.map_runs(work, max_bytes=_SLICE_BYTES), "mark string, words array<long>")
+    once = found.filter(F.size("words") > 0).groupBy("mark").agg(F.first("words").alias("words"))
+    listed = once.select("mark", F.explode("words").alias("h")).join(rare, "h")
+    return listed.groupBy("mark").agg(F.collect_list(F.struct("h", "c")).alias("tail"))
+
+
 class Model:
-    """What a task needs to score texts with one part of the word-pair filter."""
+    """What a task needs to score texts with one part of the filter."""
 
-    def __init__(self, head, words, word_means, pairs, pair_means, shards, word_shards, low, high, n, v, n1):
+    def __init__(self, head: tuple[np.ndarray, np.ndarray], part: "Part"):
         self.head_hashes, self.head_counts = head
-        self.words, self.word_means, self.word_shards = words, word_means, word_shards
-        self.pairs, self.pair_means, self.shards = pairs, pair_means, shards
-        self.low, self.high = low, high
-        self.n, self.v = n, v
-        #: The chance of a word that was never seen: that of one seen once, by Good and Turing.
-        self.unseen = min(max(n1 / n, 1e-9), 0.5) if n else 1.0
+        self.part = part
 
-    def _words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts of distinct words, and whether each is exact."""
-        if len(self.head_hashes):
-            at = np.minimum(np.searchsorted(self.head_hashes, hashes), len(self.head_hashes) - 1)
-            exact = self.head_hashes[at] == hashes
-            counts = np.where(exact, self.head_counts[at], 0).astype(np.float64)
-        else:
-            exact, counts = np.zeros(len(hashes), bool), np.zeros(len(hashes))
-        rest = np.flatnonzero(~exact)
-        shards = (hashes[rest] % np.uint64(max(self.word_shards, 1))).astype(np.int64)
-        counts[rest] = self.word_means[self.words.levels(hashes[rest], shards)]
-        return counts, exact
+    def _words(self, hashes: np.ndarray, tail: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """Counts of distinct words, from the head and from what the texts bring along."""
+        counts = np.zeros(len(hashes))
+        for known, own in ((self.head_hashes, self.head_counts), tail):
+            if len(known):
+                at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                counts += np.where(known[at] == hashes, own[at], 0)
+        return counts
 
     def _single(self, counts: np.ndarray) -> np.ndarray:
-        return np.where(counts > 0, (1 - self.unseen) * counts / max(self.n, 1), self.unseen)
+        return np.where(counts > 0, (1 - self.part.unseen) * counts / max(self.part.n, 1), self.part.unseen)
 
-    def score(self, column: pa.Array, held: np.ndarray) -> dict[str, np.ndarray | pa.Array]:
+    def score(self, column: pa.Array, held: np.ndarray, tails: pa.Array) -> dict[str, np.ndarray]:
         """Sums over the tokens of this part, for every text of a slice."""
         tokens, bounds = _tokens(column)
         before = _contexts(tokens, bounds)
         text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
         pairs = _pairs(before, tokens)
-        shards = (pairs % np.uint64(self.shards)).astype(np.int64)
-        own = np.flatnonzero((shards >= self.low) & (shards < self.high))
+        part = self.part
+        shards = (pairs % np.uint64(part.shards)).astype(np.int64)
+        own = np.flatnonzero((shards >= part.low) & (shards < part.high))
         if own.size < len(tokens):
             tokens, before, text, pairs, shards = (x[own] for x in (tokens, before, text, pairs, shards))
         texts = len(bounds) - 1
+        listed = tails.flatten()
+        known, first = np.unique(listed.field("h").to_numpy().view(np.uint64), return_index=True)
+        tail = known, listed.field("c").to_numpy()[first]
         place, distinct = pd.factorize(np.concatenate([tokens, before]).view(np.int64))
         distinct = distinct.view(np.uint64)
-        counts, exact = self._words(distinct)
-        counts_of_begin = self._words(np.array([_END], np.uint64))[0][0]
-        context_counts = np.where(distinct == _BEGIN, counts_of_begin, counts)
+        counts = self._words(distinct, tail)
+        context_counts = np.where(distinct == _BEGIN, part.ends, counts)
         word, context = place[: len(tokens)], place[len(tokens) :]
         c1, ch = counts[word], context_counts[context]
-        c2 = np.minimum(self.pair_means[self.pairs.levels(pairs, shards)], np.minimum(c1, ch))
+        c2 = np.minimum(part.means[part.pairs.levels(pairs, shards)], np.minimum(c1, ch))
 
         total = lambda x: np.bincount(text, x, texts).astype(np.float64)
         out: dict = {"n_tokens": np.bincount(text, minlength=texts)}
-        known = exact[word]
-        floor = self.n + 0.1 * (self.v + 1)
-        out["n_known"] = np.bincount(text[known], minlength=texts)
+        floor = part.n + 0.1 * (part.v + 1)
+        out["n_known"] = np.bincount(text[c1 > 0], minlength=texts)
         logs = np.log10((counts + 0.1) / floor) if floor > 0 else np.zeros(len(counts))
-        out["base"] = np.bincount(text[known], logs[word[known]], texts).astype(np.float64)
-        # The words whose exact count must be looked up.
-        tail = np.flatnonzero(~known)
-        tail = tail[np.argsort(text[tail], kind="stable")]
-        ends = np.concatenate([[0], np.cumsum(np.bincount(text[tail], minlength=texts))]).astype(np.int32)
-        out["tail"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens[tail].view(np.int64)))
+        out["base"] = total(logs[word])
         single = self._single(counts)[word]
         # Without this one occurrence, to choose the prior on training texts.
         trained = ~held[text]
@@ -291,25 +292,37 @@ class Model:
         return out
 
 
+class Part:
+    """A part of the filter: its shards from ``low`` up to ``high``, and what the formula needs besides."""
+
+    def __init__(self, pairs: Filter, means: np.ndarray, shards: int, low: int, high: int, n: int, v: int, n1: int, ends: int):
+        self.pairs, self.means = pairs, means
+        self.shards, self.low, self.high = shards, low, high
+        self.n, self.v, self.ends = n, v, ends
+        #: The chance of a word that was never seen: that of one seen once, by Good and Turing.
+        self.unseen = min(max(n1 / n, 1e-9), 0.5) if n else 1.0
+
+
 def score_documents(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: held_out, n_tokens, n_known, train_tokens, base_score, score, prior.
 
     Texts are lower-cased (A-Z), their tokens are words and one end. Training texts are those
     that ``held_out`` is not true for. ``base_score`` is the sum of log10((c + 0.1) / (N + 0.1 (V + 1)))
     by exact training counts: the most frequent words' are broadcast (at most ``HEAD_WORDS``),
-    those of all others are joined. ``n_known`` counts tokens with c > 0.
+    those of all others come with the text, by a join. ``n_known`` counts tokens with c > 0.
 
     ``score`` is the sum of log10 (c(h, w) + prior * p(w)) / (c(h) + prior), where h is the word
-    before; p(w) is the share of w less that of unseen words, which get the Good-Turing share together.
-    Counts of pairs and of rarer words are read from the filter. ``prior`` is the one of
-    ``PRIORS`` that serves the training texts best when each token is left out of its own counts.
-
-    The filter of pairs is built by shard, each sized to its entries, so it grows with the
-    training texts; it is broadcast in parts of at most ``PART_BYTES``, and each part scores the
-    tokens whose pair it is in charge of, in one pass. Null texts count as empty (one end).
-    Rows of one key are scored as one document; a null key is a key. An empty table gives an
-    empty table; without training texts N and V are 0, nothing is known and scores are those of
-    an unseen word each.
+    before (the begin of a text counts as often as its end); p(w) is the share of w less that of unseen
+    words, which get the Good-Turing share together. c(h, w) is read from the filter, and is no more
+    than c(h) or c(w). ``prior`` is the one of ``PRIORS`` that serves the training texts best when
+    each token is left out of its own counts.
+
+    The filter is built by shard, with ``BITS`` for each entry at every size, so it grows with the
+    training texts; it is broadcast in parts of at most ``PART_BYTES``, one after the other, and each part scores the
+    tokens whose pair it is in charge of, in one pass. Null texts count as empty (one end); a text
+    of any length is scored in one slice, in some 200 bytes a token. Rows of one key are scored as one document; a
+    null key is a key. Other columns play no part. An empty table gives an empty table; without training texts N
+    and V are 0, nothing is known and scores are those of an unseen word each.
     """
     named = docs.select(
         F.col(f"`{key}`").alias("doc_id"),
@@ -318,12 +331,14 @@ def score_documents(docs: DataFrame, held_out: Column, key: str = "doc_id", text
     )
     training = named.filter(~F.col("held_out"))
     words = written(count_words(training), "words")
+    context = docs.sparkSession.sparkContext
 
     # Frequent words: a threshold from the numbers of words by size of count.
     size = F.floor(F.log2("c") * _STEP)
     by_size = words.groupBy(size.alias("size")).agg(F.count(F.lit(1)), F.sum("c")).collect()
     n, v = sum(r[2] for r in by_size), sum(r[1] for r in by_size)
     n1 = sum(r[1] for r in by_size if r[0] == 0)
+    ends = words.filter(F.col("h") == int(_END.view(np.int64))).agg(F.sum("c")).first()[0] or 0
     least, room = math.inf, HEAD_WORDS
     for at, count, _ in sorted(by_size, reverse=True):
         room -= count
@@ -333,73 +348,52 @@ def score_documents(docs: DataFrame, held_out: Column, key: str = "doc_id", text
     is_head = (size >= least) if least < math.inf else F.lit(False)
     top = words.filter(is_head).toArrow()
     order = np.argsort(top.column("h").to_numpy().view(np.uint64))
-    head = (top.column("h").to_numpy().view(np.uint64)[order], top.column("c").to_numpy()[order])
+    head = context.broadcast((top.column("h").to_numpy().view(np.uint64)[order], top.column("c").to_numpy()[order]))
     rare = words.filter(~is_head)
-    word_shards = max(1, -(-(v - len(head[0])) // (1 << 20)))
-    entries = sum(r[1] * (1 + r[0] // _STEP) for r in by_size if r[0] < least)
-    bits = min(BITS, WORD_FILTER_BYTES * 8 / max(entries, 1))
-    word_slices = written(_word_slices(rare, word_shards, bits), "word-filter")
-    word_means = _level_means(word_slices)
-    word_filter = _collected(word_slices, word_shards, 0, word_shards)
+    no_tail = F.lit(None).cast("array<struct<h:bigint,c:bigint>>")
+    asked = named.withColumn("tail", no_tail)
+    if top.num_rows < v:
+        marked = named.withColumn("mark", F.md5("text"))
+        asked = written(marked.join(_tails(marked, rare, head), "mark", "left").drop("mark"), "asked")
 
     volume = training.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-volume // SHARD_BYTES))
-    slices = written(_pair_slices(training, shards), "pair-filter")
-    pair_means = _level_means(slices)
+    slices = written(_pair_slices(training, shards, BITS), "pair-filter")
+    means = _level_means(slices)
     filter_bytes = (slices.agg(F.sum("size")).first()[0] or 0) // 8
     parts = max(1, -(-filter_bytes // PART_BYTES))
     edges = [round(i * shards / parts) for i in range(parts + 1)]
 
     sums = ["n_tokens", "n_known", "base", *[f"{x}{k}" for k in range(len(PRIORS)) for x in "sl"]]
     kind = named.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, held_out boolean, tail array<long>, n_tokens long, n_known long, " + ", ".join(
+    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, " + ", ".join(
         f"{c} double" for c in sums[2:]
     )
-    scored = None
+    passes = []
     for low, high in zip(edges, edges[1:]):
-        pairs = _collected(slices, shards, low, high)
-        model = Model(
-            head, word_filter, word_means, pairs, pair_means, shards, word_shards, low, high, n, v, n1
-        )
-        shared = docs.sparkSession.sparkContext.broadcast(model)
-
-        def work(part: pa.RecordBatch, shared=shared) -> Iterator[pa.RecordBatch]:
-            held = part.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            found = shared.value.score(part.column(1), held)
-            columns = [part.column(0), part.column(2), found["tail"], *[pa.array(found[c]) for c in sums]]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "tail", *sums])
-
-        own = named.mapInArrow(W.map_runs(work, max_bytes=_SLICE_BYTES), schema)
-        scored = own if scored is None else scored.unionByName(own)
-    scored = written(scored, "scored")
+        part = Part(_collected(slices, shards, low, high), means, shards, low, high, n, v, n1, ends)
+        shared = context.broadcast(part)
+        del part
+
+        def work(rows: pa.RecordBatch, shared=shared) -> Iterator[pa.RecordBatch]:
+            held = rows.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            found = Model(head.value, shared.value).score(rows.column(1), held, rows.column(3))
+            columns = [rows.column(0), rows.column(2), *[pa.array(found[c]) for c in sums]]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", *sums])
+
+        own = asked.select("doc_id", "text", "held_out", "tail")
+        passes.append(written(own.mapInArrow(W.map_runs(work, max_bytes=_SLICE_BYTES), schema), "scored"))
+        shared.destroy()
+    scored = reduce(DataFrame.unionByName, passes)
 
     totals = scored.agg(*[F.sum(f"l{k}") for k in range(len(PRIORS))]).first()
     best = max(range(len(PRIORS)), key=lambda k: totals[k] if totals[k] is not None else 0.0)
-    floor = float(n + 0.1 * (v + 1))
-    counts = rare.withColumnRenamed("c", "_c")
-    tails = scored.select("doc_id", F.explode("tail").alias("h")).groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("_n"))
-    tails = (
-        tails.join(counts, "h", "left")
-        .withColumn("_c", F.coalesce("_c", F.lit(0)))
-        .groupBy("doc_id")
-        .agg(
-            F.sum(F.col("_n") * F.log10((F.col("_c") + 0.1) / floor)).alias("_base"),
-            F.sum(F.when(F.col("_c") > 0, F.col("_n")).otherwise(0)).alias("_known"),
-        )
-        .withColumnRenamed("doc_id", "_id")
-    )
-    whole = scored.groupBy("doc_id").agg(
+    return scored.groupBy("doc_id").agg(
         F.max("held_out").alias("held_out"),
-        *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base")],
-        F.sum(f"s{best}").alias("score"),
-    )
-    return whole.join(tails, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("_known", F.lit(0))).alias("n_known"),
+        F.sum("n_tokens").alias("n_tokens"),
+        F.sum("n_known").alias("n_known"),
         F.lit(int(n)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("_base", F.lit(0.0))).alias("base_score"),
-        "score",
+        F.sum("base").alias("base_score"),
+        F.sum(f"s{best}").alias("score"),
         F.lit(PRIORS[best]).alias("prior"),
     )

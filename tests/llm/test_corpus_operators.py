@@ -232,19 +232,62 @@ def test_parts_of_the_filter_give_the_same_scores(spark, plain_rows, monkeypatch
     more = score(spark, plain_rows)
     monkeypatch.setattr(ngram_filter, "PART_BYTES", 15_000)
     parts = score(spark, plain_rows)
+    monkeypatch.setattr(ngram_filter, "HEAD_WORDS", 300)
+    joined = score(spark, plain_rows)
     for key, r in whole.items():
+        assert joined[key].score == pytest.approx(parts[key].score, rel=1e-9)
         assert parts[key].score == pytest.approx(more[key].score, rel=1e-9)
         assert parts[key].n_tokens == r.n_tokens and parts[key].base_score == pytest.approx(r.base_score)
         assert r.score < 0 and more[key].score == pytest.approx(r.score, rel=0.05)
 
 
-def test_small_word_filter_changes_estimates_only(spark, plain_rows, monkeypatch):
-    monkeypatch.setattr(ngram_filter, "HEAD_WORDS", 100)
-    monkeypatch.setattr(ngram_filter, "WORD_FILTER_BYTES", 500)
-    got = score(spark, plain_rows)
-    for key, want in base_scores(plain_rows).items():
-        assert (got[key].n_known, got[key].n_tokens) == (want[2], want[1])
-        assert got[key].base_score == pytest.approx(want[4], rel=1e-9) and got[key].score < 0
+def plain_scores(rows, priors=ngram_filter.PRIORS):
+    """doc_id -> score by the formula, on exact counts of words and level means of exact counts of pairs."""
+    tokens = {key: [*words(text), "end"] for key, text in rows}
+    train = [key for key in tokens if not held_out(key)]
+    c1 = Counter(t for key in train for t in tokens[key])
+    before = {key: ["begin", *tokens[key][:-1]] for key in tokens}
+    c2 = Counter(p for key in train for p in zip(before[key], tokens[key]))
+    sums = {}
+    for c in c2.values():
+        total = sums.setdefault(c.bit_length(), [0, 0])
+        total[0], total[1] = total[0] + 1, total[1] + c
+    mean = {level: c / n for level, (n, c) in sums.items()}
+    n, n1 = sum(c1.values()), sum(c == 1 for c in c1.values())
+    unseen = min(max(n1 / n, 1e-9), 0.5)
+    single = lambda c: (1 - unseen) * c / n if c > 0 else unseen
+
+    def score(key, prior, out):
+        total = 0.0
+        for h, w in zip(before[key], tokens[key]):
+            own, ch = c1[w], c1["end"] if h == "begin" else c1[h]
+            pair = min(mean[c2[h, w].bit_length()], own, ch) if c2[h, w] else 0
+            total += log10((max(pair - out, 0) + prior * single(max(own - out, 0))) / (max(ch - out, 0) + prior))
+        return total
+
+    best = max(priors, key=lambda prior: sum(score(key, prior, 1) for key in train))
+    return {key: score(key, best, 0) for key in tokens}, best
+
+
+@pytest.mark.parametrize("head", [1 << 20, 300])
+def test_scores_equal_the_formula(spark, plain_rows, monkeypatch, head):
+    """With so many bits that the filter makes no error, whether words are broadcast or joined."""
+    monkeypatch.setattr(ngram_filter, "BITS", 512)
+    monkeypatch.setattr(ngram_filter, "HEAD_WORDS", head)
+    rows = [*plain_rows, (90001, ""), (90002, None), (90003, "the " * 3000), (90004, "unheard-of")]
+    got = score(spark, rows)
+    want, prior = plain_scores(rows)
+    assert {r.prior for r in got.values()} == {prior}
+    for key, own in want.items():
+        assert got[key].score == pytest.approx(own, rel=1e-9)
+
+
+def test_a_very_long_text_is_scored(spark):
+    long = " ".join(f"w{i % 5000}" for i in range(60_000))
+    rows = [(1, long), (2, "w1 w2"), (3, long + " w1")]
+    for key, want in base_scores(rows).items():
+        r = score(spark, rows)[key]
+        assert (r.n_tokens, r.n_known) == want[1:3] and r.base_score == pytest.approx(want[4], rel=1e-9)
 
 
 def test_model_is_better_than_base_on_held_out_texts(spark):
