@@ -37,22 +37,31 @@ def license_scan(notices: dict[str, str] = licenses.NOTICES) -> str:
     quote = lambda x: "'" + x.replace("'", "''") + "'"
     listed = ", ".join(f"({quote(name)}, {quote(text)})" for name, text in notices.items())
     plain = f"translate(coalesce(text, ''), {quote(licenses.FROM)}, {quote(licenses.TO)})"
-    words_ = f"regexp_extract_all({plain}, '[^\\x20\\x09-\\x0D]+')"
+    words_ = f"list_filter(regexp_extract_all({plain}, '[^\\x20\\x09-\\x0D]+'), lambda w: translate(w, {quote(licenses.MARKS)}, '') <> '')"
     runs = "unnest(CASE WHEN len(w) >= 5 THEN list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' ')) ELSE [] END)"
     return f"""
 WITH notice AS (
   SELECT DISTINCT license, {runs} AS s
   FROM (SELECT license, {words_} AS w FROM (VALUES {listed}) t(license, text))
 ), whole AS (SELECT license, count(*) AS n_notice FROM notice GROUP BY license),
-run AS (
+near AS (SELECT DISTINCT a.license, b.license AS other FROM notice a JOIN notice b ON a.s = b.s AND a.license <> b.license),
+apart AS (
+  SELECT n.license, near.other, n.s FROM near JOIN notice n USING (license)
+  WHERE NOT EXISTS (SELECT 1 FROM notice o WHERE o.license = near.other AND o.s = n.s)
+), run AS (
   SELECT doc_id, {runs} AS s, {runs.replace("array_to_string(w[i:i + 4], ' ')", "i - 1")} AS word
   FROM (SELECT doc_id, {words_} AS w FROM documents)
-), found AS (
-  SELECT doc_id, license, count(DISTINCT run.s) AS n_shared, min(word) AS first_word
-  FROM run JOIN notice ON run.s = notice.s GROUP BY doc_id, license
+), hit AS (SELECT doc_id, license, run.s, min(word) AS word FROM run JOIN notice ON run.s = notice.s GROUP BY doc_id, license, run.s),
+found AS (
+  SELECT doc_id, license, count(*) AS n_shared, min(word) AS first_word, n_notice
+  FROM hit JOIN whole USING (license) GROUP BY doc_id, license, n_notice HAVING 5 * count(*) >= 4 * n_notice
+), told AS (
+  SELECT f.doc_id, f.license, a.other, count(*) AS n, count(h.s) AS n_held
+  FROM found f JOIN apart a ON a.license = f.license
+  LEFT JOIN hit h ON h.doc_id = f.doc_id AND h.license = a.license AND h.s = a.s GROUP BY f.doc_id, f.license, a.other
 )
-SELECT doc_id, license, n_shared, n_notice, first_word
-FROM found JOIN whole USING (license) WHERE 5 * n_shared >= 4 * n_notice"""
+SELECT doc_id, license, n_shared, n_notice, first_word FROM found f
+WHERE NOT EXISTS (SELECT 1 FROM told t WHERE t.doc_id = f.doc_id AND t.license = f.license AND 5 * n_held < 4 * n)"""
 
 
 def decontamination() -> str:

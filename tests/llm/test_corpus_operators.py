@@ -125,6 +125,71 @@ def test_notices_are_found_in_odd_texts(spark):
     assert licenses.find_notices(df, {"short": "too short"}).count() == 0
 
 
+GNU = """{0} This {1} is free software; you can redistribute it and/or modify it under
+{0} the terms of the GNU {2} as published by the Free
+{0} Software Foundation; either version {3} of the License, or (at your option)
+{0} any later version."""
+
+
+def test_siblings_are_told_apart(spark):
+    """Headers that differ in a name or a version, in blocks of comments."""
+    gnu = {
+        "gpl-2.0-header": ("program", "General Public License", "2"),
+        "gpl-3.0-header": ("program", "General Public License", "3"),
+        "lgpl-2.1-header": ("library", "Lesser General Public License", "2.1"),
+        "lgpl-3.0-header": ("library", "Lesser General Public License", "3"),
+        "agpl-3.0-header": ("program", "Affero General Public License", "3"),
+    }
+    rows, want = [], {}
+    for k, (name, parts) in enumerate(gnu.items()):
+        for j, mark in enumerate((" *", "#", "//", "")):
+            rows.append((10 * k + j, "int x; /*\n" + GNU.format(mark, *parts) + "\n */ more"))
+            want[10 * k + j] = {name}
+    rows.append((100, "\n".join(" * " + line for line in licenses.NOTICES["bsd-3-clause"].split(". "))))
+    rows.append((101, licenses.NOTICES["bsd-2-clause"]))
+    want |= {100: {"bsd", "bsd-3-clause"}, 101: {"bsd", "bsd-2-clause"}}
+    for k, (name, text) in enumerate(licenses.NOTICES.items()):
+        rows.append((200 + k, "x y z " + text))
+        want[200 + k] = {name}
+    got = {}
+    for r in licenses.find_notices(spark.createDataFrame(rows, DOCS)).collect():
+        got.setdefault(r.doc_id, set()).add(r.license)
+    for key, names in want.items():
+        assert names <= got[key]
+        # What else is found is a part of the notice.
+        for other in got[key] - names:
+            small, large = shingles_of(licenses.NOTICES[other]), set.union(*[shingles_of(licenses.NOTICES[n]) for n in names])
+            assert len(small & large) >= 0.8 * len(small)
+    for key in range(0, 50, 10):
+        assert got[key] == want[key] and not {n for n in got[key] if n.startswith("gpl-3")} - want[key]
+
+
+def shingles_of(text):
+    plain = text.translate(str.maketrans(licenses.FROM[:26], licenses.TO, licenses.FROM[26:])).split()
+    kept = [w for w in plain if w.strip(licenses.MARKS)]
+    return {tuple(kept[i : i + 5]) for i in range(len(kept) - 4)}
+
+
+def test_windows_agree_with_the_notices_they_hold(spark):
+    """Four fifths of a notice in a window of its class: bands agree but for 2 in 10,000."""
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 3, 4, 8, 31, 100):
+        size_class = n.bit_length() - 1
+        shared, missed = -(-4 * n // 5), 0
+        x = rng.integers(-(2**63), 2**63, (4000, (3 << size_class) + n - shared), dtype=np.int64)
+        for row in x:
+            sets = [row[: 3 << size_class], np.concatenate([row[:shared], row[3 << size_class :]])]
+            low = []
+            for own in sets:
+                own = np.sort(own)
+                band = own >> (64 - licenses.bits_of(size_class))
+                low.append(set(own[np.append(True, band[1:] != band[:-1])].tolist()))
+            missed += not low[0] & low[1]
+        assert missed <= 3, n
+    notice = spark.sql("SELECT array(5L, -7L, 9L, 1L << 62) AS h")
+    assert notice.select(licenses.band_minima(F.col("h"), 1)).first()[0] == [-7, 5]
+
+
 # Decontamination
 
 
