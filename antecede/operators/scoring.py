@@ -2,7 +2,9 @@
 
 from collections.abc import Sequence
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -15,6 +17,8 @@ from antecede.operators.metrics import log_loss
 
 CLASSES = ("pr_a", "pr_b", "pr_neither")
 N_BINS = len(EDGES13) + 1
+#: Fits of a cross-validation that run side by side.
+FITS = 4
 
 
 def scorer_features(df: DataFrame) -> DataFrame:
@@ -138,10 +142,12 @@ def cross_validate(
     """Fit per fold; out-of-fold rows, ensembled test rows, losses and the models.
 
     The training rows are read k times, so hand over a written table. Each fit runs on the
-    cluster; the driver holds only the models. Test rows are read once: the models follow
+    cluster, ``FITS`` at a time, so that one's last tasks do not idle it; the driver holds only the models. Test rows are read once: the models follow
     each other as columns, and their mean is taken in the row.
     """
-    models = [fit_scorer(train, fold, max_iter=max_iter) for fold in range(k)]
+    fit = inheritable_thread_target(train.sparkSession)(lambda fold: fit_scorer(train, fold, max_iter=max_iter))
+    with ThreadPool(min(k, FITS)) as pool:
+        models = pool.map(fit, range(k))
     oof = _union(
         [_score(m, keep_folds(train, f, "valid"), f) for f, m in enumerate(models)]
     )

@@ -66,7 +66,8 @@ def encode_tokens(
     )
     posted = df.select("id", *rest, _postings(framed).alias("_postings"))
     first = F.col("_first")
-    exploded = posted.select("id", *rest, F.posexplode("_postings").alias("_first", "_posting"))
+    # Rows have a posting at least. A plain explode would check that by making the postings twice.
+    exploded = posted.select("id", *rest, F.posexplode_outer("_postings").alias("_first", "_posting"))
     # Other columns go with the first posting only.
     exploded = exploded.select(
         "id", "_posting.*", *[F.when(first == 0, F.col(c)).alias(c) for c in rest]
@@ -97,7 +98,7 @@ def _postings(tokens: Column) -> Column:
         return F.struct(F.get(ordered, i)["token"].alias("token"), own.alias("places"))
 
     known = F.transform(tokens, lambda t, i: F.struct(F.coalesce(t, F.lit("")).alias("token"), i.alias("place")))
-    return F.transform(F.array(F.array_sort(known)), runs)[0]
+    return F.transform(F.array(F.sort_array(known)), runs)[0]
 
 
 def _in_place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

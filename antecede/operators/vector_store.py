@@ -58,8 +58,9 @@ class VectorStore:
         So an append that failed is simply repeated, and one that is repeated after it
         succeeded leaves the same rows.
         """
-        listed = vectors.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "vector"))).alias("vectors"))
-        rows = listed.repartition(self.buckets, "key").select("key", "vectors", self.prefix(F.col("key")).alias("prefix"))
+        dealt = vectors.repartition(self.buckets, "key")  # the only time that vectors move
+        listed = dealt.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "vector"))).alias("vectors"))
+        rows = listed.select("key", "vectors", self.prefix(F.col("key")).alias("prefix"))
         rows.createOrReplaceTempView(f"new_{self.table}")
         self.spark.sql(
             f"INSERT OVERWRITE TABLE {self.table} PARTITION (batch = '{batch}', prefix) "

@@ -500,7 +500,7 @@ def stored_twice(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     out = []
     for batch in ("rest", "again"):
         hits, added = vector_store.encode_missing(rows, store, encoder, batch)
-        sizes = store.rows().select("key", F.size("vectors").cast("long").alias("n_vectors"))
+        sizes = store.rows().select("key", F.size(F.col("vectors")["pos"]).cast("long").alias("n_vectors"))
         found = joins.salted_join(hits, sizes, "key").select("id", "key", "hit", "n_vectors")
         out.append(found if batch == "rest" else found.withColumn("n_encoded", F.lit(added).cast("long")))
     return out[0], out[1]

@@ -55,8 +55,7 @@ def bucketed(df: DataFrame, by: str, name: str, buckets: int | None = None) -> D
     spark = df.sparkSession
     count = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"{name}_{uuid.uuid4().hex}"
-    rows = df.write.option("path", scratch_path(spark, name)).bucketBy(count, by).sortBy(by)
-    rows.saveAsTable(table)
+    df.write.option("path", scratch_path(spark, name)).bucketBy(count, by).saveAsTable(table)
     return spark.table(table)
 
 
