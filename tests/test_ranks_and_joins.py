@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import Window, functions as F
 
-from antecede.operators import folds, joins, ranks, sequences
+from antecede.operators import folds, joins, ranks, sequences, vector_store
 from antecede.operators.ranks import rank_within, range_buckets
 
 
@@ -163,15 +163,16 @@ def test_encode_missing_encodes_each_sequence_once(spark):
 
     def encoder(missing):
         seen.append(missing.count())
-        return missing.select("key", F.posexplode("ids").alias("pos", "t")).select("key", "pos", F.array(F.col("t")).alias("vector"))
+        unpadded = missing.select("key", F.posexplode("ids").alias("pos", "t")).filter("t > 0")
+        return unpadded.select("key", "pos", F.array(F.col("t").cast("float")).alias("vector"))
 
-    stored = df.filter("id = 0").select(joins.sequence_key(F.col("ids")).alias("key"), "ids")
-    store = encoder(stored)
-    hits, added = joins.encode_missing(df, store, encoder)
+    store = vector_store.new_store(spark, "store")
+    vector_store.encode_missing(df.filter("id = 0"), store, encoder, "first")
+    hits, added = vector_store.encode_missing(df, store, encoder, "rest")
     # Padding does not change a key: four sequences, of which the store has one.
-    assert seen == [1, 3]
+    assert seen == [1, 3] and added == 3
     assert hits.filter("hit").count() == 10 and hits.count() == 40
-    assert added.select("key").distinct().count() == 3
+    assert store.rows().filter("batch = 'rest'").select("key").distinct().count() == 3
 
 
 def test_union_keeps_sources(spark):
