@@ -38,9 +38,11 @@ def license_scan(notices: dict[str, str] = licenses.NOTICES) -> str:
     listed = ", ".join(f"({quote(name)}, {quote(text)})" for name, text in notices.items())
     plain = f"translate(coalesce(text, ''), {quote(licenses.FROM)}, {quote(licenses.TO)})"
     words_ = f"list_filter(regexp_extract_all({plain}, '[^\\x20\\x09-\\x0D]+'), lambda w: translate(w, {quote(licenses.MARKS)}, '') <> '')"
-    runs = "unnest(CASE WHEN len(w) >= 5 THEN list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' ')) ELSE [] END)"
+    five = " || ' ' || ".join(f"w[i + {k}]" for k in range(5))
+    runs = f"unnest(CASE WHEN len(w) >= 5 THEN list_transform(generate_series(1, len(w) - 4), lambda i: {five}) ELSE [] END)"
     return f"""
-WITH notice AS (
+WITH split AS MATERIALIZED (SELECT doc_id, {words_} AS w FROM documents),
+notice AS (
   SELECT DISTINCT license, {runs} AS s
   FROM (SELECT license, {words_} AS w FROM (VALUES {listed}) t(license, text))
 ), whole AS (SELECT license, count(*) AS n_notice FROM notice GROUP BY license),
@@ -49,8 +51,7 @@ apart AS (
   SELECT n.license, near.other, n.s FROM near JOIN notice n USING (license)
   WHERE NOT EXISTS (SELECT 1 FROM notice o WHERE o.license = near.other AND o.s = n.s)
 ), run AS (
-  SELECT doc_id, {runs} AS s, {runs.replace("array_to_string(w[i:i + 4], ' ')", "i - 1")} AS word
-  FROM (SELECT doc_id, {words_} AS w FROM documents)
+  SELECT doc_id, {runs} AS s, {runs.replace(five, "i - 1")} AS word FROM split
 ), hit AS (SELECT doc_id, license, run.s, min(word) AS word FROM run JOIN notice ON run.s = notice.s GROUP BY doc_id, license, run.s),
 found AS (
   SELECT doc_id, license, count(*) AS n_shared, min(word) AS first_word, n_notice
