@@ -14,9 +14,10 @@ def words(text: str = "text") -> str:
 
 def shingles(w: str = "w", width: int = 5) -> str:
     """The word shingles of a list of words, as texts."""
+    run = " || ' ' || ".join(f"{w}[i + {k}]" for k in range(width))
     return (
         f"CASE WHEN len({w}) >= {width} THEN list_transform(generate_series(1, len({w}) - {width - 1}), "
-        f"lambda i: array_to_string({w}[i:i + {width - 1}], ' ')) "
+        f"lambda i: {run}) "
         f"WHEN len({w}) > 0 THEN [array_to_string({w}, ' ')] ELSE [] END"
     )
 
