@@ -35,7 +35,7 @@ HEAD_WORDS = 1 << 20
 PRIORS = (1.0, 10.0, 100.0, 1e3, 1e4, 1e5, 1e6, 1e8)
 _BUFFER = 1 << 20
 #: Texts are scored in slices of about so many bytes, as each token takes some 200 bytes meanwhile.
-_SLICE_BYTES = 2 << 20
+_SLICE_BYTES = 1 << 20
 _STEP = 16  # buckets of counts for each doubling
 _END, _BEGIN = W.constants(2, 5)
 _G1, _G2, _PAIR = W.constants(3, 55)
