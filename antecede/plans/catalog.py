@@ -482,28 +482,27 @@ def fold_expand(spark, sf_dir):
 @query
 def encode_missing(spark, sf_dir):
     """The store holds the first source file; the rest is encoded, equal sequences once."""
-    return stored_twice(spark, sf_dir)[0]
+    return looked_up(spark, sf_dir, "rest")[0]
 
 
 @query
 def encode_missing_again(spark, sf_dir):
     """A second run over the same rows: the store has them all, and nothing is encoded."""
-    return stored_twice(spark, sf_dir)[1]
+    found, added = looked_up(spark, sf_dir, "rest", "again")
+    return found.withColumn("n_encoded", F.lit(added).cast("long"))
 
 
-def stored_twice(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def looked_up(spark: SparkSession, sf_dir: str, *batches: str) -> tuple[DataFrame, int]:
+    """What the last of these runs over all rows finds in the store, and how many sequences it encodes."""
     vocab = written(vocabulary(spark, sf_dir), "vocabulary")
     rows = written(encoded(spark, sf_dir, vocab).select("id", "ids"), "encoded")
     encoder = vectors.lookup_encoder(written(token_id_vectors(spark, sf_dir, vocab), "vectors"))
     store = vector_store.new_store(spark, "store")
     vector_store.encode_missing(fx.splits(rows)[0], store, encoder, "first")
-    out = []
-    for batch in ("rest", "again"):
+    for batch in batches:
         hits, added = vector_store.encode_missing(rows, store, encoder, batch)
-        sizes = store.rows().select("key", F.size(F.col("vectors")["pos"]).cast("long").alias("n_vectors"))
-        found = joins.salted_join(hits, sizes, "key").select("id", "key", "hit", "n_vectors")
-        out.append(found if batch == "rest" else found.withColumn("n_encoded", F.lit(added).cast("long")))
-    return out[0], out[1]
+    sizes = store.rows().select("key", F.size(F.col("vectors")["pos"]).cast("long").alias("n_vectors"))
+    return joins.salted_join(hits, sizes, "key").select("id", "key", "hit", "n_vectors"), added
 
 
 @query
