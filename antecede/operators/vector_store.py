@@ -91,5 +91,5 @@ def encode_missing(df: DataFrame, store: VectorStore, encoder, batch: str) -> tu
 
 
 def new_store(spark: SparkSession, name: str, **options) -> VectorStore:
-    """An empty store in the shared scratch folder."""
-    return VectorStore(spark, scratch_path(spark, name).replace("-", "_"), **options)
+    """An empty store in the shared scratch folder, whose own name may hold any character."""
+    return VectorStore(spark, scratch_path(spark, name), **options)

@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,6 +66,16 @@ def test_a_store_is_found_again(spark, rows):
     assert vs.encode_missing(rows.limit(0), again, encoder([]), "three")[1] == 0 and again.rows().count() == 3
 
 
+def test_a_new_store_lies_in_the_scratch_folder(spark, rows, tmp_path, monkeypatch):
+    """The name of the folder is the session's: changed by a character, it is another folder."""
+    root = tmp_path / "exec-1_a"
+    monkeypatch.setattr("antecede.session.scratch_root", lambda spark: str(root))
+    store = vs.new_store(spark, "store-2")
+    vs.encode_missing(rows, store, encoder([]), "one")
+    assert os.path.dirname(store.path) == str(root) and store.rows().count() == 3
+    assert os.listdir(tmp_path) == ["exec-1_a"]
+
+
 def test_the_store_is_not_shuffled(spark, rows):
     """The key column of the prefixes asked for is read in its buckets; only what is looked up moves."""
     store = vs.new_store(spark, "store")
