@@ -4,7 +4,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from antecede.functions.numeric import hash_key
 from antecede.operators.folds import SEED
@@ -24,6 +26,8 @@ RESERVED = {
     "[SEP]": 102,
     "[MASK]": 103,
 }
+#: Tokens that are made postings, or postings that are put in place, at a time.
+CHUNK = 1 << 18
 
 
 def build_vocab(
@@ -58,32 +62,56 @@ def encode_tokens(
     each with the list of its places, so a token moves once for each row that has it however often
     it stands there. Postings meet the vocabulary by token, which Spark broadcasts if its bytes are
     few and else joins, splitting frequent tokens; they come together by id, and ids are put in their
-    places in one go, without a sort. That is two exchanges, or one with a broadcast vocabulary.
+    places in one go. That is two exchanges, or one with a broadcast vocabulary. Postings are made and
+    put in place by Arrow batches, ``CHUNK`` tokens or postings at a time, so that a task holds these, and
+    the longest row, however many rows it gets.
     """
     rest = [c for c in df.columns if c not in ("id", "tokens")]
     framed = F.concat(
         F.array(F.lit("[CLS]")), F.coalesce("tokens", F.array().cast("array<string>")), F.array(F.lit("[SEP]")) if sep else F.array()
     )
-    posted = df.select("id", *rest, _postings(framed).alias("_postings"))
-    first = F.col("_first")
-    # Rows have a posting at least. A plain explode would check that by making the postings twice.
-    exploded = posted.select("id", *rest, F.posexplode_outer("_postings").alias("_first", "_posting"))
-    # Other columns go with the first posting only.
-    exploded = exploded.select(
-        "id", "_posting.*", *[F.when(first == 0, F.col(c)).alias(c) for c in rest]
-    )
-    coded = exploded.join(vocab.select("token", F.col("token_id").cast("int").alias("_id")), "token", "left")
-    coded = coded.withColumn("_id", F.coalesce("_id", F.lit(reserved["[UNK]"])))
-    together = coded.groupBy("id").agg(
-        *[F.first(c, ignorenulls=True).alias(c) for c in rest],
-        F.collect_list(F.struct("_id", "places")).alias("_coded"),
-    )
-    kinds = together.withColumn("ids", F.lit(None).cast("array<int>")).drop("_coded").schema
-    return together.mapInArrow(_in_place, kinds)
+    kept = df.select("id", *rest, framed.alias("_tokens"))
+    fields = [StructField(f.name, f.dataType) for f in kept.schema.fields[:-1]]  # other columns are null but once
+    made = StructType([*fields, StructField("token", StringType()), StructField("places", ArrayType(IntegerType()))])
+    posted = kept.mapInArrow(_posted, made)
+    coded = posted.join(vocab.select("token", F.col("token_id").cast("int").alias("_id")), "token", "left")
+    coded = coded.select("id", *rest, F.coalesce("_id", F.lit(reserved["[UNK]"])).alias("_id"), "places")
+    together = coded.repartition("id").sortWithinPartitions("id")
+    return together.mapInArrow(_in_place, StructType([*fields, StructField("ids", ArrayType(IntegerType()))]))
+
+
+def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The postings of rows whose last column is their tokens; other columns go with a row's first posting only."""
+    for batch in batches:
+        ends = batch.column(batch.num_columns - 1).value_lengths().to_numpy().cumsum()
+        first = 0
+        while first < batch.num_rows:
+            done = ends[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, done + CHUNK, "right")))
+            part, first = batch.slice(first, last - first), last
+            sizes = part.column(part.num_columns - 1).value_lengths().to_numpy()
+            tokens = part.column(part.num_columns - 1).flatten()
+            if tokens.null_count:
+                tokens = tokens.fill_null("")
+            words = tokens.dictionary_encode()
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            key = row * len(words.dictionary) + words.indices.to_numpy()
+            order = key.argsort(kind="stable")
+            key = key[order]
+            begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            own, place = row[order[begin]], order - (sizes.cumsum() - sizes)[row[order]]
+            places = pa.ListArray.from_arrays(
+                pa.array(np.concatenate([begin, [len(key)]]).astype(np.int32)), pa.array(place.astype(np.int32))
+            )
+            opens = np.concatenate([[True], own[1:] != own[:-1]])
+            with_first = pa.array(own, mask=~opens)
+            token = words.dictionary.take(pa.array(key[begin] % len(words.dictionary)))
+            columns = [part.column(0).take(pa.array(own)), *[c.take(with_first) for c in part.columns[1:-1]], token, places]
+            yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names[:-1], "token", "places"])
 
 
 def _postings(tokens: Column) -> Column:
-    """The distinct tokens of an array with their places, from one sort within the row."""
+    """The distinct tokens of an array with their places, as an expression: what ``_posted`` makes of a row."""
 
     def runs(ordered: Column) -> Column:
         number = F.sequence(F.lit(0), F.size(ordered) - 1)
@@ -102,21 +130,44 @@ def _postings(tokens: Column) -> Column:
 
 
 def _in_place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Token ids at the places of their postings, for all rows of a batch at once."""
+    """Token ids at the places of their postings, which come sorted by the first column, the row they are of."""
+    held: list[pa.RecordBatch] = []  # the postings of the last row so far
     for batch in batches:
-        coded = batch.column(batch.num_columns - 1)
-        postings = coded.flatten()
-        places, of = postings.field("places"), postings.field("_id").to_numpy()
-        counts = places.value_lengths().to_numpy()
-        # Rows begin one after the other in what is filled.
-        row = np.repeat(np.arange(len(coded)), coded.value_lengths().to_numpy())
-        sizes = np.bincount(row, counts, len(coded)).astype(np.int64)
-        begin = np.concatenate([[0], np.cumsum(sizes)])
-        out = np.zeros(begin[-1], np.int32)
-        out[np.repeat(begin[row], counts) + places.flatten().to_numpy()] = np.repeat(of, counts)
-        ids = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(out))
-        names = batch.schema.names[:-1]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], names=[*names, "ids"])
+        for first in range(0, batch.num_rows, CHUNK):
+            part = batch.slice(first, CHUNK)
+            runs = pc.run_end_encode(part.column(0))
+            if held and held[0].column(0)[0] != part.column(0)[0]:
+                yield _filled(held)
+                held = []
+            begin = int(runs.run_ends[-2].as_py()) if len(runs.run_ends) > 1 else 0
+            if begin:
+                yield _filled([*held, part.slice(0, begin)])
+                held = []
+            held.append(part.slice(begin))
+    if held:
+        yield _filled(held)
+
+
+def _filled(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """One row of ids for each run of postings with an equal first column."""
+    batch = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+    ends = pc.run_end_encode(batch.column(0)).run_ends.to_numpy().astype(np.int64)
+    begin = np.concatenate([[0], ends[:-1]])
+    of, places = batch.column(batch.num_columns - 2).to_numpy(), batch.column(batch.num_columns - 1)
+    counts = places.value_lengths().to_numpy().astype(np.int64)
+    before = np.concatenate([[0], counts.cumsum()])
+    sizes = before[ends] - before[begin]
+    start = np.concatenate([[0], sizes.cumsum()])
+    out = np.zeros(start[-1], np.int32)
+    out[np.repeat(np.repeat(start[:-1], ends - begin), counts) + places.flatten().to_numpy()] = np.repeat(of, counts)
+    ids = pa.ListArray.from_arrays(pa.array(start.astype(np.int32)), pa.array(out))
+    rest = []
+    for column in batch.columns[1:-2]:
+        valid = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+        found = np.append(valid, len(column))[np.searchsorted(valid, begin)]
+        rest.append(column.take(pa.array(np.where(found < ends, found, begin))))
+    names = batch.schema.names[:-2]
+    return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(begin)), *rest, ids], names=[*names, "ids"])
 
 
 def pad_truncate(
