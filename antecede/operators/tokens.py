@@ -32,17 +32,20 @@ def sentence_split(df: DataFrame) -> DataFrame:
 def token_table(df: DataFrame, stopwords: Sequence[str] = STOPWORDS) -> DataFrame:
     """Tokens with shape, alphabetic and stop-word flags.
 
-    Shapes keep at most four equal classes in a row. Stop words are in lower case.
+    Shapes keep at most four equal classes in a row, so a pattern looks at longer ones only. Stop words are
+    in lower case. Starts are looked up by place: they cost nothing where they are not asked for.
     """
     lower, upper, digits = string.ascii_lowercase, string.ascii_uppercase, string.digits
     classes = F.translate("token", lower + upper + digits, "x" * 26 + "X" * 26 + "d" * 10)
-    shape = F.regexp_replace(classes, r"([xXd])\1{4,}", "$1$1$1$1")
-    return word_tokens(df).withColumns(
-        {
-            "shape": shape,
-            "is_alpha": F.rlike("token", F.lit("^[A-Za-z]+$")),
-            "is_stop": F.lower("token").isin(list(stopwords)),
-        }
+    text = F.col("text")
+    rows = df.select("id", tx.token_starts(text).alias("_starts"), tx.tokens(text).alias("_tokens"))
+    # A plain explode would check that there are tokens by making them twice.
+    rows = rows.select("id", "_starts", F.posexplode_outer("_tokens").alias("pos", "token")).filter(F.col("pos").isNotNull())
+    rows = rows.select("id", "pos", F.get("_starts", F.col("pos")).alias("start"), "token", classes.alias("shape"))
+    cut = F.regexp_replace("shape", r"([xXd])\1{4,}", "$1$1$1$1")
+    letters = F.substr("shape", F.lit(1), F.lit(1)).isin("x", "X") & ~F.contains("shape", F.lit("d"))
+    return rows.withColumn("shape", F.when(F.octet_length("shape") > 4, cut).otherwise(F.col("shape"))).withColumns(
+        {"is_alpha": letters, "is_stop": F.lower("token").isin(list(stopwords))}
     )
 
 

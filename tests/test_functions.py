@@ -1,10 +1,13 @@
 import math
+import re
 
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 import pytest
 
 from antecede.functions import numeric as nm, text as tx
+from antecede.functions.stopwords import STOPWORDS
+from antecede.operators.tokens import token_table
 from brute import sentence_of, starts, token_index, tokens
 
 SLOW = settings(
@@ -75,3 +78,19 @@ def test_coin_is_seeded_and_fair(spark):
     assert abs(first - 0.5) < 0.02
     flips = ids.select(nm.coin(0.3, 7, F.col("id")).alias("c"), nm.coin(0.3, 7, F.col("id")).alias("d"))
     assert flips.filter("c <> d").count() == 0
+
+
+def test_token_table_makes_only_what_is_asked_for(spark):
+    """The shapes, flags and starts of each token by itself, and starts that are not asked for are not made."""
+    text = "aaaaa abcd dddd12345 X1y XXXXXX éa Zed x  #12x McDonaldX\nThe 0000000d"
+    df = spark.createDataFrame([(1, text), (2, None), (3, " ")], "id long, text string")
+    table = token_table(df)
+    got = [(r.start, r.token, r["shape"], r.is_alpha, r.is_stop) for r in table.orderBy("pos").collect()]
+    want = []
+    for m in re.finditer(r"[A-Za-z0-9]+|[^ \t\n\x0b\f\r]", text):
+        drawn = re.sub("[0-9]", "\0", re.sub("[A-Z]", "X", re.sub("[a-z]", "x", m[0]))).replace("\0", "d")
+        own = re.sub(r"([xXd])\1{4,}", r"\1\1\1\1", drawn)
+        want.append((m.start(), m[0], own, bool(re.fullmatch("[A-Za-z]+", m[0])), m[0].lower() in STOPWORDS))
+    assert got == want
+    plan = table.select("id", "pos", "token", "shape")._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan and "split(" in table._jdf.queryExecution().optimizedPlan().toString()
