@@ -11,6 +11,11 @@ from antecede.operators.joins import salted_join, sequence_key
 from antecede.session import scratch_path, written
 
 
+# Vectors of one token are alike wherever it stands, so pages of thousands of vectors, which a value dictionary
+# would only scatter, shrink by what repeats.
+PACKED = "'compression' = 'zstd', 'parquet.enable.dictionary' = 'false', 'parquet.page.size' = '8388608'"
+
+
 class VectorStore:
     """A folder of vectors by sequence key. Opening it anew, in any session, finds all batches."""
 
@@ -30,7 +35,7 @@ class VectorStore:
         spark.sql(f"DROP TABLE IF EXISTS {self.table}")
         spark.sql(
             f"CREATE TABLE {self.table} (key STRING, vectors ARRAY<STRUCT<pos: INT, vector: {found.vector}>>, "
-            f"batch STRING, prefix STRING) USING parquet PARTITIONED BY (batch, prefix) "
+            f"batch STRING, prefix STRING) USING parquet OPTIONS ({PACKED}) PARTITIONED BY (batch, prefix) "
             f"CLUSTERED BY (key) SORTED BY (key) INTO {self.buckets} BUCKETS LOCATION '{path}/rows'"
         )
         spark.catalog.recoverPartitions(self.table)

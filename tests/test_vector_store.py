@@ -1,9 +1,10 @@
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from antecede.operators import joins, vector_store as vs
+from antecede.operators import joins, vector_store as vs, vectors
 from antecede.session import scratch_path
 
 
@@ -91,3 +92,15 @@ def test_the_store_is_not_shuffled(spark, rows):
     at = next(i for i, line in enumerate(joined) if "Scan parquet" in line)
     above = [line for line in joined[:at] if "Exchange" in line]
     assert all("Range" not in line for line in above) and sum("Exchange" in line for line in joined[at - 4 : at]) == 0
+
+
+def test_vectors_that_repeat_are_stored_once_or_so(spark):
+    """A token's vector stands wherever the token does: a store of long texts takes a fraction of the bytes of its vectors."""
+    dims, rng = 64, np.random.default_rng(1)
+    table = spark.createDataFrame([(i, rng.random(dims).tolist()) for i in range(1, 301)], "token_id int, vector array<float>")
+    rows = spark.range(40).select("id", F.transform(F.sequence(F.lit(0), F.lit(999)), lambda i: (F.pmod(F.xxhash64("id", i), F.lit(300)) + 1).cast("int")).alias("ids"))
+    store = vs.new_store(spark, "store", digits=0, buckets=2)
+    vs.encode_missing(rows, store, vectors.lookup_encoder(table), "one")
+    held = [os.path.join(at, f) for at, _, files in os.walk(f"{store.path}/rows") for f in files if f.endswith(".parquet")]
+    assert sum(map(os.path.getsize, held)) < 40_000 * dims * 4 / 8
+    assert store.rows().select(F.sum(F.size("vectors"))).first()[0] == 40_000
