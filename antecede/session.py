@@ -4,7 +4,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSession:
@@ -59,6 +59,17 @@ def bucketed(df: DataFrame, by: str, name: str, buckets: int | None = None) -> D
     return spark.table(table)
 
 
+#: Characters of text that go to a bucket on average, so that a task's share does not grow with the input.
+BUCKET_CHARS = 1 << 20
+
+
+def text_buckets(df: DataFrame, text: str = "text") -> int:
+    """How many buckets a table made from these texts takes: as many as shuffle partitions, or more for many texts."""
+    spark = df.sparkSession
+    chars = df.agg(F.sum(F.length(text))).first()[0] or 0
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // BUCKET_CHARS))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows read from a written table, for plans that use them more than once.
 
