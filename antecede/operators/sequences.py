@@ -179,7 +179,9 @@ def pad_truncate(
     """
     longest = F.max(F.size("ids")).over(Window.partitionBy(batch))
     width = longest if max_len is None else F.least(longest, F.lit(max_len))
-    padded = F.slice(F.concat("ids", F.array_repeat(F.lit(0), F.col("width"))), F.lit(1), F.col("width"))
+    lacking = F.col("width") - F.size("ids")
+    filled = F.concat("ids", F.array_repeat(F.lit(0), lacking))  # a slice boxes each value, so only rows that are cut take one
+    padded = F.when(lacking >= 0, filled).otherwise(F.slice("ids", F.lit(1), F.col("width")))
     fields = df.schema["spans"].dataType.fieldNames()
     moved = F.struct(*[(F.col("spans")[f] + 1).alias(f) for f in fields])
     ends = F.array_max(F.array(*[F.col("spans")[f] for f in fields if f.endswith("_end")]))

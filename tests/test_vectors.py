@@ -295,3 +295,15 @@ def test_places_are_filled_by_chunks(spark, monkeypatch):
         filled = list(sequences._in_place(iter(coded.to_batches(max_chunksize=5))))
         assert max(b.num_rows for b in filled) <= max(size, 5)
         assert {r["id"]: (r["ids"], r["note"]) for b in filled for r in b.to_pylist()} == want
+
+
+def test_rows_are_padded_without_a_slice(spark):
+    """Rows are cut only where they are longer than the batch may be; others are filled up, null rows stay null."""
+    rows = [(0, [1, 2, 3]), (0, [4]), (0, []), (1, [5, 6, 7, 8]), (1, None)]
+    df = spark.createDataFrame(rows, "batch_id int, ids array<int>").withColumn("spans", F.struct(F.lit(2).alias("a_end")))
+    full, cut = sequences.pad_truncate(df), sequences.pad_truncate(df, max_len=2)
+    got = lambda d: sorted((r.batch_id, r.ids) for r in d.collect() if r.ids is not None)
+    assert got(full) == [(0, [0, 0, 0]), (0, [1, 2, 3]), (0, [4, 0, 0]), (1, [5, 6, 7, 8])]
+    assert got(cut) == [(0, [0, 0]), (0, [1, 2]), (0, [4, 0]), (1, [5, 6])]
+    assert full.filter("ids IS NULL").count() == 1 and cut.filter("ids IS NULL").count() == 1
+    assert "CASE WHEN" in full._jdf.queryExecution().optimizedPlan().toString()
