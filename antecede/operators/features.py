@@ -15,10 +15,10 @@ MENTION_KEYS = ("p", "a", "b")
 
 
 def token_offsets(df: DataFrame) -> DataFrame:
-    """``p_tok``, ``a_tok`` and ``b_tok``."""
-    return df.withColumns(
-        {f"{m}_tok": tx.char_to_token(F.col("text"), F.col(f"{m}_off")) for m in MENTION_KEYS}
-    )
+    """``p_tok``, ``a_tok`` and ``b_tok``, of which those that the rows have already are kept."""
+    missing = [m for m in MENTION_KEYS if f"{m}_tok" not in df.columns]
+    found = {f"{m}_tok": tx.char_to_token(F.col("text"), F.col(f"{m}_off")) for m in missing}
+    return df.withColumns(found) if found else df
 
 
 def mention_distance(df: DataFrame) -> DataFrame:

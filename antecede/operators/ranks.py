@@ -105,12 +105,13 @@ def ntile_cuts(
 def apply_cuts(df: DataFrame, cuts: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
     """0-based tile of every row: the number of cuts at or below its key.
 
-    Moves no row while the cuts are few enough for Spark to broadcast them.
+    There is one row of cuts per group, and groups are few. They are broadcast, so no row is moved: shuffled by
+    group, all rows would go to as many tasks as there are groups.
     """
     key = F.struct(*order)
     tile = F.size(F.filter("_cuts", lambda c: c <= key))
     return (
-        df.join(cuts, F.col(group).eqNullSafe(F.col("_group")), "left")
+        df.join(F.broadcast(cuts), F.col(group).eqNullSafe(F.col("_group")), "left")
         .select(*df.columns, F.greatest(tile, F.lit(0)).alias(name))
     )
 

@@ -17,8 +17,9 @@ from antecede.operators.metrics import log_loss
 
 CLASSES = ("pr_a", "pr_b", "pr_neither")
 N_BINS = len(EDGES13) + 1
-#: Fits of a cross-validation that run side by side.
-FITS = 4
+#: Fits of a cross-validation that run side by side. Each holds a copy of its rows in memory, so there are just
+#: enough of them to fill the gaps between the short stages of one.
+FITS = 3
 
 
 def scorer_features(df: DataFrame) -> DataFrame:
@@ -60,10 +61,13 @@ def fit_scorer(
         maxIter=max_iter,
         rawPredictionCol="raw",
     )
-    labelled = rows.select("features", F.col("target").cast("double").alias("target"))
+    own = F.struct("features", F.col("target").cast("double").alias("target"))
+    orders = [own]
     if "swapped" in rows.columns:
         other = F.when(F.col("target") < 2, 1 - F.col("target")).otherwise(F.col("target")).cast("double")
-        labelled = labelled.unionByName(rows.select(F.col("swapped").alias("features"), other.alias("target")))
+        orders.append(F.struct(F.col("swapped").alias("features"), other.alias("target")))
+    # Both orders come from one read of the rows.
+    labelled = rows.select(F.inline(F.array(*orders)))
     return Pipeline(stages=[scorer]).fit(labelled)
 
 
@@ -141,7 +145,7 @@ def cross_validate(
 ) -> tuple[DataFrame, DataFrame, DataFrame, list[PipelineModel]]:
     """Fit per fold; out-of-fold rows, ensembled test rows, losses and the models.
 
-    The training rows are read k times, so hand over a written table. Each fit runs on the
+    The training rows are read by every fit, so hand over a table written by fold. Each fit runs on the
     cluster, ``FITS`` at a time, so that one's last tasks do not idle it; the driver holds only the models. Test rows are read once: the models follow
     each other as columns, and their mean is taken in the row.
     """

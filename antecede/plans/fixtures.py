@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from antecede.functions.numeric import EDGES9
-from antecede.functions.text import char_to_token
+from antecede.operators.features import token_offsets
 from antecede.operators.labels import positional_prior
 from antecede.operators.ranks import rank_within
 
@@ -83,17 +83,20 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rule_target(df: DataFrame) -> DataFrame:
-    """``target`` that the distances explain: the nearer name, or neither."""
-    token = {m: char_to_token(F.col("text"), F.col(f"{m}_off")) for m in "pab"}
-    near_a = F.abs(token["p"] - token["a"])
-    near_b = F.abs(token["p"] - token["b"])
+    """``target`` that the distances explain: the nearer name, or neither.
+
+    Token offsets are a column each, so that a text is searched once for each of them.
+    """
+    near_a = F.abs(F.col("p_tok") - F.col("a_tok"))
+    near_b = F.abs(F.col("p_tok") - F.col("b_tok"))
     far = F.lit(EDGES9[-1])
     target = (
         F.when((near_a > far) | (near_b > far) | (near_a == near_b), 2)
         .when(near_a < near_b, 0)
         .otherwise(1)
     )
-    return df.withColumn("target", target)
+    placed = token_offsets(df)
+    return placed.withColumn("target", target).drop(*[c for c in placed.columns if c not in df.columns])
 
 
 def splits(df: DataFrame) -> list[DataFrame]:

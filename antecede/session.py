@@ -70,11 +70,16 @@ def text_buckets(df: DataFrame, text: str = "text") -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // BUCKET_CHARS))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """The same rows read from a written table, for plans that use them more than once.
 
-    Unlike a cache it outlives lost executors, and unlike a checkpoint it is columnar.
+    Unlike a cache it outlives lost executors, and unlike a checkpoint it is columnar. With ``by``, the last
+    column, its values have a folder each, so that a filter by it reads no other rows.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    if by is None:
+        df.write.parquet(path)
+        return df.sparkSession.read.parquet(path)
+    df.write.partitionBy(by).parquet(path)
+    # Without rows there are no folders to tell the types from.
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,9 +5,9 @@ import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F, types as T
 
-from antecede.operators import labels, metrics, scoring
+from antecede.operators import features, folds, labels, metrics, scoring
 from antecede.plans import catalog, fixtures as fx
-from antecede.session import scratch_path
+from antecede.session import scratch_path, written
 from antecede.sources import scans, sinks
 
 DATA = "/root/testdata/sf0.01"
@@ -148,5 +148,50 @@ def test_prediction_file_name(spark, tmp_path):
 def test_fold_pruning(spark, split):
     path = sinks.write_folds(split[0].select("id", "target", "fold"), scratch_path(spark, "folds"))
     train = spark.read.parquet(path).filter("fold <> 2")
-    assert "PartitionFilters: [isnotnull(fold" in train._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(fold" in plan_of(train)
     assert train.count() == split[0].filter("fold <> 2").count()
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_fit_reads_the_rows_of_its_folds_once(spark, split, monkeypatch):
+    rows = split[0].select("id", "target", "features", F.col("features").alias("swapped"), F.col("fold").cast("int"))
+    table = written(rows, "train", by="fold")
+    assert table.schema == rows.schema and sorted(table.collect()) == sorted(rows.collect())
+    seen = []
+    monkeypatch.setattr(scoring.Pipeline, "fit", lambda self, df: seen.append(df))
+    scoring.fit_scorer(table, fold=1)
+    assert plan_of(seen[0]).count("FileScan") == 1 and "PartitionFilters: [isnotnull(fold" in plan_of(seen[0])
+    got = sorted((tuple(r.features), r.target) for r in seen[0].collect())
+    kept = [r for r in rows.collect() if r.fold != 1]
+    both = [(tuple(r.features), float(t)) for r in kept for t in (r.target, {0: 1, 1: 0, 2: 2}[r.target])]
+    assert got == sorted(both)
+    empty = written(rows.filter("id < 0"), "none", by="fold")
+    assert empty.schema == rows.schema and empty.count() == 0
+
+
+def test_folds_move_no_row(spark):
+    """Rows stay in their partitions, however few targets there are and whatever Spark thinks of the size of the cuts."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    rows = spark.range(0, 600, 1, 12).withColumn("target", (F.col("id") % 2).cast("int"))
+    try:
+        spark.conf.set(key, "-1")
+        dealt = folds.stratified_folds(rows, 5).withColumn("part", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set(key, before)
+    assert {r.id: r.part for r in dealt} == {r.id: r.part for r in rows.withColumn("part", F.spark_partition_id()).collect()}
+    assert len({r.part for r in dealt}) == 12 and len(dealt) == 600
+
+
+def test_target_finds_each_token_offset_once(spark, one):
+    rows = fx.rule_target(one)
+    assert rows.columns == [*one.columns, "target"]
+    # Twice by each of the three offsets: for a mention on the last token and for any other.
+    assert plan_of(rows.select("target")).count("regexp_extract_all") <= 6
+    known = one.withColumns({f"{m}_tok": F.lit(n) for m, n in (("p", 9), ("a", 2), ("b", 8))})
+    assert features.token_offsets(known).select("p_tok", "a_tok", "b_tok").first() == (9, 2, 8)
+    assert fx.rule_target(known).columns == [*known.columns, "target"]
+    assert fx.rule_target(known).first().target == 1
