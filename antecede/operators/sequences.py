@@ -6,9 +6,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from antecede.functions.numeric import hash_key
+from antecede.operators import lookup
 from antecede.operators.folds import SEED
 from antecede.operators.ranks import range_buckets, rank_within
 from antecede.session import written
@@ -58,26 +58,29 @@ def encode_tokens(
 ) -> DataFrame:
     """``tokens`` to ``ids`` behind ``[CLS]``; ``sep`` also appends ``[SEP]``.
 
-    Every row stays; null tokens count as none. Each row becomes postings: its distinct tokens,
-    each with the list of its places, so a token moves once for each row that has it however often
-    it stands there. Postings meet the vocabulary by token, which Spark broadcasts if its bytes are
-    few and else joins, splitting frequent tokens; they come together by id, and ids are put in their
-    places in one go. That is two exchanges, or one with a broadcast vocabulary. Postings are made and
-    put in place by Arrow batches, ``CHUNK`` tokens or postings at a time, so that a task holds these, and
-    the longest row, however many rows it gets.
+    Every row stays; null tokens count as none, and rows with an id that comes again are one row, filled up with
+    zeros. Rows are written in chunks, with numbers for their tokens; the distinct tokens of a chunk meet the
+    vocabulary by token, which Spark broadcasts if its bytes are few and else joins, splitting frequent tokens, and
+    their ids go back to the chunk. So no row moves, and a token moves twice for each chunk that has it. A task holds
+    one chunk at a time (``lookup.CHUNK`` tokens, or the longest row).
     """
     rest = [c for c in df.columns if c not in ("id", "tokens")]
     framed = F.concat(
         F.array(F.lit("[CLS]")), F.coalesce("tokens", F.array().cast("array<string>")), F.array(F.lit("[SEP]")) if sep else F.array()
     )
-    kept = df.select("id", *rest, framed.alias("_tokens"))
-    fields = [StructField(f.name, f.dataType) for f in kept.schema.fields[:-1]]  # other columns are null but once
-    made = StructType([*fields, StructField("token", StringType()), StructField("places", ArrayType(IntegerType()))])
-    posted = kept.mapInArrow(_posted, made)
-    coded = posted.join(vocab.select("token", F.col("token_id").cast("int").alias("_id")), "token", "left")
-    coded = coded.select("id", *rest, F.coalesce("_id", F.lit(reserved["[UNK]"])).alias("_id"), "places")
-    together = coded.repartition("id").sortWithinPartitions("id")
-    return together.mapInArrow(_in_place, StructType([*fields, StructField("ids", ArrayType(IntegerType()))]))
+    chunks = lookup.coded(df.select("id", *rest, framed.alias("_tokens")), "_tokens")
+    ids = vocab.select("token", F.coalesce(F.col("token_id").cast("int"), F.lit(reserved["[UNK]"])).alias("ids"))
+    known = lookup.listed(chunks, "token").join(ids, "token").select("id_chunk", "_code", "ids")
+    found = lookup.placed(chunks, known, reserved["[UNK]"]).select("id", *rest, "ids")
+    again = written(chunks.rows.groupBy(F.col("id").alias("_again")).count().filter("count > 1").select("_again"), "ids-again")
+    if again.isEmpty():
+        return found
+    same = F.col("id").eqNullSafe(F.col("_again"))
+    firsts = [F.first(c, ignorenulls=True).alias(c) for c in rest]
+    zeros = F.array_repeat(F.lit(0), (F.sum(F.size("ids")) - F.max(F.size("ids"))).cast("int"))
+    merged = found.join(again, same, "left_semi").groupBy("id")
+    merged = merged.agg(*firsts, F.concat(F.max_by("ids", F.size("ids")), zeros).alias("ids"))
+    return found.join(again, same, "left_anti").unionByName(merged)
 
 
 def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

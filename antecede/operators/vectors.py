@@ -1,5 +1,6 @@
 """Token vectors: encoding, alignment of spans, pooling and pair features."""
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -8,20 +9,51 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from antecede.functions import text as tx
 from antecede.functions.numeric import dot, times
+from antecede.operators import lookup
+from antecede.session import written
 
 
-def lookup_encoder(vectors: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    """Encoder that takes each token's vector from a table (token_id, vector)."""
+def lookup_encoder(vectors: DataFrame, names: DataFrame | None = None) -> Callable[[DataFrame], DataFrame]:
+    """Encoder that takes each token's vector from a table (token_id, vector).
+
+    With ``names`` (token_id, name), whose name may be any column, the table is one of (name, vector), in which
+    tokens share a vector. ``packed`` gives the same vectors without one for each place of a token: rows with
+    arrays ``pos`` and ``ref``, and the vectors (ref, vector) that they refer to.
+    """
+    name = names.columns[1] if names is not None else "token_id"
 
     def encode(df: DataFrame) -> DataFrame:
         keys = [c for c in df.columns if c != "ids"]
         exploded = df.select(*keys, F.posexplode("ids").alias("pos", "token_id"))
         unpadded = exploded.filter(F.col("token_id") > 0)
-        return gather_vectors(unpadded, vectors, "token_id").select(*keys, "pos", "token_id", "vector")
+        named = unpadded if names is None else unpadded.join(names, "token_id")
+        return gather_vectors(named, vectors, name).select(*keys, "pos", "token_id", "vector")
+
+    @functools.cache
+    def tables() -> tuple[DataFrame, DataFrame]:
+        """(token_id, ref) and (ref, vector)."""
+        rows = numbered(vectors)
+        refs = rows.select(name, "ref") if names is None else names.join(rows.select(name, "ref"), name)
+        return written(refs.select("token_id", "ref").filter(F.col("token_id") > 0), "refs"), rows.select("ref", "vector")
+
+    def packed(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+        refs, rows = tables()
+        chunks = lookup.coded(df, "ids")
+        known = gather_vectors(lookup.listed(chunks, "token_id"), refs, "token_id")
+        known = written(known.select("id_chunk", "_code", "ref"), "known")
+        keys = [c for c in df.columns if c != "ids"]
+        found = lookup.placed(chunks, known).select(*keys, F.col("_pos").alias("pos"), "ref")
+        return found.filter(F.size("pos") > 0), rows.join(known.select("ref").distinct(), "ref")
 
+    encode.packed = packed
     return encode
 
 
+def numbered(vectors: DataFrame) -> DataFrame:
+    """The rows of a vector table, written, with a number ``ref`` that can stand for the vector."""
+    return written(vectors.withColumn("ref", F.monotonically_increasing_id()), "numbered")
+
+
 def model_encoder(
     load: Callable[[], Callable[[np.ndarray, np.ndarray], np.ndarray]],
     key: str,

@@ -45,17 +45,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(scratch_root(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def bucketed(df: DataFrame, by: str, name: str, buckets: int | None = None) -> DataFrame:
+def bucketed(df: DataFrame, by: str, name: str, buckets: int | None = None, **options: str) -> DataFrame:
     """The same rows read from a written table that is bucketed by a column.
 
     Joins and groups by that column read it in place: only what is joined to it is shuffled. Hand over
     rows that are partitioned by the column already, so that a task writes few files. By default
-    there are as many buckets as shuffle partitions.
+    there are as many buckets as shuffle partitions. ``options`` are the writer's.
     """
     spark = df.sparkSession
     count = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"{name}_{uuid.uuid4().hex}"
-    df.write.option("path", scratch_path(spark, name)).bucketBy(count, by).saveAsTable(table)
+    options = {"path": scratch_path(spark, name), **options}
+    df.write.options(**options).bucketBy(count, by).saveAsTable(table)
     return spark.table(table)
 
 

@@ -104,3 +104,49 @@ def test_vectors_that_repeat_are_stored_once_or_so(spark):
     held = [os.path.join(at, f) for at, _, files in os.walk(f"{store.path}/rows") for f in files if f.endswith(".parquet")]
     assert sum(map(os.path.getsize, held)) < 40_000 * dims * 4 / 8
     assert store.rows().select(F.sum(F.size("vectors"))).first()[0] == 40_000
+
+
+def size(folder):
+    return sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(folder) for f in files if not f.endswith(".crc"))
+
+
+def test_a_vector_is_stored_once_in_a_batch(spark):
+    """Whatever the number of files that sequences are spread over, and with the same rows as from an encoder that is not packed."""
+    dims, rng = 64, np.random.default_rng(2)
+    table = spark.createDataFrame([(i, rng.random(dims).tolist()) for i in range(200)], "vec_id int, vector array<float>")
+    names = spark.createDataFrame([(i, i * 7 % 200) for i in range(-5, 1001) if i % 50] + [(7, 3)], "token_id int, vec_id int")
+    ids = F.transform(F.sequence(F.lit(0), F.lit(59)), lambda i: F.pmod(F.xxhash64("id", i), F.lit(1100)).cast("int"))
+    rows = spark.range(500).select("id", F.when(F.col("id") < 498, ids).otherwise(F.array(F.lit(0), F.lit(None).cast("int"))).alias("ids"))
+    encoder = vectors.lookup_encoder(table, names)
+    packed, plain = vs.new_store(spark, "store"), vs.new_store(spark, "store")
+    vs.encode_missing(rows.filter("id < 100"), packed, encoder, "one")
+    assert vs.encode_missing(rows, packed, encoder, "two")[1] == 399
+    vs.encode_missing(rows, plain, lambda df: encoder(df), "one")
+    assert held(packed) == held(plain) and packed.rows().count() == 498
+    assert sorted(map(tuple, packed.sizes().collect())) == sorted(map(tuple, plain.sizes().collect()))
+    assert {(r.key, r.n_vectors) for r in packed.sizes().collect()} == {(k, len(v)) for k, v in held(packed)}
+    assert spark.read.parquet(f"{packed.path}/referred").groupBy("batch").count().filter("count <= 200").count() == 2
+    assert size(packed.path) < size(plain.path) / 4
+    read = lambda folder: spark.read.parquet(f"{folder}/rows").agg(F.count("vectors")).first()[0]
+    assert (read(packed.path), read(plain.path)) == (0, 498)
+
+
+def test_a_store_of_before_is_read(spark, rows):
+    """Batches that were written before there were references stay as they are."""
+    path = scratch_path(spark, "old").replace("-", "_")
+    spark.createDataFrame([(1, 4, "array<float>")], "digits int, buckets int, vector string").write.parquet(f"{path}/shape")
+    spark.sql(
+        "CREATE TABLE old_store (key STRING, vectors ARRAY<STRUCT<pos: INT, vector: ARRAY<FLOAT>>>, batch STRING, prefix STRING) "
+        f"USING parquet PARTITIONED BY (batch, prefix) CLUSTERED BY (key) SORTED BY (key) INTO 4 BUCKETS LOCATION '{path}/rows'"
+    )
+    keyed = rows.filter("id < 100").select(joins.sequence_key(F.col("ids")).alias("key")).distinct()
+    old = keyed.selectExpr("key", "array(named_struct('pos', 0, 'vector', array(9f))) vectors", "'one' batch", "left(key, 1) prefix")
+    old.write.insertInto("old_store")
+    spark.sql("DROP TABLE old_store")
+    table = spark.createDataFrame([(i, [float(i)]) for i in (5, 6, 7, 101)], "token_id int, vector array<float>")
+    store = vs.VectorStore(spark, path)
+    before = held(store)
+    assert [v for _, v in before] == [[(0, [9.0])]]
+    assert vs.encode_missing(rows, store, vectors.lookup_encoder(table), "two")[1] == 2
+    assert before[0] in held(store) and sorted(len(v) for _, v in held(store)) == [1, 1, 2]
+    assert sorted(r.n_vectors for r in store.sizes().collect()) == [1, 1, 2]
