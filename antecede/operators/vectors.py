@@ -216,14 +216,14 @@ def _aligned(df: DataFrame, tokens: str) -> tuple[DataFrame, Column]:
 
 
 def pool_spans(rows: DataFrame) -> DataFrame:
-    """Vectors of (id, span, pos, vector) rows pooled per span: mean for A and B, sum for P.
+    """Vectors of (id, span, pos, vector) rows pooled per span in doubles: mean for A and B, sum for P.
 
     A group is the tokens of one span of one text. A span without tokens has no row.
     """
     grouped = rows.groupBy("id", "span").agg(
         F.array_sort(F.collect_list(F.struct("pos", "vector"))).alias("_parts")
     )
-    parts = F.col("_parts")["vector"]
+    parts = F.col("_parts")["vector"].cast("array<array<double>>")
     total = F.aggregate(
         F.slice(parts, 2, F.greatest(F.size("_parts") - 1, F.lit(0))),
         parts[0],
@@ -235,9 +235,11 @@ def pool_spans(rows: DataFrame) -> DataFrame:
     )
 
 
-def span_mean_pool(df: DataFrame, token_vectors: DataFrame) -> DataFrame:
+def span_mean_pool(df: DataFrame, token_vectors: DataFrame, referred: DataFrame | None = None) -> DataFrame:
     """Pooled vectors of P, A and B from encoder output (id, pos, token, vector).
 
+    With ``referred`` (ref, vector) the output is packed: it has a ref in place of each vector.
+
     Alignment looks at token strings only, and gives each text the places of its spans as one
     array. That meets the vectors by id alone, and vectors at other places are dropped before
     anything is moved or widened. With encoder output bucketed by id (``session.bucketed``)
@@ -254,10 +256,11 @@ def span_mean_pool(df: DataFrame, token_vectors: DataFrame) -> DataFrame:
         spans, lambda s: F.struct(s["span"].alias("span"), F.get("_listed", s["pos"]).alias("pos"))
     )
     places = prepared.select("id", placed.alias("_spans"))
-    vectors = token_vectors.select("id", F.col("pos").alias("_at"), "vector").join(places, "id")
+    value = "vector" if referred is None else "ref"
+    vectors = token_vectors.select("id", F.col("pos").alias("_at"), value).join(places, "id")
     own = F.filter("_spans", lambda s: s["pos"] == F.col("_at"))
-    rows = vectors.select("id", F.inline(own), F.col("vector").cast("array<double>").alias("vector"))
-    return pool_spans(rows)
+    rows = vectors.select("id", F.inline(own), value)
+    return pool_spans(rows if referred is None else gather_vectors(rows, referred, "ref").drop("ref"))
 
 
 def pronoun_vector(rows: DataFrame) -> DataFrame:

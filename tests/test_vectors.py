@@ -1,3 +1,5 @@
+import os
+
 import pyarrow as pa
 import numpy as np
 import pytest
@@ -122,6 +124,41 @@ def test_span_mean_pool_from_encoder_rows(spark):
     assert got == {"A": [1.5, 1.0], "P": [4.0, 1.0], "B": [5.0, 1.0]}
 
 
+def test_packed_encoder_output_is_pooled_alike(spark):
+    """References in place of vectors, of which some are shared, one is null and one comes twice."""
+    toks = "[CLS] An ##na saw he Bo [SEP]".split()
+    m = spark.createDataFrame(
+        [(k, "Anna saw he Bo", "he", 9, "Anna", 0, "Bo", 12) for k in range(8)],
+        "id long, text string, pronoun string, p_off int, a string, a_off int, b string, b_off int",
+    )
+    kinds = [(7, [0.1, 2.0]), (8, [0.7, None]), (9, None), (10, [0.3, 4.0])]
+    table = spark.createDataFrame(kinds, "ref long, vector array<float>")
+    rows = [(k, i, t, 7 + (i + k) % 4) for k in range(8) for i, t in enumerate(toks)]
+    refs = spark.createDataFrame(rows, "id long, pos int, token string, ref long")
+    plain = vectors.span_mean_pool(m, refs.join(table, "ref").select("id", "pos", "token", "vector"))
+    packed = vectors.span_mean_pool(m, refs, table)
+    assert packed.schema == plain.schema and packed.count() == 24
+    assert sorted(map(repr, packed.collect())) == sorted(map(repr, plain.collect()))
+
+
+def test_encoder_output_is_written_without_its_vectors(spark, tmp_path, monkeypatch):
+    """All that ``span_mean_pool`` writes is a part of the bytes of the vectors of all tokens."""
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(400)]
+    texts = [(i, f"Ann saw Bob . he met Cid {' '.join(rng.choice(words, 2500))} .", "en") for i in range(30)]
+    folder, scratch = tmp_path / "tables", tmp_path / "scratch"
+    for name, rows, kind in (
+        ("documents", texts, "doc_id long, text string, lang string"),
+        ("pages", [(i, f"http://x/{i}") for i in range(7)], "page_id long, url string"),
+        ("embeddings", [(i, rng.random(64).tolist()) for i in range(300)], "vec_id long, embedding array<float>"),
+    ):
+        spark.createDataFrame(rows, kind).write.parquet(f"{folder}/{name}.parquet")
+    monkeypatch.setattr(session, "scratch_root", lambda spark: str(scratch))
+    assert catalog.span_mean_pool(spark, str(folder)).count() == 30 * 3 * 64
+    held = sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(scratch) for f in files if not f.endswith(".crc"))
+    assert held < 30 * 2500 * 64 * 4 / 8
+
+
 @pytest.fixture()
 def no_broadcast(spark):
     """Plans as they are when no side is small."""
