@@ -150,3 +150,16 @@ def test_a_store_of_before_is_read(spark, rows):
     assert vs.encode_missing(rows, store, vectors.lookup_encoder(table), "two")[1] == 2
     assert before[0] in held(store) and sorted(len(v) for _, v in held(store)) == [1, 1, 2]
     assert sorted(r.n_vectors for r in store.sizes().collect()) == [1, 1, 2]
+
+
+def test_a_run_that_lacks_nothing_writes_no_ids(spark, tmp_path, monkeypatch):
+    """A second run over the same rows looks up keys: the ids of what is known are not written again."""
+    monkeypatch.setattr("antecede.session.scratch_root", lambda spark: str(tmp_path))
+    ids = F.transform(F.sequence(F.lit(0), F.lit(1999)), lambda i: (F.pmod(F.xxhash64("id", i), F.lit(1 << 28)) + 1).cast("int"))
+    rows = spark.range(100).select("id", ids.alias("ids"))
+    store = vs.new_store(spark, "store")
+    vs.encode_missing(rows, store, encoder([]), "one")
+    before = size(tmp_path)
+    hits, added = vs.encode_missing(rows, store, encoder([]), "two")
+    assert added == 0 and hits.filter("hit").count() == 100
+    assert size(tmp_path) - before < 100 * 2000 * 3 / 4
