@@ -83,6 +83,9 @@ def encode_tokens(
     return found.join(again, same, "left_anti").unionByName(merged)
 
 
+# Postings, which `encode_tokens` was made of; it goes by chunks now.
+
+
 def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The postings of rows whose last column is their tokens; other columns go with a row's first posting only."""
     for batch in batches:

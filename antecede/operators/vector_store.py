@@ -6,6 +6,8 @@ digits of the key, and bucketed by key. A lookup therefore reads the key column
 asks for, in place: what is looked up is shuffled to the buckets, and the store never is.
 """
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from antecede.operators.joins import salted_join, sequence_key
@@ -37,7 +39,7 @@ class VectorStore:
         spark.sql(f"DROP TABLE IF EXISTS {self.table}")
         spark.sql(
             f"CREATE TABLE {self.table} (key STRING, vectors ARRAY<STRUCT<pos: INT, vector: {found.vector}>>, "
-            f"pos ARRAY<INT>, ref ARRAY<BIGINT>, batch STRING, prefix STRING) USING parquet OPTIONS ({PACKED}) "
+            f"pos ARRAY<INT>, ref ARRAY<BIGINT>, source STRING, batch STRING, prefix STRING) USING parquet OPTIONS ({PACKED}) "
             f"PARTITIONED BY (batch, prefix) "
             f"CLUSTERED BY (key) SORTED BY (key) INTO {self.buckets} BUCKETS LOCATION '{path}/rows'"
         )
@@ -45,8 +47,8 @@ class VectorStore:
         self.referred = f"{self.table}_referred"
         spark.sql(f"DROP TABLE IF EXISTS {self.referred}")
         spark.sql(
-            f"CREATE TABLE {self.referred} (ref BIGINT, vector {found.vector}, batch STRING) USING parquet "
-            f"OPTIONS ({PACKED}) PARTITIONED BY (batch) LOCATION '{path}/referred'"
+            f"CREATE TABLE {self.referred} (ref BIGINT, vector {found.vector}, source STRING) USING parquet "
+            f"OPTIONS ({PACKED}) PARTITIONED BY (source) LOCATION '{path}/referred'"
         )
         spark.catalog.recoverPartitions(self.referred)
 
@@ -62,7 +64,8 @@ class VectorStore:
         """(key, vectors, batch, prefix)."""
         held = self.spark.table(self.table)
         own = ["key", "batch", "prefix"]
-        places = held.select(*own, F.inline(F.arrays_zip("pos", "ref"))).join(self.spark.table(self.referred), ["batch", "ref"])
+        places = held.select(*own, "source", F.inline(F.arrays_zip("pos", "ref")))
+        places = places.join(self.spark.table(self.referred), ["source", "ref"])
         packed = places.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("pos", "vector"))).alias("vectors"))
         return held.filter(F.col("ref").isNull()).select("key", "vectors", "batch", "prefix").unionByName(packed)
 
@@ -85,26 +88,31 @@ class VectorStore:
         """
         dealt = vectors.repartition(self.buckets, "key")  # the only time that vectors move
         listed = dealt.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "vector"))).alias("vectors"))
-        none = F.lit(None)
-        self._put(listed.select("key", "vectors", none.cast("array<int>").alias("pos"), none.cast("array<bigint>").alias("ref")), batch)
+        kinds = {"pos": "array<int>", "ref": "array<bigint>", "source": "string"}
+        self._put(listed.select("key", "vectors", *[F.lit(None).cast(kind).alias(c) for c, kind in kinds.items()]), batch)
 
     def append_packed(self, rows: DataFrame, vectors: DataFrame, batch: str) -> None:
         """As ``append``, of (key, pos, ref) rows, one for each key, and the vectors (ref, vector) they refer to.
 
-        The vectors are stored first, so that no row is found before what it refers to.
+        The vectors are stored first, under a name of their own, so that rows always find what they refer to:
+        those of a batch that is replaced have theirs until the new rows are there.
         """
+        source, held = uuid.uuid4().hex, self.spark.table(self.table)
+        replaced = held.filter((F.col("batch") == batch) & F.col("source").isNotNull()).select("source").distinct().collect()
         vectors.select("ref", "vector").createOrReplaceTempView(f"new_{self.table}")
-        self.spark.sql(
-            f"INSERT OVERWRITE TABLE {self.referred} PARTITION (batch = '{batch}') SELECT ref, vector FROM new_{self.table}"
-        )
-        vectors = F.lit(None).cast(self.spark.table(self.table).schema["vectors"].dataType).alias("vectors")
-        self._put(rows.repartition(self.buckets, "key").select("key", vectors, "pos", "ref"), batch)
+        self.spark.sql(f"INSERT INTO {self.referred} PARTITION (source = '{source}') SELECT ref, vector FROM new_{self.table}")
+        own = [F.lit(None).cast(held.schema["vectors"].dataType).alias("vectors"), "pos", "ref", F.lit(source).alias("source")]
+        self._put(rows.repartition(self.buckets, "key").select("key", *own), batch)
+        for row in replaced:
+            self.spark.sql(f"ALTER TABLE {self.referred} DROP IF EXISTS PARTITION (source = '{row.source}')")
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/referred/source={row.source}")
+            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
 
     def _put(self, listed: DataFrame, batch: str) -> None:
         listed.withColumn("prefix", self.prefix(F.col("key"))).createOrReplaceTempView(f"new_{self.table}")
         self.spark.sql(
             f"INSERT OVERWRITE TABLE {self.table} PARTITION (batch = '{batch}', prefix) "
-            f"SELECT key, vectors, pos, ref, prefix FROM new_{self.table}"
+            f"SELECT key, vectors, pos, ref, source, prefix FROM new_{self.table}"
         )
         self.spark.catalog.dropTempView(f"new_{self.table}")
 

@@ -125,7 +125,7 @@ def test_a_vector_is_stored_once_in_a_batch(spark):
     assert held(packed) == held(plain) and packed.rows().count() == 498
     assert sorted(map(tuple, packed.sizes().collect())) == sorted(map(tuple, plain.sizes().collect()))
     assert {(r.key, r.n_vectors) for r in packed.sizes().collect()} == {(k, len(v)) for k, v in held(packed)}
-    assert spark.read.parquet(f"{packed.path}/referred").groupBy("batch").count().filter("count <= 200").count() == 2
+    assert spark.read.parquet(f"{packed.path}/referred").groupBy("source").count().filter("count <= 200").count() == 2
     assert size(packed.path) < size(plain.path) / 4
     read = lambda folder: spark.read.parquet(f"{folder}/rows").agg(F.count("vectors")).first()[0]
     assert (read(packed.path), read(plain.path)) == (0, 498)
@@ -163,3 +163,21 @@ def test_a_run_that_lacks_nothing_writes_no_ids(spark, tmp_path, monkeypatch):
     hits, added = vs.encode_missing(rows, store, encoder([]), "two")
     assert added == 0 and hits.filter("hit").count() == 100
     assert size(tmp_path) - before < 100 * 2000 * 3 / 4
+
+
+def test_a_repeated_packed_batch_that_fails_leaves_the_same_rows(spark, rows, monkeypatch):
+    """Also where its vectors are stored already; what it replaces goes when it succeeds."""
+    table = spark.createDataFrame([(i, [float(i)]) for i in (5, 6, 7, 101)], "token_id int, vector array<float>")
+    store = vs.new_store(spark, "store")
+    vs.encode_missing(rows, store, vectors.lookup_encoder(table), "one")
+    before = held(store)
+    other = vectors.lookup_encoder(table.repartition(3, "token_id"))  # its vectors have other numbers
+    with monkeypatch.context() as patch:
+        patch.setattr(vs.VectorStore, "_put", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            vs.encode_missing(rows, store, other, "one")
+    assert held(store) == before and len(before) == 3
+    vs.encode_missing(rows, store, other, "one")
+    assert held(store) == before and held(vs.VectorStore(spark, store.path)) == before
+    vs.encode_missing(rows, store, other, "two")
+    assert held(store) == before
